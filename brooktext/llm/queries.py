@@ -19,6 +19,12 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_table(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -36,6 +42,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_media": op2_media,
+        "op3_quality": op3_quality,
         "op5_token_files": op5_token_files,
         "op9_secrets": op9_secrets,
     }

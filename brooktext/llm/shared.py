@@ -55,3 +55,11 @@ def fold(mod: int, col: str = "doc_id") -> Column:
 def texts(batch, name: str = "text") -> list[str]:
     """The texts of an Arrow batch; null is empty."""
     return [t or "" for t in batch.column(name).to_pylist()]
+
+
+def hash_sample(df: DataFrame, rows: int, bound: int, col: str = "doc_id") -> DataFrame:
+    """Of df, which has or matches `rows` rows, those of the lowest hashes of `col`: about `bound` rows, all of them if there are no more."""
+    if rows <= bound:
+        return df
+    steps = 1 << 40
+    return df.where(F.pmod(F.xxhash64(F.col(f"`{col}`"), F.lit(40)), F.lit(steps)) < int(steps * bound / rows))

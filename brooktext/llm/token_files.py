@@ -1,7 +1,7 @@
 """Token-id files: a frame for each document under one shared zstandard dictionary.
 
 A dictionary is trained once on the serialized ids of a bounded sample of documents (`SAMPLE_DOCS`, those of the lowest
-hashes of the id, `SAMPLE_IDS` ids each). Every document's ids are then compressed on their own with it, so that a
+hashes of the id, about, `SAMPLE_IDS` ids each). Every document's ids are then compressed on their own with it, so that a
 short document can be read by itself: its frame's place stands in the file's offset index.
 
 A file, numbers little-endian:
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import file_system, new_folder, texts
+from .shared import file_system, hash_sample, new_folder, texts
 
 MAGIC = b"BTOK1\0\0\0"
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES, LEVEL = 2000, 4096, 64 << 10, 3
@@ -90,7 +90,7 @@ def train_dictionary(df: DataFrame, path: str, end_id: int) -> bytes:
     import zstandard
 
     encoder = WordEncoder(path, vocabulary_splits_words(path))
-    rows = df.select("text").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS).select(F.substring(F.coalesce("text", F.lit("")), 1, 8 * SAMPLE_IDS).alias("text")).collect()
+    rows = hash_sample(df, df.select("id").count(), SAMPLE_DOCS, "id").limit(2 * SAMPLE_DOCS).select(F.substring(F.coalesce("text", F.lit("")), 1, 8 * SAMPLE_IDS).alias("text")).collect()
     end = np.array([end_id], encoder.dtype).tobytes()
     data = [s[: SAMPLE_IDS * encoder.width] + end for s in encoder.serialized([r.text for r in rows])]
     try:
