@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,25 @@ def persist(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
+    """Rows in an Arrow batch at most, so that a worker holds a few MB of text at a time. The setting is the session's."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, rows + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return spark
+
+
+def chunks(items: list[str], chars: int) -> Iterator[list[str]]:
+    """The items in order, in lists of about `chars` characters, or of one item that is longer."""
+    at = held = 0
+    for i, t in enumerate(items):
+        held += len(t)
+        if held >= chars:
+            yield items[at : i + 1]
+            at, held = i + 1, 0
+    if at < len(items):
+        yield items[at:]
+
+
 def file_system(uri: str):
     """pyarrow's file system for a URI or plain path, and the path within it."""
     from pyarrow import fs

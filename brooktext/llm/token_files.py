@@ -18,63 +18,138 @@ text; a text of any length is one frame; an empty table gives no files and no ro
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import struct
+import unicodedata
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import file_system, hash_sample, new_folder, texts
+from .shared import chunks, file_system, hash_sample, new_folder, small_batches, texts
 
 MAGIC = b"BTOK1\0\0\0"
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES, LEVEL = 2000, 4096, 64 << 10, 3
-CACHE_WORDS, CACHED_WORD = 500_000, 64
+KNOWN_WORDS, CHUNK_CHARS, JOINED = 1_000_000, 6 << 20, 2_000
+#: Marks that may end a word; none begins a contraction.
+MARKS = ".,;:!?*$%&#|)\""
+#: Lower-case letters of the Latin and Cyrillic blocks, which every Unicode version holds for letters.
+LETTERS = r"^[a-z\x{df}-\x{f6}\x{f8}-\x{24f}\x{400}-\x{481}\x{48a}-\x{52f}]+$"
+
+
+class _Table:
+    """Strings with their ids, laid end to end; string 0 is the empty one, without ids."""
+
+    def __init__(self, dtype: np.dtype):
+        self.strings, self.ids, self.start = pa.array([""]), np.zeros(0, dtype), np.zeros(2, np.int64)
+
+    def grown(self, strings: list[str], ids: list[bytes]) -> _Table:
+        out = _Table(self.ids.dtype)
+        out.strings = pa.concat_arrays([self.strings, pa.array(strings, pa.string())])
+        out.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), self.ids.dtype)])
+        out.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(x) // self.ids.dtype.itemsize for x in ids], dtype=np.int64)])
+        return out
+
+    def places(self, strings: pa.Array) -> np.ndarray:
+        """Where each string stands, -1 for none."""
+        return pc.index_in(strings, value_set=self.strings).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _gathered(ids: np.ndarray, start: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the table's rows one after another, and where each row's begin and end."""
+    size = np.diff(start)[rows]
+    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+    return ids[np.repeat(start[rows] - ends[:-1], size) + np.arange(ends[-1])], ends
 
 
 class WordEncoder:
-    """tokenizers' ids of whole texts, serialized, through a cache of words.
+    """tokenizers' ids of whole texts, serialized, through a table of words.
 
-    Only for a tokenizer that drops white space and never looks across it: each stretch between white space then has
-    ids of its own. `split_words` says so; otherwise whole texts are encoded."""
+    Only for a tokenizer that drops white space, never looks across it, keeps runs of letters apart from marks and ends
+    them with "</w>" (`split_words` says so; otherwise whole texts are encoded). Each stretch between white space then
+    has ids of its own; new runs of letters are encoded many at a time, parted at their ends. Texts that lower-casing
+    and splitting would not treat as the tokenizer does are encoded whole."""
 
     def __init__(self, path: str, split_words: bool):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.split_words = Tokenizer.from_file(path), split_words
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.runs = Tokenizer(self.tokenizer.model)  # for runs of lower-case letters, which need no other step
+        self.runs.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = 2 if len(vocabulary) <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
-        self.cache: dict[str, bytes] = {}
+        self.known = _Table(self.dtype)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def _whole(self, items: list[str]) -> list[bytes]:
+    def whole(self, items: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(items, add_special_tokens=False)]
 
+    def letters(self, runs: list[str]) -> list[bytes]:
+        """The ids of runs of letters."""
+        out = []
+        for lo in range(0, len(runs), JOINED):
+            part = runs[lo : lo + JOINED]
+            ids = np.array(self.runs.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * self.width
+            if len(cuts) != len(part):
+                out += self.whole(part)
+                continue
+            raw, at = ids.tobytes(), 0
+            for cut in cuts.tolist():
+                out.append(raw[at:cut])
+                at = cut
+        return out
+
+    @staticmethod
+    def plain(text: str) -> bool:
+        """Whether lower() and splitting at white space do what the tokenizer does to the text before it merges."""
+        if text.isascii():
+            return "<|" not in text and not any(c in text for c in "\x1c\x1d\x1e\x1f")
+        return unicodedata.is_normalized("NFC", text) and not any(c in text for c in ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "\u03a3", "\u0130"))
+
     def serialized(self, docs: list[str]) -> list[bytes]:
         if not self.split_words:
-            return self._whole(docs)
-        # str.split() also breaks at U+001C to U+001F, which are no white space to the tokenizer
-        odd = {i for i, t in enumerate(docs) if not t.isprintable() and any(c in t for c in "\x1c\x1d\x1e\x1f")}
-        words = [[] if i in odd else t.split() for i, t in enumerate(docs)]
-        cache, extra = self.cache, {}
-        new = {w for ws in words for w in ws if w not in cache}
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = {w for ws in words for w in ws}
-        new = list(new)
-        for w, ids in zip(new, self._whole(new), strict=True):
-            (cache if len(w) <= CACHED_WORD and len(cache) < CACHE_WORDS else extra)[w] = ids
-        if extra:
-            get = lambda w: cache[w] if w in cache else extra[w]
-        else:
-            get = cache.__getitem__
-        out = [b"".join(map(get, ws)) for ws in words]
-        for i in odd:
-            out[i] = self._whole([docs[i]])[0]
-        return out
+            return self.whole(docs)
+        plain = [self.plain(t) for t in docs]
+        lists = pc.utf8_split_whitespace(pa.array([t.lower() if p else "" for t, p in zip(docs, plain, strict=True)], pa.string()))
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary
+        runs = pc.utf8_rtrim(words, MARKS)
+        split = pc.match_substring_regex(runs, LETTERS)
+        marked = pc.and_(split, pc.not_equal(pc.binary_length(words), pc.binary_length(runs))).to_numpy(zero_copy_only=False)
+        marks = pa.array([w[len(r) :] for w, r in zip(words.filter(pa.array(marked)).to_pylist(), runs.filter(pa.array(marked)).to_pylist(), strict=True)], pa.string())
+        keys = pa.concat_arrays([pc.if_else(split, runs, words), marks]).dictionary_encode()
+        table, at = self.known, self.known.places(keys.dictionary)
+        if (new := at < 0).any():
+            missing = keys.dictionary.filter(pa.array(new))
+            letters = pc.match_substring_regex(missing, LETTERS)
+            parts = [(missing.filter(letters).to_pylist(), self.letters), (missing.filter(pc.invert(letters)).to_pylist(), self.whole)]
+            at[new] = len(table.strings) + np.argsort(np.argsort(~letters.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+            table = table.grown([w for ws, _ in parts for w in ws], [x for ws, encode in parts for x in encode(ws)])
+            if len(table.strings) <= KNOWN_WORDS:
+                self.known = table
+        at = at[keys.indices.to_numpy()]
+        rows = np.zeros((len(words), 2), np.int64)
+        rows[:, 0] = at[: len(words)]
+        rows[marked, 1] = at[len(words) :]
+        ids, ends = _gathered(table.ids, table.start, rows.ravel())
+        ids, ends = _gathered(ids, ends[::2], coded.indices.to_numpy())
+        raw, cuts = ids.tobytes(), (ends[lists.offsets.to_numpy()] * self.width).tolist()
+        return [raw[cuts[i] : cuts[i + 1]] if p else self.whole([t])[0] for i, (t, p) in enumerate(zip(docs, plain, strict=True))]
+
+
+@functools.lru_cache(2)
+def encoder_for(path: str) -> WordEncoder:
+    """The process's encoder: what one task has learned serves the worker's next."""
+    return WordEncoder(path, vocabulary_splits_words(path))
 
 
 def vocabulary_splits_words(path: str) -> bool:
@@ -89,7 +164,7 @@ def train_dictionary(df: DataFrame, path: str, end_id: int) -> bytes:
     """The shared dictionary, from a bounded sample. With too little to train on: the sample's bytes as they are."""
     import zstandard
 
-    encoder = WordEncoder(path, vocabulary_splits_words(path))
+    encoder = encoder_for(path)
     rows = hash_sample(df, df.select("id").count(), SAMPLE_DOCS, "id").limit(2 * SAMPLE_DOCS).select(F.substring(F.coalesce("text", F.lit("")), 1, 8 * SAMPLE_IDS).alias("text")).collect()
     end = np.array([end_id], encoder.dtype).tobytes()
     data = [s[: SAMPLE_IDS * encoder.width] + end for s in encoder.serialized([r.text for r in rows])]
@@ -109,7 +184,7 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int, t
     """Encodes every text, appends end_id, and writes the files in ascending order of id_col. One shuffle, by range."""
     import zstandard
 
-    spark = df.sparkSession
+    spark = small_batches(df.sparkSession)
     fs, root = file_system(folder)
     fs.create_dir(root, recursive=True)
     src = df.select(df[id_col].cast("long").alias("id"), df[text].cast("string").alias("text"))
@@ -117,10 +192,9 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int, t
     digest = hashlib.sha256(raw).digest()
     with fs.open_output_stream(f"{root}/dictionary-{digest.hex()}.zdict") as f:
         f.write(raw)
-    splits = vocabulary_splits_words(tokenizer)
 
     def run(batches):
-        encoder = WordEncoder(tokenizer, splits)
+        encoder = encoder_for(tokenizer)
         end = np.array([end_id], encoder.dtype).tobytes()
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(raw), write_content_size=True)
         ids, sizes, lengths, out, at = [], [], [], None, 0
@@ -131,8 +205,8 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int, t
                 out = fs.open_output_stream(f"{root}/{name}")
                 out.write(MAGIC + struct.pack("<II", encoder.width, 0) + digest)
             docs = texts(b)
-            for lo in range(0, len(docs), 1000):
-                for s in encoder.serialized(docs[lo : lo + 1000]):
+            for part in chunks(docs, CHUNK_CHARS):
+                for s in encoder.serialized(part):
                     frame = packer.compress(s + end)
                     out.write(frame)
                     sizes.append(len(s) // encoder.width + 1), lengths.append(len(frame))
