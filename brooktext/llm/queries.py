@@ -33,6 +33,14 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .pieces import piece_table
+
+    return piece_table(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity_scores
 
@@ -56,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_media": op2_media,
         "op3_quality": op3_quality,
         "op5_token_files": op5_token_files,
+        "op6_pieces": op6_pieces,
         "op7_toxicity": op7_toxicity,
         "op9_secrets": op9_secrets,
         "op10_near_duplicates": op10_near_duplicates,

@@ -43,14 +43,14 @@ MARKS = ".,;:!?*$%&#|)\""
 LETTERS = r"^[a-z\x{df}-\x{f6}\x{f8}-\x{24f}\x{400}-\x{481}\x{48a}-\x{52f}]+$"
 
 
-class _Table:
+class Table:
     """Strings with their ids, laid end to end; string 0 is the empty one, without ids."""
 
     def __init__(self, dtype: np.dtype):
         self.strings, self.ids, self.start = pa.array([""]), np.zeros(0, dtype), np.zeros(2, np.int64)
 
-    def grown(self, strings: list[str], ids: list[bytes]) -> _Table:
-        out = _Table(self.ids.dtype)
+    def grown(self, strings: list[str], ids: list[bytes]) -> Table:
+        out = Table(self.ids.dtype)
         out.strings = pa.concat_arrays([self.strings, pa.array(strings, pa.string())])
         out.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), self.ids.dtype)])
         out.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(x) // self.ids.dtype.itemsize for x in ids], dtype=np.int64)])
@@ -61,7 +61,7 @@ class _Table:
         return pc.index_in(strings, value_set=self.strings).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _gathered(ids: np.ndarray, start: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def gathered(ids: np.ndarray, start: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids of the table's rows one after another, and where each row's begin and end."""
     size = np.diff(start)[rows]
     ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
@@ -85,7 +85,7 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.width = 2 if len(vocabulary) <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
-        self.known = _Table(self.dtype)
+        self.known = Table(self.dtype)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
@@ -140,8 +140,8 @@ class WordEncoder:
         rows = np.zeros((len(words), 2), np.int64)
         rows[:, 0] = at[: len(words)]
         rows[marked, 1] = at[len(words) :]
-        ids, ends = _gathered(table.ids, table.start, rows.ravel())
-        ids, ends = _gathered(ids, ends[::2], coded.indices.to_numpy())
+        ids, ends = gathered(table.ids, table.start, rows.ravel())
+        ids, ends = gathered(ids, ends[::2], coded.indices.to_numpy())
         raw, cuts = ids.tobytes(), (ends[lists.offsets.to_numpy()] * self.width).tolist()
         return [raw[cuts[i] : cuts[i + 1]] if p else self.whole([t])[0] for i, (t, p) in enumerate(zip(docs, plain, strict=True))]
 
