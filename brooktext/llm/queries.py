@@ -25,6 +25,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import replace_pii
+
+    return replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), kinds_column="kinds")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -63,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_media": op2_media,
         "op3_quality": op3_quality,
+        "op4_pii": op4_pii,
         "op5_token_files": op5_token_files,
         "op6_pieces": op6_pieces,
         "op7_toxicity": op7_toxicity,
