@@ -13,6 +13,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .chat import REPLY, link_tool_calls, turns_as_calls
+
+    out = link_tool_calls(*turns_as_calls(table(spark, sf_dir, "conversations")), REPLY)
+    absent = {c: F.coalesce(c, F.lit(-1).cast("long")) for c in ("turn", "result_turn", "level")}  # -1 for none
+    return out.withColumns(absent | {"canonical": F.sha2("canonical", 256), "valid": F.coalesce("valid", F.lit(False)), "errors": F.coalesce("errors", F.lit(""))}).withColumnRenamed("canonical", "canonical_sha256")
+
+
+OP1_SQL = """
+WITH m AS (SELECT conv_id, turn, lower(role) AS role, coalesce(text, '') AS text FROM conversations),
+c AS (SELECT conv_id, turn, text, turn - 2 * row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM m WHERE role = 'user'),
+l AS (SELECT *, row_number() OVER (PARTITION BY conv_id, run ORDER BY turn) - 1 AS level FROM c),
+r AS (SELECT conv_id, turn, text FROM m WHERE role = 'assistant'),
+j AS (
+  SELECT coalesce(l.conv_id, r.conv_id) AS conv_id, coalesce(l.turn, r.turn - 1) AS asked, l.turn AS turn, l.level AS level, l.text AS question, r.turn AS result_turn, r.text AS answer
+  FROM l FULL OUTER JOIN r ON l.conv_id = r.conv_id AND l.turn = r.turn - 1
+),
+e AS (
+  SELECT *, CASE WHEN turn IS NULL THEN NULL WHEN length(question) < 1 THEN '$.text: shorter than 1' WHEN length(question) > 400 THEN '$.text: longer than 400' ELSE '' END AS errors FROM j
+)
+SELECT conv_id, 'call_' || asked AS call_id, CASE WHEN turn IS NOT NULL THEN 'reply' END AS name, coalesce(turn, -1) AS turn, coalesce(result_turn, -1) AS result_turn,
+  CASE WHEN result_turn IS NULL THEN 0 ELSE 1 END::BIGINT AS n_results, 0::BIGINT AS n_missing,
+  CASE WHEN turn IS NULL THEN 'orphan' WHEN result_turn IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+  coalesce(level, -1)::BIGINT AS level, coalesce(errors = '', FALSE) AS valid, coalesce(errors, '') AS errors,
+  sha256(CASE WHEN turn IS NULL THEN '{"id":"call_' || asked || '","result":' || to_json(answer)::VARCHAR || '}'
+    ELSE '{"arguments":{"text":' || to_json(question)::VARCHAR || ',"turn":' || turn || '},"id":"call_' || asked || '","name":"reply"'
+      || CASE WHEN result_turn IS NULL THEN '' ELSE ',"result":' || to_json(answer)::VARCHAR END || '}' END) AS canonical_sha256
+FROM e
+"""
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import media_table
 
@@ -73,6 +106,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_tool_calls": op1_tool_calls,
         "op2_media": op2_media,
         "op3_quality": op3_quality,
         "op4_pii": op4_pii,
@@ -86,4 +120,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_tool_calls": OP1_SQL}
