@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fold, hash_sample, persist, texts
+from .shared import fold, hash_sample, persist, small_batches, texts
 
 FEATURES, RIDGE, SEED, FIT_ROWS, FIT_PARTS = 384, 1e-3, 20_240_229, 200_000, 16
 THRESHOLD = 0.3
@@ -199,6 +199,7 @@ def scored(stats: DataFrame, model: QualityModel, held_out: tuple[int, int], thr
 
 def keep_good(df: DataFrame, labels: DataFrame, target: str = "quality", threshold: float = THRESHOLD, held_out: tuple[int, int] = (5, 0)) -> DataFrame:
     """df's rows, with all their columns, whose text scores at least `threshold`. Texts are measured and scored where they lie: none is shuffled."""
+    small_batches(df.sparkSession)
     learned = labels.where(fold(held_out[0]) != held_out[1])
     stats = with_statistics(hash_sample(df, learned.count(), FIT_ROWS))  # the fit's labels have the same hashes
     model = fit(persist(stats, "quality-stats"), learned, target)

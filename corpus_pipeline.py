@@ -1,15 +1,62 @@
-"""The corpus pipeline: each stage keeps or rewrites documents for the next."""
+"""The corpus pipeline: documents that are good, one of each group of near copies, free of benchmark items and of personal data, as piece ids.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it decides takes effect on all that the stage before
+kept. All but the last return the columns of `documents`. Rows with null or empty texts are scored like others by the
+first stage and pass the rest.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brooktext.llm.decontamination import drop_contaminated
+from brooktext.llm.near_duplicates import drop_near_duplicates
+from brooktext.llm.pieces import decode_pieces, encode_pieces
+from brooktext.llm.pii import replace_pii
+from brooktext.llm.quality import keep_good
+
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what the quality classifier rejects."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group at a similarity of 0.8 or more of five-word shingles."""
+    return drop_near_duplicates(docs, n_words=5)
+
 
-STAGES: list = []
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts surrogates for personal data; n_chars follows the new text."""
+    return replace_pii(docs)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds the text's piece ids, their number, and whether decoding them gives the text back."""
+    coded = decode_pieces(encode_pieces(docs, PIECES), PIECES)
+    same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit("▁"), F.lit(" "))
+    return coded.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_pieces"), same.alias("round_trip"))
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("pii", pii), ("pieces", pieces)]
+#: SQL can express none of these stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole of documents, one after another; between stages the rows are written to the shared folder."""
+    from brooktext.llm.shared import persist
+
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        df = stage(spark, df, sf_dir)
-    return df
+    for name, stage in STAGES[:-1]:
+        df = persist(stage(spark, df, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, df, sf_dir)
