@@ -11,11 +11,9 @@ Two documents are linked if their sets' Jaccard similarity is `num`/`den` or mor
 4. Verification compares the signatures in batches of `BATCH` hashes and drops a pair as soon as the posterior
    probability of a similarity at the threshold, under a uniform prior, is below `MISS`; survivors are compared on
    their full sets.
-5. A bucket that still holds several components may hide links between them. Its members of different components are
-   compared in blocks of `BLOCK` (sized by set size, as sets whose sizes differ by more than the threshold can't be
-   linked), again by the posterior, and each two components' likeliest pairs are verified on full sets: `BEST` at first,
-   eight times as many in each further round, until no block has held any back. So no surviving pair is left out
-   unless its two ends have been connected already.
+5. A bucket that still holds several components may hide links between members other than its least. These are compared
+   in blocks of about `BLOCK`: pairs of different components are pruned by the posterior as above, and every survivor is
+   compared on the full sets, there and then; only links that join components leave the block.
 
 No step lists all pairs of a group, and no group is gathered in one task: stars and joins grow with the rows, blocks
 are bounded. Defined results: a null text is empty; a row with a null id has a null component and is kept; rows that
@@ -34,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .shared import chunks, persist, small_batches, texts
 
-BANDS, ROWS, BATCH, MISS, BLOCK, BEST = 32, 4, 16, 1e-7, 256, 32
+BANDS, ROWS, BATCH, MISS, BLOCK = 32, 4, 16, 1e-7, 256
 HASHES = BANDS * ROWS
 _MULTIPLIERS = np.random.default_rng(20_240_310).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LANE = np.uint64(0x9E3779B97F4A7C15)
@@ -183,59 +181,67 @@ def components(edges: DataFrame) -> DataFrame:
     return persist(new.select(F.col("a").alias("id"), F.col("b").alias("label")).union(new.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct()), "cc")
 
 
-def _within(rows: DataFrame, best: int, num: int, den: int) -> DataFrame:
-    """a, b, held: of each block's members of different labels, the likeliest pairs of each two labels; held: how many more survived.
-
-    rows: g1, g2 (the block pair), side, id, label, n, sig, with a block pair's rows together and in one partition."""
-
-    def pairs(group: list[tuple]) -> tuple[list[int], list[int], int]:
-        _, side, ids, label, n, sig = zip(*group, strict=True)
-        side, ids, label, n = np.array(side), np.array(ids), np.array(label), np.array(n)
-        sig = np.frombuffer(b"".join(sig), np.uint32).reshape(-1, HASHES)
-        out_a, out_b, held = [], [], 0
-        found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-        for i in range(len(ids)):
-            if side[i] == 2:
-                continue  # the right block's members are only compared with the left's
-            ok = (label != label[i]) & (np.minimum(n, n[i]) * den >= num * np.maximum(n, n[i])) & ((side == 2) | (side == 0) & (ids > ids[i]))
-            at = np.flatnonzero(ok)
-            if not len(at):
-                continue
-            alive, agreed = survivors(np.broadcast_to(sig[i], (len(at), HASHES)), sig[at], num, den)
-            for j, m in zip(at[alive].tolist(), agreed.tolist(), strict=True):
-                found.setdefault((min(label[i], label[j]), max(label[i], label[j])), []).append((-m, int(ids[i]), int(ids[j])))
-        for x in found.values():
-            x.sort()
-            held += max(0, len(x) - best)
-            out_a += [max(p, q) for _, p, q in x[:best]]
-            out_b += [min(p, q) for _, p, q in x[:best]]
-        return out_a, out_b, held
+def joining_links(side: np.ndarray, ids: np.ndarray, label: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Links that join the components of a block pair's members.
+
+    side: 0 is compared with all, 1 with side 2 only. Members already of one component, by label or by a link found
+    here, aren't compared."""
+    sig = np.frombuffer(b"".join(signatures(sets)), np.uint32).reshape(-1, HASHES)
+    size = np.array([len(s) for s in sets])
+    start = np.concatenate([[0], np.cumsum(size)])
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark = np.zeros(codes.max() + 1, bool)
+    root, out = label.copy(), []
+    for i in np.flatnonzero(side < 2).tolist():
+        ok = (root != root[i]) & (np.minimum(size, size[i]) * den >= num * np.maximum(size, size[i]))
+        at = np.flatnonzero(ok & ((side == 2) if side[i] else (np.arange(len(ids)) > i)))
+        if not len(at):
+            continue
+        at = at[survivors(np.broadcast_to(sig[i], (len(at), HASHES)), sig[at], num, den)[0]]
+        if not len(at):
+            continue
+        own = codes[start[i] : start[i + 1]]
+        mark[own] = True
+        ends = np.cumsum(size[at])
+        both = np.add.reduceat(mark[codes[np.repeat(start[at] - ends + size[at], size[at]) + np.arange(ends[-1])]], ends - size[at], dtype=np.int64)
+        mark[own] = False
+        for j in at[den * both >= num * (size[i] + size[at] - both)].tolist():
+            if root[j] != root[i]:
+                out.append((max(int(ids[i]), int(ids[j])), min(int(ids[i]), int(ids[j]))))
+                root[root == root[j]] = root[i]
+    return out
+
+
+def _within(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: the joining links of every block pair. rows: g1, g2 (the block pair), side, id, label, hashes."""
+
+    def links(group: list[tuple]) -> list[tuple[int, int]]:
+        side, ids, label, sets = zip(*group, strict=True)
+        return joining_links(np.array(side), np.array(ids), np.array(label), [np.frombuffer(s, np.uint64) for s in sets], num, den)
 
     def run(batches):
         key, group = None, []
         for b in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for row in zip(*(b.column(c).to_pylist() for c in ("g1", "g2", "side", "id", "label", "n", "sig")), strict=True):
+            out = []
+            for row in zip(*(b.column(c).to_pylist() for c in ("g1", "g2", "side", "id", "label", "hashes")), strict=True):
                 if row[:2] != key:
-                    if len(group) > 1:
-                        x, y, held = pairs(group)
-                        out[0].extend(x), out[1].extend(y), out[2].extend([held] * len(x))
+                    out += links(group) if len(group) > 1 else []
                     key, group = row[:2], []
-                group.append((None, *row[2:]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b", "held"])
+                group.append(row[2:])
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
         if len(group) > 1:
-            x, y, held = pairs(group)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (x, y, [held] * len(x))], names=["a", "b", "held"])
+            out = links(group)
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
-    return rows.repartition("g1", "g2").sortWithinPartitions("g1", "g2").mapInArrow(run, "a long, b long, held long")
+    return rows.repartition("g1", "g2").sortWithinPartitions("g1", "g2").mapInArrow(run, "a long, b long")
 
 
-def _block_pairs(members: DataFrame, labels: DataFrame, sigs: DataFrame) -> DataFrame:
+def _block_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """The members of buckets that hold several labels, in pairs of blocks of about BLOCK members.
 
     A label with half a block of a bucket or more has blocks of its own, which needn't meet each other; the bucket's
     other members share blocks by label. Every pair of different labels meets in one block pair."""
-    m = persist(members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"), "n"), "near-members")
+    m = persist(members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")), "near-members")
     mixed = persist(m.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"), "near-mixed")
     m = persist(m.join(mixed, "key"), "near-members")
     of_label = persist(m.groupBy("key", "label").agg(F.count("*").alias("c")), "near-sizes")
@@ -244,14 +250,14 @@ def _block_pairs(members: DataFrame, labels: DataFrame, sigs: DataFrame) -> Data
     own = F.col("c") * 2 >= BLOCK
     slot = F.when(own, F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / BLOCK))).otherwise(F.pmod(F.xxhash64("label"), F.greatest(F.ceil(F.col("rest") / BLOCK), F.lit(1))))
     whose = F.when(own, F.col("label"))
-    m = persist(m.select("key", "id", "label", "n", whose.alias("whose"), F.xxhash64("key", F.coalesce(whose, F.lit(-1)), own, slot).alias("block")), "near-members")
+    m = persist(m.select("key", "id", "label", whose.alias("whose"), F.xxhash64("key", F.coalesce(whose, F.lit(-1)), own, slot).alias("block")), "near-members")
     blocks = persist(m.select("key", "block", "whose").distinct(), "near-blocks")
     other = blocks.select("key", F.col("block").alias("block2"), F.col("whose").alias("whose2"))
     pairs = blocks.join(other, "key").where("block <= block2 and (whose is null or whose2 is null or whose <> whose2)")
     first = pairs.select(F.col("block").alias("g1"), F.col("block2").alias("g2"), "block", F.when(F.col("block") == F.col("block2"), 0).otherwise(1).alias("side"))
     second = pairs.where("block < block2").select(F.col("block").alias("g1"), F.col("block2").alias("g2"), F.col("block2").alias("block"), F.lit(2).alias("side"))
-    met = m.select("block", "id", "label", "n").join(persist(first.union(second), "near-blocks"), "block")
-    return persist(met, "near-met").join(sigs.select("id", "sig"), "id")
+    met = m.select("block", "id", "label").join(persist(first.union(second), "near-blocks"), "block").select("g1", "g2", "side", "id", "label")
+    return persist(met, "near-met").join(sets, "id")
 
 
 def _described(src: DataFrame, n_words: int) -> DataFrame:
@@ -304,29 +310,19 @@ def near_duplicates(df: DataFrame, n_words: int = 5, num: int = 4, den: int = 5,
     small_batches(df.sparkSession)
     src = df.select(df[id_col].cast("long").alias("doc_id"), df[text].cast("string").alias("text"))
     base = persist(_described(src, n_words), "near-base")
-    reps = persist(base.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "near-reps")
-    sigs = reps.select("id", "n", "sig")
+    reps = persist(base.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "near-reps")
+    sigs = reps.select("id", "sig")
     keys = F.array(*(F.xxhash64(F.lit(k), F.substring("sig", 4 * ROWS * k + 1, 4 * ROWS)) for k in range(BANDS)))
-    bands = sigs.select("id", "n", F.explode(keys).alias("key"))
+    bands = sigs.select("id", F.explode(keys).alias("key"))
     buckets = persist(bands.groupBy("key").agg(F.min("id").alias("center"), F.count("*").alias("c")).where("c > 1").select("key", "center"), "near-buckets")
     members = persist(bands.join(buckets, "key"), "near-members")
     stars = persist(members.where("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct(), "near-stars")
     sets = persist(_full_sets(src, persist(members.select("id").distinct(), "near-ids"), n_words), "near-sets")
-    done = persist(_verified(persist(_probable(stars, sigs, num, den), "near-probable"), sets, num, den), "near-verified")
-    best = BEST
-    while True:
-        labels = components(done.where("linked"))
-        likely = persist(_within(_block_pairs(members, labels, sigs), best, num, den), "near-likely")
-        new = persist(likely.select("a", "b").distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"), "near-new")
-        checked = persist(_verified(new, sets, num, den), "near-verified")
-        found, held = checked.where("linked").count(), likely.agg(F.sum("held")).first()[0] or 0
-        if found or held:
-            done = persist(done.union(checked), "near-verified")
-        if not held:
-            break
-        best *= 8
-    if found:
-        labels = components(done.where("linked"))
+    links = persist(_verified(persist(_probable(stars, sigs, num, den), "near-probable"), sets, num, den).where("linked").select("a", "b"), "near-links")
+    labels = components(links)
+    more = persist(_within(_block_pairs(members.where("id <> center").select("key", "id"), labels, sets), num, den), "near-links")
+    if not more.isEmpty():
+        labels = components(links.union(more))
     # several sets of one id, if ids repeat, are one document
     of_set = persist(reps.select("h1", "h2", "id").join(labels, "id", "left").select("h1", "h2", F.coalesce("label", "id").alias("label")), "near-classes")
     out = base.select("doc_id", "n", "h1", "h2").join(of_set, ["h1", "h2"], "left")
