@@ -3,7 +3,8 @@
 CGK's random walk turns a window of text into a string in which a small edit distance becomes a small Hamming distance:
 at each step it writes the byte under the cursor, and a random bit for the step and that byte says whether the cursor
 moves on. Bit sampling hashes a few places of that string; windows that agree in all places of any of `WALKS` x
-`SAMPLINGS` samplings are candidates. Candidates are verified exactly: an item is found in a text if its edit distance to
+`SAMPLINGS` samplings are candidates, if their whole embedded strings agree in `AGREE` of the places too (the Hamming
+distance that the embedding is for). Candidates are verified exactly: an item is found in a text if its edit distance to
 some stretch of it is at most `1 - similarity` of its length, in characters, after A-Z are lower-cased and white space
 is made plain.
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .shared import small_batches, texts
 
-WALKS, SAMPLINGS, PLACES, SIMILARITY = 4, 3, 12, 0.8
+WALKS, SAMPLINGS, PLACES, AGREE, SIMILARITY = 4, 3, 12, 0.7, 0.8
 SHORTEST, BLOCK_BYTES, WINDOWS = 20, 1 << 20, 1 << 14
 #: Classes by least length in bytes: windows begin at every so many bytes.
 CLASSES = ((80, 16), (40, 8), (20, 4))
@@ -65,6 +66,7 @@ class _Class:
         self.item = np.repeat([i for i, _ in items], [len(s) for s in starts])
         self.offset = np.concatenate([s - base[k] for k, s in enumerate(starts)])
         every = np.concatenate(starts)
+        self.data, self.start = data, every
         self.tables = []
         parts = [list(self.hashes(data, every[lo : lo + WINDOWS])) for lo in range(0, len(every), WINDOWS)]
         for k in range(WALKS * SAMPLINGS):
@@ -89,11 +91,23 @@ class _Class:
                 at += move
             yield from h
 
+    def agreement(self, walk: int, data: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """In how many places the embedded strings of windows of the data and of the items' windows agree."""
+        out = np.zeros(len(at), np.int64)
+        for lo in range(0, len(at), WINDOWS):
+            a, b = at[lo : lo + WINDOWS].astype(np.int64), self.start[rows[lo : lo + WINDOWS]].astype(np.int64)
+            for move in self.moves[walk]:
+                x, y = data[a], self.data[b]
+                out[lo : lo + WINDOWS] += x == y
+                a += move[x]
+                b += move[y]
+        return out
+
     def candidates(self, data: np.ndarray, size: int):
         """(position, item, offset) of windows of data[:size] that share a sampling with an item's window."""
         for lo in range(0, max(0, size - self.width + 1), self.step * WINDOWS):
             starts = np.arange(lo, min(size - self.width + 1, lo + self.step * WINDOWS), self.step)
-            for (marks, keys, by), h in zip(self.tables, self.hashes(data, starts), strict=True):
+            for w, ((marks, keys, by), h) in enumerate(zip(self.tables, self.hashes(data, starts), strict=True)):
                 some = np.flatnonzero(marks[(h >> np.uint64(44)).astype(np.int64)])
                 if not len(some):
                     continue
@@ -101,7 +115,9 @@ class _Class:
                 n = b - a
                 if n.any():
                     rows = by[np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-                    yield np.repeat(starts[some], n), self.item[rows], self.offset[rows]
+                    at = np.repeat(starts[some], n)
+                    alike = self.agreement(w // SAMPLINGS, data, at, rows) >= AGREE * self.width
+                    yield at[alike], self.item[rows[alike]], self.offset[rows[alike]]
 
 
 def nearest(pattern: str, text: str, most: int) -> tuple[int, int, int] | None:
