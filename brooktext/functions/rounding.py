@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())  # a type object, so that importing this needs no session
 def exact_round3(x: pd.Series) -> pd.Series:
     return x.map(lambda v: round(v, 3), na_action="ignore")
