@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import persist, small_batches
+from .shared import persist, small_batches, tidy
 
 TOGETHER = 20_000
 #: The schema of the one tool that turns of a conversation are read as calls of.
@@ -47,7 +47,7 @@ def canonical(x) -> str:
         if not power:
             return digits
         n = int(power)
-        if -7 <= n < 0:
+        if -7 < n < 0:
             return f"{x:.{len(digits.replace('.', '').lstrip('-')) - 1 - n}f}"
         return f"{digits.removesuffix('.0')}e{'+' if n > 0 else '-'}{abs(n)}"
     return json.dumps(x, ensure_ascii=False)
@@ -194,7 +194,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     large = persist(both.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > together).select("conv_id"), "chat-large")
     some = not large.isEmpty()
     small = both.join(large, "conv_id", "left_anti") if some else both
-    out = small.select(names).repartition("conv_id").sortWithinPartitions("conv_id").mapInArrow(together_rows, _OUT)
+    out = small.select(names).repartition("conv_id").sortWithinPartitions("conv_id").mapInArrow(tidy(together_rows), _OUT)
     if not some:
         return out
     big = persist(both.join(large, "conv_id"), "chat-large")
@@ -208,7 +208,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
             yield _record([_row(x, x["level"], x["n_missing"] or 0, schemas) for x in b.to_pylist()])
 
     wide = big.join(level, ["conv_id", "call_id"], "left").join(missing, ["conv_id", "call_id"], "left")
-    return out.union(wide.select(*names, "level", "n_missing").mapInArrow(apart, _OUT))
+    return out.union(wide.select(*names, "level", "n_missing").mapInArrow(tidy(apart), _OUT))
 
 
 def turns_as_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches, texts
+from .shared import small_batches, texts, tidy
 
 WALKS, SAMPLINGS, PLACES, AGREE, SIMILARITY = 4, 3, 12, 0.7, 0.8
 SHORTEST, BLOCK_BYTES, WINDOWS = 20, 1 << 20, 1 << 14
@@ -241,7 +241,7 @@ def benchmark_matches(df: DataFrame, benchmark: DataFrame, text: str = "text", i
                 rows = [(d, index.texts[k][0], *rest) for d, found in zip(b.column("doc_id").to_pylist(), index.matches(texts(b), similarity), strict=True) for k, *rest in found]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(5)], names=["doc_id", "item_id", "distance", "start", "end"])
 
-        part = src.mapInArrow(run, ddl)
+        part = src.mapInArrow(tidy(run), ddl)
         out = part if out is None else out.union(part)
     return spark.createDataFrame([], ddl) if out is None else out
 
@@ -256,5 +256,5 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", s
             for b in batches:
                 yield b.filter(pa.array([not found for found in index.matches(texts(b, text), similarity)], pa.bool_()))
 
-        df = df.mapInArrow(run, df.schema)
+        df = df.mapInArrow(tidy(run), df.schema)
     return df

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .shared import file_system, new_folder, texts
+from .shared import file_system, new_folder, texts, tidy
 
 WIDTH = 64
 PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
@@ -138,7 +138,7 @@ def write_archives(df: DataFrame, folder: str, text: str = "text", id_col: str =
             yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*packer.done, strict=True)], names=["name", "size", "members"])
 
     src = df.select(df[id_col].cast("long").alias("id"), df[text].cast("string").alias("text"))
-    src.mapInArrow(run, "name string, size long, members long").write.parquet(f"{folder}/_packed")  # commits one attempt of each task
+    src.mapInArrow(tidy(run), "name string, size long, members long").write.parquet(f"{folder}/_packed")  # commits one attempt of each task
     listed = spark.read.schema("name string, size long, members long").parquet(f"{folder}/_packed").orderBy("name").collect()
     with fs.open_output_stream(f"{root}/{MANIFEST}") as f:
         f.write(json.dumps([[r.name, r.size] for r in listed]).encode())
@@ -251,7 +251,7 @@ def with_features(media: DataFrame) -> DataFrame:
                 names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
             )
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(tidy(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def media_table(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:

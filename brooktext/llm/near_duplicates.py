@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunks, persist, small_batches, texts
+from .shared import chunks, persist, small_batches, texts, tidy
 
 BANDS, ROWS, BATCH, MISS, BLOCK = 32, 4, 16, 1e-7, 256
 HASHES = BANDS * ROWS
@@ -147,7 +147,7 @@ def _probable(pairs: DataFrame, sigs: DataFrame, num: int, den: int) -> DataFram
             yield pa.RecordBatch.from_arrays([b.column("a").take(pa.array(alive)), b.column("b").take(pa.array(alive))], names=["a", "b"])
 
     one = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a")
-    return one.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return one.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -159,7 +159,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
 
     one = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a")
-    return one.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
+    return one.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long, linked boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -233,7 +233,7 @@ def _within(rows: DataFrame, num: int, den: int) -> DataFrame:
             out = links(group)
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
-    return rows.repartition("g1", "g2").sortWithinPartitions("g1", "g2").mapInArrow(run, "a long, b long")
+    return rows.repartition("g1", "g2").sortWithinPartitions("g1", "g2").mapInArrow(tidy(run), "a long, b long")
 
 
 def _block_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
@@ -279,7 +279,7 @@ def _described(src: DataFrame, n_words: int) -> DataFrame:
                 )
                 at += len(part)
 
-    return src.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sig binary")
+    return src.mapInArrow(tidy(run), "doc_id long, n long, h1 long, h2 long, sig binary")
 
 
 def _full_sets(src: DataFrame, ids: DataFrame, n_words: int) -> DataFrame:
@@ -302,7 +302,7 @@ def _full_sets(src: DataFrame, ids: DataFrame, n_words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([i[k] for k in rows[at : at + len(part)]], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "hashes"])
                 at += len(part)
 
-    return src.withColumnRenamed("doc_id", "id").join(ids, "id").select("id", "text").mapInArrow(run, "id long, hashes binary")
+    return src.withColumnRenamed("doc_id", "id").join(ids, "id").select("id", "text").mapInArrow(tidy(run), "id long, hashes binary")
 
 
 def near_duplicates(df: DataFrame, n_words: int = 5, num: int = 4, den: int = 5, text: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -31,11 +31,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunks, small_batches, texts
+from .shared import chunks, small_batches, texts, tidy
 from .token_files import Table, gathered
 
 SPACE = "▁"
-KNOWN_CHUNKS, BATCH_CHARS, CACHE_BITS = 1_000_000, 6 << 20, 21
+KNOWN_CHUNKS, BATCH_CHARS, MATCH_CHARS, CACHE_BITS = 600_000, 4 << 20, 400_000, 20
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -275,7 +275,7 @@ class Model:
         """The ids of chunks as little-endian 32-bit numbers."""
         plain = [k for k, t in enumerate(items) if SPACE * 2 not in t]
         out: list[bytes] = [b""] * len(items)
-        found = self.matched([items[k] for k in plain]) if plain else []
+        found = [ids for part in chunks([items[k] for k in plain], MATCH_CHARS) for ids in self.matched(part)]
         rest = [k for k, t in enumerate(items) if SPACE * 2 in t]
         for k, ids in [*zip(plain, found, strict=True), *((k, np.array(self.merged(items[k])[0], np.int64)) for k in rest)]:
             if self.unknown in ids:
@@ -342,11 +342,14 @@ def encoder_for(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode_pieces(df: DataFrame, model: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """df with a column of ids (array<int>) for each row's text, in place of any column of that name."""
+def encode_pieces(df: DataFrame, model: str, text: str = "text", out: str = "ids", check: str | None = None) -> DataFrame:
+    """df with a column of ids (array<int>) for each row's text, in place of any column of that name.
+
+    check: adds a column that says whether decoding the ids gives the text back."""
     small_batches(df.sparkSession)
-    df = df.select(*(c for c in df.columns if c != out), F.array().cast("array<int>").alias(out))
-    names = df.columns
+    added = {out: F.array().cast("array<int>")} | ({check: F.lit(False)} if check else {})
+    df = df.select(*(c for c in df.columns if c not in added), *(c.alias(n) for n, c in added.items()))
+    names, kept = df.columns, len(df.columns) - len(added)
 
     def run(batches):
         e = encoder_for(model)
@@ -354,11 +357,13 @@ def encode_pieces(df: DataFrame, model: str, text: str = "text", out: str = "ids
             at = 0
             for part in chunks(texts(b, text), BATCH_CHARS):
                 ids, ends = e.encode(part)
-                col = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(at, len(part)) for c in names[:-1]), col], names=names)
+                cols = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))]
+                if check:
+                    cols.append(pa.array([t.replace(SPACE, " ") == u for t, u in zip(part, e.decode(ids, ends), strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(at, len(part)) for k in range(kept)), *cols], names=names)
                 at += len(part)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)
 
 
 def decode_pieces(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -375,7 +380,7 @@ def decode_pieces(df: DataFrame, model: str, ids: str = "ids", out: str = "decod
             ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64) if lists is not None else col.offsets.to_numpy().astype(np.int64)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:-1]), pa.array(e.decode(flat, ends - ends[0]), pa.string())], names=names)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)
 
 
 def piece_table(df: DataFrame, model: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -399,4 +404,4 @@ def piece_table(df: DataFrame, model: str, text: str = "text", id_col: str = "do
                 at += len(part)
 
     src = df.select(df[id_col].cast("long").alias("doc_id"), df[text].cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+    return src.mapInArrow(tidy(run), "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean")

@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import persist, small_batches
+from .shared import persist, small_batches, tidy
 
 KEY = b"brooktext surrogate key"
 LISTED_ATTEMPTS = 3
@@ -217,7 +217,7 @@ def surrogates(entities: DataFrame, key: bytes = KEY) -> DataFrame:
                 new = [surrogate(k, c, attempt, key) for k, c in zip(b.column("kind").to_pylist(), b.column("canon").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("canon"), pa.array(new, pa.string())], names=["kind", "canon", "surrogate"])
 
-        drawn = persist(pending.mapInArrow(run, "kind string, canon string, surrogate string"), "pii-drawn")
+        drawn = persist(pending.mapInArrow(tidy(run), "kind string, canon string, surrogate string"), "pii-drawn")
         sole = drawn.groupBy("kind", "surrogate").agg(F.min("canon").alias("canon"))
         sole = sole.join(entities.select("kind", F.col("canon").alias("surrogate")), ["kind", "surrogate"], "left_anti")
         if taken is not None:
@@ -254,7 +254,7 @@ def replace_pii(df: DataFrame, text: str = "text", key: bytes = KEY, kinds_colum
     from pyspark.sql import types as T
 
     wide = T.StructType([*schema.fields, T.StructField("pii_row", T.StringType()), T.StructField("pii_spans", T._parse_datatype_string(spans_ddl))])
-    rows = persist(df.mapInArrow(marked, wide), "pii-rows")
+    rows = persist(df.mapInArrow(tidy(marked), wide), "pii-rows")
     mentions = rows.select("pii_row", F.posexplode("pii_spans").alias("pos", "s")).select("pii_row", "pos", F.col("s.kind").alias("kind"), F.col("s.canon").alias("canon"))
     given = surrogates(persist(mentions.select("kind", "canon").distinct(), "pii-entities"), key)
     new = mentions.join(given, ["kind", "canon"]).groupBy("pii_row").agg(F.sort_array(F.collect_list(F.struct("pos", "surrogate"))).alias("pii_new"))
@@ -280,4 +280,4 @@ def replace_pii(df: DataFrame, text: str = "text", key: bytes = KEY, kinds_colum
                 cols["n_chars"] = pa.array([None if o is None else len(o) for o in out], cols["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=names)
 
-    return df.mapInArrow(clean, schema).union(joined.select(*names, "pii_spans", "pii_new").mapInArrow(rewritten, schema))
+    return df.mapInArrow(tidy(clean), schema).union(joined.select(*names, "pii_spans", "pii_new").mapInArrow(tidy(rewritten), schema))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fold, hash_sample, persist, small_batches, texts
+from .shared import fold, hash_sample, persist, small_batches, texts, tidy
 
 FEATURES, RIDGE, SEED, FIT_ROWS, FIT_PARTS = 384, 1e-3, 20_240_229, 200_000, 16
 THRESHOLD = 0.3
@@ -77,7 +77,7 @@ def with_statistics(df: DataFrame, text: str = "text", id_col: str = "doc_id") -
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([statistics(t) for t in texts(b)], pa.list_(pa.float64()))], names=["doc_id", "stats"])
 
-    return df.select(df[id_col].cast("long").alias("doc_id"), df[text].cast("string").alias("text")).mapInArrow(run, "doc_id long, stats array<double>")
+    return df.select(df[id_col].cast("long").alias("doc_id"), df[text].cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, stats array<double>")
 
 
 @dataclass
@@ -164,7 +164,7 @@ def fit(stats: DataFrame, labels: DataFrame, target: str = "quality", fit_rows:
         if a is not None:
             yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()]), pa.array([b.tobytes()])], names=["a", "b"])
 
-    parts = rows.where("not calibrates").mapInArrow(sums, "a binary, b binary").collect()  # FIT_PARTS at most
+    parts = rows.where("not calibrates").mapInArrow(tidy(sums), "a binary, b binary").collect()  # FIT_PARTS at most
     d = len(fourier.shift) + 1 + STATISTICS
     a = sum((np.frombuffer(p.a).reshape(d, d) for p in parts), np.zeros((d, d)))
     b = sum((np.frombuffer(p.b) for p in parts), np.zeros(d))
@@ -174,7 +174,7 @@ def fit(stats: DataFrame, labels: DataFrame, target: str = "quality", fit_rows:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(model.raw(_matrix(batch))), batch.column("y")], names=["raw", "y"])
 
-    held = np.array([tuple(r) for r in rows.where("calibrates").mapInArrow(raws, "raw double, y double").collect()]).reshape(-1, 2)  # a fifth of fit_rows
+    held = np.array([tuple(r) for r in rows.where("calibrates").mapInArrow(tidy(raws), "raw double, y double").collect()]).reshape(-1, 2)  # a fifth of fit_rows
     if len(held):
         model.knots, model.values = isotonic(held[:, 0], held[:, 1])
     return model
@@ -193,7 +193,7 @@ def scored(stats: DataFrame, model: QualityModel, held_out: tuple[int, int], thr
             s = model.score(_matrix(b))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s)], names=["doc_id", "score"])
 
-    out = stats.mapInArrow(run, "doc_id long, score double")
+    out = stats.mapInArrow(tidy(run), "doc_id long, score double")
     return out.select("doc_id", (fold(held_out[0]) == held_out[1]).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -212,4 +212,4 @@ def keep_good(df: DataFrame, labels: DataFrame, target: str = "quality", thresho
                 keep += (model.score(np.array([statistics(x) for x in t[lo : lo + 1000]]).reshape(-1, STATISTICS)) >= threshold).tolist()
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)

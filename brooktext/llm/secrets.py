@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import texts
+from .shared import texts, tidy
 
 #: Kinds in the order in which spans that start at one place are listed.
 KINDS = ("assign", "access", "hex")
@@ -192,4 +192,4 @@ def scan_secrets(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> D
             yield pa.RecordBatch.from_arrays(cols, names=[id_col, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_layered"])
 
     src = df.select(df[id_col].cast("long").alias("id"), df[text].cast("string").alias("text"))
-    return src.mapInArrow(run, f"`{id_col}` long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layered long")
+    return src.mapInArrow(tidy(run), f"`{id_col}` long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layered long")

@@ -52,6 +52,26 @@ def chunks(items: list[str], chars: int) -> Iterator[list[str]]:
         yield items[at:]
 
 
+def tidy(run):
+    """run, for mapInArrow, giving the memory that Arrow and the C library keep for reuse back at the end of a task, as workers live on."""
+
+    def tidied(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # a C library without it
+                pass
+
+    return tidied
+
+
 def file_system(uri: str):
     """pyarrow's file system for a URI or plain path, and the path within it."""
     from pyarrow import fs

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import chunks, file_system, hash_sample, new_folder, small_batches, texts
+from .shared import chunks, file_system, hash_sample, new_folder, small_batches, texts, tidy
 
 MAGIC = b"BTOK1\0\0\0"
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES, LEVEL = 2000, 4096, 64 << 10, 3
@@ -224,7 +224,7 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int, t
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([None if null[0] else ids[0]], pa.int64()), pa.array([n], pa.int64()), pa.array([sum(sizes)], pa.int64())], names=["name", "first", "docs", "ids"])
 
     ranged = src.repartitionByRange(partitions, "id") if partitions else src.repartitionByRange("id")
-    ranged.sortWithinPartitions("id", "text").mapInArrow(run, "name string, first long, docs long, ids long").write.parquet(f"{folder}/_packed")
+    ranged.sortWithinPartitions("id", "text").mapInArrow(tidy(run), "name string, first long, docs long, ids long").write.parquet(f"{folder}/_packed")
     rows = spark.read.schema("name string, first long, docs long, ids long").parquet(f"{folder}/_packed").collect()  # one a file
     listed, start = [], 0
     for r in sorted(rows, key=lambda r: (r.first is not None, r.first or 0)):
@@ -291,7 +291,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                     )
 
     files = spark.createDataFrame([(n, s) for n, s, _ in listed], "name string, start long")
-    return files.repartition(max(1, len(listed))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(max(1, len(listed))).mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_table(df: DataFrame, tokenizer: str, end_id: int = 1, text: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from brooktext.llm.decontamination import drop_contaminated
 from brooktext.llm.near_duplicates import drop_near_duplicates
-from brooktext.llm.pieces import decode_pieces, encode_pieces
+from brooktext.llm.pieces import encode_pieces
 from brooktext.llm.pii import replace_pii
 from brooktext.llm.quality import keep_good
+from brooktext.llm.shared import persist
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -42,9 +43,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds the text's piece ids, their number, and whether decoding them gives the text back."""
-    coded = decode_pieces(encode_pieces(docs, PIECES), PIECES)
-    same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit("▁"), F.lit(" "))
-    return coded.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_pieces"), same.alias("round_trip"))
+    return encode_pieces(docs, PIECES, check="round_trip").withColumn("n_pieces", F.size("ids").cast("long"))
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("pii", pii), ("pieces", pieces)]
@@ -54,8 +53,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole of documents, one after another; between stages the rows are written to the shared folder."""
-    from brooktext.llm.shared import persist
-
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         df = persist(stage(spark, df, sf_dir), f"pipeline-{name}")
