@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fold, hash_sample, persist, texts
+from .shared import fold, hash_sample, persist, texts, tidy
 
-FIT_ROWS, VOTERS, TERMS, CANDIDATES, THRESHOLD = 30_000, 128, 320, 20_000, 0.3
+FIT_ROWS, VOTERS, TERMS, CANDIDATES, KNOWN, THRESHOLD = 30_000, 128, 320, 20_000, 0.99, 0.3
 PREFIXES = (4, 5, 6)
 MEMO = 400_000
 
@@ -88,7 +88,8 @@ class LabelModel:
 
     @classmethod
     def fit(cls, votes: np.ndarray, known: np.ndarray, rounds: int = 40) -> LabelModel:
-        """votes: rows x voters of 0 or 1. The first posterior leans on the known labels and the count of hits; after that the votes alone decide."""
+        """votes: rows x voters of 0 or 1. The known labels take part as one more voter, of a fixed accuracy of `KNOWN`; without it any
+        chance hit could make a class of its own."""
         v = votes.astype(np.float64)
         k = v.shape[1]
         q, prior = np.clip(0.5 * known + 0.5 * np.minimum(v.sum(axis=1) / 3, 1), 0.01, 0.99), float(known.mean())
@@ -106,15 +107,17 @@ class LabelModel:
                 corr = c / np.outer(s, s)
                 weight = 1 / np.sqrt(np.maximum(1.0, np.where(np.abs(corr) > 0.3, np.abs(corr), 0).sum(axis=1)))
             prior = float(np.clip(q.mean(), 1e-4, 0.5)) if step else prior
-            now = cls(prior, hit, none, weight, corr).posterior(votes)
+            now = cls(prior, hit, none, weight, corr).posterior(votes, known)
             if np.abs(now - q).max() < 1e-6 and step > 15:
                 break
             q = now
         return cls(prior, hit, none, weight, corr)
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
+    def posterior(self, votes: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
         z = np.log(self.prior / (1 - self.prior)) + votes @ (self.weight * np.log(self.hit[1] / self.hit[0]))
         z += (votes.sum(axis=1) == 0) * np.log(self.none[1] / self.none[0])
+        if known is not None:
+            z += (2 * known - 1) * np.log(KNOWN / (1 - KNOWN))
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
@@ -220,7 +223,7 @@ def _counted(rows: DataFrame, keep: frozenset | None) -> DataFrame:
             part = items[lo : lo + 10_000]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part]), pa.array([v for _, v in part], pa.int64())], names=["term", "n"])
 
-    return rows.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return rows.select("text").mapInArrow(tidy(run), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def _unlike(features: Features, rows: DataFrame) -> list[str]:
@@ -237,7 +240,7 @@ def _unlike(features: Features, rows: DataFrame) -> list[str]:
     n = len(features.terms)
     if not n:
         return []
-    both = sum((np.frombuffer(r.a, np.uint32).reshape(n, n).astype(np.float64) for r in rows.select("text").coalesce(8).mapInArrow(run, "a binary").collect()), np.zeros((n, n)))
+    both = sum((np.frombuffer(r.a, np.uint32).reshape(n, n).astype(np.float64) for r in rows.select("text").coalesce(8).mapInArrow(tidy(run), "a binary").collect()), np.zeros((n, n)))
     size, kept = np.maximum(np.diag(both), 1), []
     for i in range(n):
         if all(both[i, j] <= 0.9 * (size[i] + size[j] - both[i, j]) for j in kept):
@@ -255,7 +258,7 @@ def fit(df: DataFrame, labels: DataFrame, target: str = "toxic", text: str = "te
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("text"), b.column("y"), pa.array([sketch(t.lower()) for t in texts(b)], pa.int64())], names=["text", "y", "sketch"])
 
-    rows = persist(src.select("text", "y").mapInArrow(keyed, "text string, y int, sketch long").groupBy("sketch").agg(F.min(F.struct(F.xxhash64("text"), "text", "y")).alias("r")).select("r.text", "r.y"), "toxicity-fit")
+    rows = persist(src.select("text", "y").mapInArrow(tidy(keyed), "text string, y int, sketch long").groupBy("sketch").agg(F.min(F.struct(F.xxhash64("text"), "text", "y")).alias("r")).select("r.text", "r.y"), "toxicity-fit")
     sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     terms: list[str] = []
@@ -264,7 +267,8 @@ def fit(df: DataFrame, labels: DataFrame, target: str = "toxic", text: str = "te
         held = {r.term: r.n for r in _counted(rows.where("y = 1"), None).where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()}
         others = {r.term: r.n for r in _counted(rows.where("y = 0"), frozenset(held)).collect()}
         # a lower bound of the rate among toxic rows against an upper bound of the rate among the others
-        lift = {t: (max(0.0, n - 1.5 * n**0.5) / n1) / ((others.get(t, 0) + 1.5 * others.get(t, 0) ** 0.5 + 1) / n0) for t, n in held.items()}
+        # (a beginning that several words share is less likely to be chance)
+        lift = {t: (max(0.0, n - (0.8 if "#" in t else 1.5) * n**0.5) / n1) / ((others.get(t, 0) + 1.5 * others.get(t, 0) ** 0.5 + 1) / n0) for t, n in held.items()}
         terms = sorted((t for t in held if lift[t] > 3), key=lambda t: (-lift[t], t))[: 2 * TERMS]
         terms = _unlike(Features(terms), rows.where("y = 1"))
     features = Features(terms)
@@ -274,14 +278,15 @@ def fit(df: DataFrame, labels: DataFrame, target: str = "toxic", text: str = "te
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in features.matrix(texts(b))], pa.binary()), b.column("y")], names=["x", "y"])
 
-    got = rows.mapInArrow(rowed, "x binary, y int").collect()  # 2 * fit_rows at most, a few hundred bytes each
+    got = rows.mapInArrow(tidy(rowed), "x binary, y int").collect()  # 2 * fit_rows at most, a few hundred bytes each
     if not got or not n1 or not n0:
         weight = np.zeros(len(features.names) + 1)
         weight[:fixed], weight[-1] = 3.0, -3.0
         return ToxicityModel(features, weight)
     x = np.frombuffer(b"".join(r.x for r in got), np.uint8).reshape(len(got), -1)
-    model = LabelModel.fit(x[:, : fixed + min(VOTERS, len(terms))], np.array([r.y for r in got], np.float64))
-    return ToxicityModel(features, logistic(x, model.posterior(x[:, : fixed + min(VOTERS, len(terms))])), model)
+    votes, known = x[:, : fixed + min(VOTERS, len(terms))], np.array([r.y for r in got], np.float64)
+    model = LabelModel.fit(votes, known)
+    return ToxicityModel(features, logistic(x, model.posterior(votes, known)), model)
 
 
 def toxicity_scores(df: DataFrame, labels: DataFrame, target: str = "toxic", text: str = "text", id_col: str = "doc_id", held_out: tuple[int, int] = (4, 2), threshold: float = THRESHOLD) -> DataFrame:
@@ -293,5 +298,5 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, target: str = "toxic", tex
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.scores(texts(b)))], names=["doc_id", "score"])
 
-    out = df.select(df[id_col].cast("long").alias("doc_id"), df[text].cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    out = df.select(df[id_col].cast("long").alias("doc_id"), df[text].cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, score double")
     return out.select("doc_id", (fold(held_out[0]) == held_out[1]).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
