@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunks, persist, small_batches, texts, tidy
+from .shared import chunks, discard, persist, small_batches, texts, tidy
 
 BANDS, ROWS, BATCH, MISS, BLOCK = 32, 4, 16, 1e-7, 256
 HASHES = BANDS * ROWS
@@ -168,17 +168,22 @@ def components(edges: DataFrame) -> DataFrame:
     Each step is a grouped minimum and a join, written out; a vertex of very many edges is summed up before the shuffle
     and split in the join."""
     e = persist(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "cc")
+    digest = F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
     while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = persist(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "cc")
-        large = persist(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "cc")
+        first = persist(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "cc")
+        large = persist(both.where("b > a").join(first, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "cc")
         least = persist(large.groupBy("a").agg(F.min("b").alias("m")), "cc")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b")))
         new = persist(small.distinct(), "cc")
-        if new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() == e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first():
-            break
+        same = new.agg(*digest).first() == e.agg(*digest).first()
+        discard(e, first, large, least)
         e = new
-    return persist(new.select(F.col("a").alias("id"), F.col("b").alias("label")).union(new.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct()), "cc")
+        if same:
+            break
+    out = persist(new.select(F.col("a").alias("id"), F.col("b").alias("label")).union(new.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct()), "cc")
+    discard(new)
+    return out
 
 
 def joining_links(side: np.ndarray, ids: np.ndarray, label: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
@@ -236,28 +241,34 @@ def _within(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.repartition("g1", "g2").sortWithinPartitions("g1", "g2").mapInArrow(tidy(run), "a long, b long")
 
 
-def _block_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+def _block_pairs(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """The members of buckets that hold several labels, in pairs of blocks of about BLOCK members.
 
     A label with half a block of a bucket or more has blocks of its own, which needn't meet each other; the bucket's
-    other members share blocks by label. Every pair of different labels meets in one block pair."""
-    m = persist(members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")), "near-members")
-    mixed = persist(m.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"), "near-mixed")
-    m = persist(m.join(mixed, "key"), "near-members")
-    of_label = persist(m.groupBy("key", "label").agg(F.count("*").alias("c")), "near-sizes")
-    rest = persist(of_label.groupBy("key").agg(F.sum(F.when(F.col("c") * 2 < BLOCK, F.col("c")).otherwise(0)).alias("rest")), "near-sizes")
-    m = persist(m.join(of_label, ["key", "label"]), "near-members").join(rest, "key")
+    other members share blocks by label. Every pair of different labels meets in one block pair. Also returns the tables written on the way."""
+    used: list[DataFrame] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        used.append(persist(df, f"near-{name}"))
+        return used[-1]
+
+    m = kept(members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")), "members")
+    mixed = kept(m.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"), "mixed")
+    m = kept(m.join(mixed, "key"), "members")
+    of_label = kept(m.groupBy("key", "label").agg(F.count("*").alias("c")), "sizes")
+    rest = kept(of_label.groupBy("key").agg(F.sum(F.when(F.col("c") * 2 < BLOCK, F.col("c")).otherwise(0)).alias("rest")), "sizes")
+    m = kept(m.join(of_label, ["key", "label"]), "members").join(rest, "key")
     own = F.col("c") * 2 >= BLOCK
     slot = F.when(own, F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / BLOCK))).otherwise(F.pmod(F.xxhash64("label"), F.greatest(F.ceil(F.col("rest") / BLOCK), F.lit(1))))
     whose = F.when(own, F.col("label"))
-    m = persist(m.select("key", "id", "label", whose.alias("whose"), F.xxhash64("key", F.coalesce(whose, F.lit(-1)), own, slot).alias("block")), "near-members")
-    blocks = persist(m.select("key", "block", "whose").distinct(), "near-blocks")
+    m = kept(m.select("key", "id", "label", whose.alias("whose"), F.xxhash64("key", F.coalesce(whose, F.lit(-1)), own, slot).alias("block")), "members")
+    blocks = kept(m.select("key", "block", "whose").distinct(), "blocks")
     other = blocks.select("key", F.col("block").alias("block2"), F.col("whose").alias("whose2"))
     pairs = blocks.join(other, "key").where("block <= block2 and (whose is null or whose2 is null or whose <> whose2)")
     first = pairs.select(F.col("block").alias("g1"), F.col("block2").alias("g2"), "block", F.when(F.col("block") == F.col("block2"), 0).otherwise(1).alias("side"))
     second = pairs.where("block < block2").select(F.col("block").alias("g1"), F.col("block2").alias("g2"), F.col("block2").alias("block"), F.lit(2).alias("side"))
-    met = m.select("block", "id", "label").join(persist(first.union(second), "near-blocks"), "block").select("g1", "g2", "side", "id", "label")
-    return persist(met, "near-met").join(sets, "id")
+    met = m.select("block", "id", "label").join(kept(first.union(second), "blocks"), "block").select("g1", "g2", "side", "id", "label")
+    return kept(met, "met"), used
 
 
 def _described(src: DataFrame, n_words: int) -> DataFrame:
@@ -317,20 +328,29 @@ def near_duplicates(df: DataFrame, n_words: int = 5, num: int = 4, den: int = 5,
     buckets = persist(bands.groupBy("key").agg(F.min("id").alias("center"), F.count("*").alias("c")).where("c > 1").select("key", "center"), "near-buckets")
     members = persist(bands.join(buckets, "key"), "near-members")
     stars = persist(members.where("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct(), "near-stars")
-    sets = persist(_full_sets(src, persist(members.select("id").distinct(), "near-ids"), n_words), "near-sets")
-    links = persist(_verified(persist(_probable(stars, sigs, num, den), "near-probable"), sets, num, den).where("linked").select("a", "b"), "near-links")
+    ids = persist(members.select("id").distinct(), "near-ids")
+    sets = persist(_full_sets(src, ids, n_words), "near-sets")
+    probable = persist(_probable(stars, sigs, num, den), "near-probable")
+    links = persist(_verified(probable, sets, num, den).where("linked").select("a", "b"), "near-links")
     labels = components(links)
-    more = persist(_within(_block_pairs(members.where("id <> center").select("key", "id"), labels, sets), num, den), "near-links")
+    met, used = _block_pairs(members.where("id <> center").select("key", "id"), labels)
+    more = persist(_within(met.join(sets, "id"), num, den), "near-links")
     if not more.isEmpty():
+        used.append(labels)
         labels = components(links.union(more))
     # several sets of one id, if ids repeat, are one document
     of_set = persist(reps.select("h1", "h2", "id").join(labels, "id", "left").select("h1", "h2", F.coalesce("label", "id").alias("label")), "near-classes")
+    discard(*used, reps, buckets, members, stars, ids, sets, probable, links, more, labels)
     out = base.select("doc_id", "n", "h1", "h2").join(of_set, ["h1", "h2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out.reads = (base, of_set)  # the tables that it reads, for callers that are done with it
+    return out
 
 
 def drop_near_duplicates(df: DataFrame, n_words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """df's rows, with all their columns, of one document of each group: that of the least doc_id. Null ids stay."""
-    gone = persist(near_duplicates(df, n_words, num, den).where("not kept").select("doc_id").distinct(), "near-gone")
+    found = near_duplicates(df, n_words, num, den)
+    gone = persist(found.where("not kept").select("doc_id").distinct(), "near-gone")
+    discard(*found.reads)
     return df.join(gone, "doc_id", "left_anti").select(df.columns)

@@ -35,7 +35,7 @@ from .shared import chunks, small_batches, texts, tidy
 from .token_files import Table, gathered
 
 SPACE = "▁"
-KNOWN_CHUNKS, BATCH_CHARS, MATCH_CHARS, CACHE_BITS = 600_000, 4 << 20, 400_000, 20
+KNOWN_CHUNKS, BATCH_CHARS, MATCH_CHARS, CACHE_BITS = 600_000, 2 << 20, 400_000, 20
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 

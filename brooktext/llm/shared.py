@@ -30,7 +30,17 @@ def persist(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.persisted_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what persist() wrote, once nothing reads it any more."""
+    for df in tables:
+        spark = df.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.persisted_at)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
@@ -52,22 +62,30 @@ def chunks(items: list[str], chars: int) -> Iterator[list[str]]:
         yield items[at:]
 
 
-def tidy(run):
-    """run, for mapInArrow, giving the memory that Arrow and the C library keep for reuse back at the end of a task, as workers live on."""
+def give_back() -> None:
+    """Returns the memory that Arrow and the C library keep for reuse."""
+    import ctypes
 
-    def tidied(batches):
-        import ctypes
+    import pyarrow as pa
 
-        import pyarrow as pa
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
 
+
+def tidy(run, every: int = 8):
+    """run, for mapInArrow, giving memory back now and then and at the end of a task, as workers live on for other tasks."""
+
+    def tidied(batches):
         try:
-            yield from run(batches)
+            for k, out in enumerate(run(batches), 1):
+                yield out
+                if k % every == 0:
+                    give_back()
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except AttributeError:  # a C library without it
-                pass
+            give_back()
 
     return tidied
 
