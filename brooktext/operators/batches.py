@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def shuffled_index(df: DataFrame, key: Column, digits: int = 2) -> DataFrame:
+def shuffled_index(df: DataFrame, key: Column, digits: int = 3) -> DataFrame:
     """df with idx, a dense number from 0 in the order of md5(key), a shuffle that the key's salt decides. Rows of one key are in no certain order."""
     keyed = df.withColumn("order_key", F.md5(key)).withColumn("bucket", F.substring("order_key", 1, digits))
     sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n"))  # 16 ** digits rows at most

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,3 +35,14 @@ def scalar_series(steps: DataFrame, step: str = "step", stats: str = "stats") ->
 def write_series(steps: DataFrame, path: str, step: str = "step", stats: str = "stats") -> None:
     """Appends the steps' series to a table of step, tag, value."""
     scalar_series(steps, step, stats).write.mode("append").parquet(path)
+
+
+def step_log(path: str, name: str = "train") -> logging.Logger:
+    """The driver's log of steps, into a file."""
+    log = logging.getLogger(name)
+    if not any(getattr(h, "baseFilename", None) == path for h in log.handlers):
+        handler = logging.FileHandler(path, encoding="utf-8")
+        handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+        log.addHandler(handler)
+    log.setLevel(logging.INFO)
+    return log

@@ -1,36 +1,18 @@
-"""Settings, with the defaults of the training loop that the scoring is part of."""
+"""Settings of a scoring run."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 
-@dataclass
-class ModelSettings:
-    model_name_or_path: str = "../glm-4-9b-chat-hf"
-    upcast_layernorm: bool = False
+@dataclass(frozen=True)
+class Settings:
+    """The defaults of the training loop that the scoring serves. `sampling` is handed to a model step as it is."""
 
-
-@dataclass
-class GenerationSettings:
-    do_sample: bool = True
-    max_new_tokens: int = 512
-    min_length: int = -1
-    temperature: float = 0.7
-    top_k: float = 0.0
-    top_p: float = 1.0
-
-
-@dataclass
-class TrainingSettings:
+    batch_size: int = 2
     epochs: int = 4
-    global_batch_size: int = 2
-    mini_batch_size: int = 1
-    learning_rate: float = 3e-6
-    num_epochs: int = 4
-    logging_dir: str = "logs"
-    empty_cache_steps: int = 50
-    logging_steps: int = 1
-    save_steps: int = 50
-    output_dir: str = "output"
-    model_output_dir: str = "output/model"
+    log_every: int = 1
+    save_every: int = 50
+    flush_every: int = 50
+    prompt_tokens: int = 512
+    sampling: dict = field(default_factory=lambda: {"max_new_tokens": 512, "min_length": -1, "temperature": 0.7, "top_k": 0.0, "top_p": 1.0})

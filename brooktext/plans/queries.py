@@ -23,9 +23,10 @@ from ..operators.models import precomputed
 from ..operators.reward import batch_means, blended, half_up
 from ..operators.similarity import paired_similarity
 from ..sources.files import vocabulary_of
+from .config import Settings
 from .scoring import scored_responses, step_statistics
 
-BATCH, SALT = 4, "epoch-1"
+BATCH, SALT, SETTINGS = 4, "epoch-1", Settings()
 #: Words that `membership` asks for.
 ASKED = ("the", "and", "of", "est", "und", "que", "absent-word", "Der", "la", "in", "is", "")
 INSTRUCTIONS = {"similarity": "\nScore how alike the two are, from -1 to 1.", "expression": "\n1.0 if literal, 0.0 if figurative.", "vocabulary": "\nLeave out names and punctuation."}
@@ -89,12 +90,12 @@ TOKEN_EXTRACT = f"SELECT doc_id, len(ts)::BIGINT AS n_tokens, md5(array_to_strin
 
 
 def token_cap(spark, sf_dir):
-    """The first 512 tokens of each text, the cap of a prompt."""
+    """The first tokens of each text, up to the cap of a prompt."""
     words = F.filter(split_white(strip(text("text"))), lambda w: w != "")
-    return _read(spark, sf_dir, "documents").select("doc_id", F.slice(words, 1, 512).alias("ts")).select("doc_id", F.size("ts").cast("long").alias("n_kept"), F.md5(F.array_join("ts", " ")).alias("kept_md5"))
+    return _read(spark, sf_dir, "documents").select("doc_id", F.slice(words, 1, SETTINGS.prompt_tokens).alias("ts")).select("doc_id", F.size("ts").cast("long").alias("n_kept"), F.md5(F.array_join("ts", " ")).alias("kept_md5"))
 
 
-TOKEN_CAP = "SELECT doc_id, len(ts)::BIGINT AS n_kept, md5(array_to_string(ts, ' ')) AS kept_md5 FROM (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda w: w <> '')[1:512] AS ts FROM documents)"
+TOKEN_CAP = f"SELECT doc_id, len(ts)::BIGINT AS n_kept, md5(array_to_string(ts, ' ')) AS kept_md5 FROM (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda w: w <> '')[1:{SETTINGS.prompt_tokens}] AS ts FROM documents)"
 
 
 def vocab_coverage(spark, sf_dir):
@@ -290,12 +291,12 @@ COLLATE = f"WITH {SQL_BATCHES} SELECT batch_id, string_agg(role, ',' ORDER BY po
 
 
 def logged_steps(spark, sf_dir):
-    """The batches after which a checkpoint is due, every 50 steps."""
+    """The batches after which a checkpoint is due."""
     rows = B.fixed_batches(_read(spark, sf_dir, "conversations"), _turn_key(), BATCH)
-    return B.every(rows.select("step").distinct(), "step", 50)
+    return B.every(rows.select("step").distinct(), "step", SETTINGS.save_every)
 
 
-LOGGED_STEPS = f"WITH {SQL_BATCHES} SELECT DISTINCT step FROM c WHERE step % 50 = 0"
+LOGGED_STEPS = f"WITH {SQL_BATCHES} SELECT DISTINCT step FROM c WHERE step % {SETTINGS.save_every} = 0"
 
 
 def pair_zip(spark, sf_dir):

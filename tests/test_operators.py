@@ -7,9 +7,9 @@ from brooktext.operators import batches as B
 from brooktext.operators import checkpoints as C
 from brooktext.operators import judging as J
 from brooktext.operators import vocabulary as V
-from brooktext.operators.metrics import SERIES, scalar_series
+from brooktext.operators.metrics import SERIES, scalar_series, step_log
 from brooktext.operators.models import batched, precomputed, segmented
-from brooktext.plans.config import TrainingSettings
+from brooktext.plans.config import Settings
 from brooktext.plans.scoring import scored_responses, step_statistics
 from brooktext.sources import files as S
 from brooktext.streaming.scoring import read_responses, start_scoring
@@ -85,6 +85,13 @@ def test_metrics(spark):
     assert len(got) == 2 * len(SERIES) and (1, "Reward/Average", 0.5) in got and sum(v for *_, v in got) == 0.5
 
 
+def test_logs(tmp_path):
+    for _ in range(2):  # a second call adds no second handler
+        log = step_log(str(tmp_path / "train.log"))
+    log.info("step 1")
+    assert (tmp_path / "train.log").read_text().count("step 1") == 1
+
+
 def test_checkpoints(spark, tmp_path):
     names = spark.createDataFrame([("checkpoint-50",), ("checkpoint-400",), ("checkpoint-100",), ("checkpoint-x",), ("model-900",)], "name string")
     assert tuple(C.latest(names).first()) == ("checkpoint-400", 400)
@@ -131,7 +138,7 @@ def test_model_steps(spark):
     assert rows(precomputed(spark.createDataFrame([(1, 0.5)], "id long, e double"), ["id"], "e")(df)) == [(1, "ab", 0.5), (2, None, None)]
     assert [r.segmented for r in segmented(list)(df).orderBy("id").collect()] == ["a b", ""]
     assert [r.segmented for r in segmented(None)(df).orderBy("id").collect()] == ["ab", ""]
-    assert TrainingSettings().save_steps == 50
+    assert Settings().save_every == 50 and Settings().sampling is not Settings().sampling
 
 
 def test_scoring_plan(spark):
