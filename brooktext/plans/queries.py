@@ -378,9 +378,9 @@ SELECT arg_max(name, (step, name)) AS name, coalesce(max(step), 0) AS step FROM
 
 def ab_cross(spark, sf_dir):
     """Every item under every model: prompt, and the answer cut out of a recorded output. The models are a constant few."""
-    models = spark.createDataFrame([(m,) for m in MODELS], "model string")
+    models = F.explode(F.array(*map(F.lit, MODELS))).alias("model")
     answer = before_end_mark(F.concat(F.lit(" \n"), F.col("model"), F.lit(": "), text("text"), F.lit(" </s> more</s>")))
-    return _read(spark, sf_dir, "benchmark").crossJoin(F.broadcast(models)).select("item_id", "model", F.md5(P.inference_prompt(F.col("text"))).alias("prompt_md5"), answer.alias("answer"))
+    return _read(spark, sf_dir, "benchmark").select("item_id", "text", models).select("item_id", "model", F.md5(P.inference_prompt(F.col("text"))).alias("prompt_md5"), answer.alias("answer"))
 
 
 AB_CROSS = f"""
