@@ -16,9 +16,13 @@ PUNCTUATION = (
 PLACEHOLDER = "～"
 
 
+def punctuation() -> str:
+    """The punctuation for use in a character class; Java and RE2 read it alike."""
+    return "".join(rf"\x{{{c}}}" for c in PUNCTUATION.split())
+
+
 def punctuation_class() -> str:
-    """The punctuation as a character class that Java and RE2 read alike."""
-    return "[" + "".join(rf"\x{{{c}}}" for c in PUNCTUATION.split()) + "]"
+    return f"[{punctuation()}]"
 
 
 def text(c: str | Column) -> Column:
@@ -39,9 +43,14 @@ def split_white(c: Column) -> Column:
     return F.split(c, f"[{WHITE}]+")
 
 
+def words(c: Column) -> Column:
+    """The words of a text in order: punctuation made spaces, split at white space, empty ones dropped. One split does all of it."""
+    return F.filter(F.split(c, f"[{punctuation()}{WHITE}]+"), lambda w: w != "")
+
+
 def tokens(c: Column) -> Column:
-    """The distinct words of a text: punctuation made spaces, split at white space, empty ones dropped."""
-    return F.array_distinct(F.filter(split_white(strip(spaced(c))), lambda w: w != ""))
+    """The distinct words of a text."""
+    return F.array_distinct(words(c))
 
 
 def last_line(c: Column) -> Column:

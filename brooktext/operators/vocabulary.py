@@ -21,6 +21,16 @@ def bounded(vocabulary: DataFrame, limit: int = BROADCAST_WORDS) -> DataFrame:
     return F.broadcast(vocabulary) if vocabulary.limit(limit + 1).count() <= limit else vocabulary
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over the cores if it is read in fewer parts than there are, as with one small or unsplittable file; else as it is.
+
+    What is shuffled before is left alone: its parts are sized at run time, and asking for their number would run it."""
+    if "Adaptive" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def words_of(items: DataFrame, text_col: str = "text") -> DataFrame:
     """The distinct words of all texts: a vocabulary."""
     return items.select(F.explode(tokens(text(text_col))).alias("word")).distinct()
@@ -28,7 +38,7 @@ def words_of(items: DataFrame, text_col: str = "text") -> DataFrame:
 
 def token_rows(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """id and word, a row for each distinct word of each text; a null word for a text without any."""
-    return df.select(id_col, F.explode_outer(tokens(text(text_col))).alias("word"))
+    return spread(df.select(id_col, text_col)).select(id_col, F.explode_outer(tokens(text(text_col))).alias("word"))
 
 
 def coverage(df: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import prompts as P
 from ..functions.responses import REWRITE_LABEL, WORDS_LABEL, parsed, score
-from ..functions.text import before_end_mark, punctuation_class, split_white, spaced, strip, text, tokens
+from ..functions.text import before_end_mark, punctuation_class, split_white, text, tokens, words
 from ..operators import batches as B
 from ..operators import judging as J
 from ..operators import vocabulary as V
@@ -68,8 +68,7 @@ coverage AS (
 
 
 def vocab_build(spark, sf_dir):
-    words = F.filter(split_white(strip(spaced(text("text")))), lambda w: w != "")
-    rows = _read(spark, sf_dir, "benchmark").select("item_id", F.posexplode(words).alias("pos", "word"))
+    rows = _read(spark, sf_dir, "benchmark").select("item_id", F.posexplode(words(text("text"))).alias("pos", "word"))
     entries = rows.withColumn("meaning", F.array(F.concat(F.lit("～ of item "), F.col("item_id").cast("string")), F.concat(F.lit("place "), F.col("pos").cast("string"))))
     return vocabulary_of(entries, "item_id", "pos").select("word", F.array_join("meaning", "; ").alias("meaning"))
 
@@ -82,7 +81,7 @@ SELECT word, arg_max(replace('～ of item ' || item_id, '～', word) || '; place
 
 
 def token_extract(spark, sf_dir):
-    found = _read(spark, sf_dir, "documents").select("doc_id", F.array_sort(tokens(text("text"))).alias("ts"))
+    found = V.spread(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.array_sort(tokens(text("text"))).alias("ts"))
     return found.select("doc_id", F.size("ts").cast("long").alias("n_tokens"), F.md5(F.array_join("ts", " ")).alias("tokens_md5"))
 
 
@@ -91,8 +90,8 @@ TOKEN_EXTRACT = f"SELECT doc_id, len(ts)::BIGINT AS n_tokens, md5(array_to_strin
 
 def token_cap(spark, sf_dir):
     """The first tokens of each text, up to the cap of a prompt."""
-    words = F.filter(split_white(strip(text("text"))), lambda w: w != "")
-    return _read(spark, sf_dir, "documents").select("doc_id", F.slice(words, 1, SETTINGS.prompt_tokens).alias("ts")).select("doc_id", F.size("ts").cast("long").alias("n_kept"), F.md5(F.array_join("ts", " ")).alias("kept_md5"))
+    parts = F.filter(split_white(text("text")), lambda w: w != "")
+    return V.spread(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.slice(parts, 1, SETTINGS.prompt_tokens).alias("ts")).select("doc_id", F.size("ts").cast("long").alias("n_kept"), F.md5(F.array_join("ts", " ")).alias("kept_md5"))
 
 
 TOKEN_CAP = f"SELECT doc_id, len(ts)::BIGINT AS n_kept, md5(array_to_string(ts, ' ')) AS kept_md5 FROM (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda w: w <> '')[1:{SETTINGS.prompt_tokens}] AS ts FROM documents)"
@@ -257,7 +256,9 @@ def reward_blend_exact(spark, sf_dir):
 
 
 def batch_mean(spark, sf_dir):
-    rows = B.fixed_batches(_blend(spark, sf_dir, rounded=half_up), F.concat(F.col("doc_id").cast("string"), F.lit(SALT)), BATCH)
+    ids = _read(spark, sf_dir, "documents").select("doc_id").join(_read(spark, sf_dir, "labels").select("doc_id"), "doc_id")  # what is dealt into batches needs no text
+    batches = B.fixed_batches(ids, F.concat(F.col("doc_id").cast("string"), F.lit(SALT)), BATCH).select("doc_id", "batch_id")
+    rows = _blend(spark, sf_dir, rounded=half_up).join(batches, "doc_id")
     return batch_means(rows).select("batch_id", *(_six(c).alias(c) for c in ("avg_coverage", "avg_expression", "avg_reward")), "n")
 
 
