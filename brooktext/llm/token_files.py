@@ -21,6 +21,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import os
 import struct
 import unicodedata
 import uuid
@@ -32,11 +33,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import chunks, file_system, hash_sample, new_folder, small_batches, texts, tidy
+from .shared import chunks, file_system, give_back, hash_sample, new_folder, small_batches, texts, tidy
 
 MAGIC = b"BTOK1\0\0\0"
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES, LEVEL = 2000, 4096, 64 << 10, 3
-KNOWN_WORDS, CHUNK_CHARS, JOINED = 1_000_000, 6 << 20, 2_000
+KNOWN_WORDS, CHUNK_CHARS, JOINED = 600_000, 4 << 20, 2_000
 #: Marks that may end a word; none begins a contraction.
 MARKS = ".,;:!?*$%&#|)\""
 #: Lower-case letters of the Latin and Cyrillic blocks, which every Unicode version holds for letters.
@@ -77,6 +78,7 @@ class WordEncoder:
     and splitting would not treat as the tokenizer does are encoded whole."""
 
     def __init__(self, path: str, split_words: bool):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of the library's own would only hold memory
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.split_words = Tokenizer.from_file(path), split_words
@@ -198,7 +200,9 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int, t
         end = np.array([end_id], encoder.dtype).tobytes()
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(raw), write_content_size=True)
         ids, sizes, lengths, out, at = [], [], [], None, 0
-        for b in batches:
+        for k, b in enumerate(batches):
+            if k % 8 == 7:
+                give_back()
             if out is None and b.num_rows:
                 fs, root = file_system(folder)
                 name = f"{uuid.uuid4().hex}.btok"
