@@ -2,8 +2,9 @@
 
 Every text is scanned as it stands (the base layer). Then a worklist unwraps what is nested in it: URL escapes,
 Unicode and hexadecimal escapes, base64 runs and compressed bytes inside those. Each new layer is scanned again and
-unwrapped further until no new layer appears. A layer's text that was seen before in the same document ends that
-branch (cycle detection). Spans found in a layer are mapped back to code points of the document.
+unwrapped further until no new layer appears. A text that was seen before at the same place ends that branch (cycle
+detection): the whole document's for its unescaped layers, one run's for what is packed in it. What a packed text shows is
+found once a document and reported for each of its places. Spans are mapped back to code points of the document.
 
 Defined results: null and empty texts have no spans; repeated rows give equal rows; a text of any length is scanned
 whole. A base64 run or compressed stream that unwraps to more than `MAX_LAYER` bytes is left packed, as a guard
@@ -129,22 +130,48 @@ def _readable(data: bytes) -> str | None:
     return text if text and odd * 20 <= len(text) else None
 
 
-def _packed(layer: _Layer) -> Iterator[_Layer]:
-    """A layer for each base64 run that holds text, or compressed text."""
+def _unpacked(run: str) -> tuple[str, str] | None:
+    """The text, or compressed text, that a base64 run holds, and the names of its layers."""
+    run = run.rstrip("=").replace("-", "+").replace("_", "/")
+    if len(run) % 4 == 1:
+        return None
+    try:
+        data = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
+    except (binascii.Error, ValueError):
+        return None
+    chain = "base64>"
+    while data is not None and len(data) <= MAX_LAYER:
+        if (text := _readable(data)) is not None:
+            return text, chain
+        data, chain = _inflated(data), f"{chain}compressed>"
+    return None
+
+
+def _nested(layer: _Layer, runs: dict[str, tuple[str, str] | None]) -> Iterator[_Layer]:
+    """The layers right inside a layer; `runs` keeps what each base64 run of the document holds."""
+    if "%" in layer.text and (x := _unescaped(layer, _URL, _url, "url")):
+        yield x
+    if ("\\" in layer.text or "&#" in layer.text) and (x := _unescaped(layer, _UNICODE, _code, "unicode")):
+        yield x
     for m in _BASE64.finditer(layer.text):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        chain = f"{layer.chain}base64>"
-        while data is not None and len(data) <= MAX_LAYER:
-            if (text := _readable(data)) is not None:
-                yield _Layer(text, whole=layer.outer(m.start(), m.end()), chain=chain)
-                break
-            data, chain = _inflated(data), f"{chain}compressed>"
+        if m[0] not in runs:
+            runs[m[0]] = _unpacked(m[0])
+        if held := runs[m[0]]:
+            yield _Layer(held[0], whole=layer.outer(m.start(), m.end()), chain=layer.chain + held[1])
+
+
+def _inside(text: str, runs: dict[str, tuple[str, str] | None]) -> dict[str, str]:
+    """The kinds that a packed text and all layers nested in it show, each with the names of its layers."""
+    found = {k: k for *_, k in scan_layer(text)}
+    seen, work = {text}, [_Layer(text, whole=(0, 1))]
+    while work:
+        for x in _nested(work.pop(), runs):
+            if x.text not in seen:
+                seen.add(x.text)
+                work.append(x)
+                for *_, k in scan_layer(x.text):
+                    found.setdefault(k, x.chain + k)
+    return found
 
 
 def scan(text: str | None) -> tuple[list[Span], list[Span]]:
@@ -152,25 +179,23 @@ def scan(text: str | None) -> tuple[list[Span], list[Span]]:
     text = text or ""
     base = scan_layer(text)
     seen, work, added = {text}, [_Layer(text)], {}
-    have = {(s, e, k) for s, e, k in base}
+    have, runs, inside = set(base), {}, {}
     while work:
-        layer = work.pop()
-        new = []
-        if "%" in layer.text:
-            new.append(_unescaped(layer, _URL, _url, "url"))
-        if "\\" in layer.text or "&#" in layer.text:
-            new.append(_unescaped(layer, _UNICODE, _code, "unicode"))
-        new += _packed(layer)
-        for x in new:
-            if x is None or x.text in seen:
+        for x in _nested(work.pop(), runs):
+            if x.whole:
+                if x.text not in inside:
+                    inside[x.text] = _inside(x.text, runs)
+                spans = [(*x.whole, k, name) for k, name in inside[x.text].items()]
+            elif x.text not in seen:
+                seen.add(x.text)
+                work.append(x)
+                spans = [(*x.outer(s, e), k, k) for s, e, k in scan_layer(x.text)]
+            else:
                 continue
-            seen.add(x.text)
-            work.append(x)
-            for s, e, k in scan_layer(x.text):
-                at = x.outer(s, e)
-                if (*at, k) not in have:
-                    have.add((*at, k))
-                    added[*at, k] = (*at, x.chain + k)
+            for s, e, k, name in spans:
+                if (s, e, k) not in have:
+                    have.add((s, e, k))
+                    added[s, e, k] = (s, e, x.chain + name)
     return base, sorted(added.values())
 
 

@@ -44,6 +44,14 @@ def test_layers():
     assert layers(twice) == [(twice, "base64>base64>assign")]
 
 
+def test_every_place_of_a_repeated_layer():
+    packed = base64.b64encode(SECRET.encode()).decode()
+    twice = base64.b64encode(packed.encode()).decode()
+    t = f"a {packed} b {packed}\nc {twice} d {packed} %41 {twice}"
+    at = [(m.start(), m.end(), f"{k}assign") for x, k in ((packed, "base64>"), (twice, "base64>base64>")) for m in re.finditer(re.escape(x), t)]
+    assert len(at) == 5 and scan(t)[1] == sorted(at)
+
+
 def test_it_ends_and_keeps_base_spans():
     assert layers("%2525252525" * 50) == []
     t = SECRET + " %41"
