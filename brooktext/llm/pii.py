@@ -53,7 +53,7 @@ SURNAMES = {
 SYLLABLES = {"latin": "ba be bo da de do fa fe ga go ka ke la le lo ma me mo na ne no pa pe ra re ro sa se so ta te to va ve", "cyrillic": "ба бе бо да де до ка ко ла ле ло ма ме мо на не но ра ро са се со та те то ва ве"}
 GENDER_OF = {n: g for (g, _), names in GIVEN.items() for n in names.split()}
 _TITLE_GENDER = {t: g for g, ts in TITLES.items() for t in ts.split()}
-_NAME_WORDS = frozenset(_TITLE_GENDER) | frozenset(f"{t}." for t in _TITLE_GENDER) | frozenset(GENDER_OF)
+_NAME_WORDS = frozenset(_TITLE_GENDER) | frozenset(GENDER_OF)
 
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])")
 _IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)")
@@ -62,6 +62,7 @@ _PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-
 _SSN = re.compile(r"(?<![\w.-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _DIGIT = re.compile(r"[0-9@]")
+_CAPITALIZED = regex.compile(r"\p{Lu}\p{L}*")
 _PART = r"\p{Lu}[\p{Ll}]+(?:['’-]\p{Lu}?\p{Ll}+)*"
 _TITLED = regex.compile(rf"(?<!\p{{L}})({'|'.join(sorted(_TITLE_GENDER, key=len, reverse=True))})\.?[  ]((?:\p{{Lu}}\.[  ])*{_PART}(?:[  ]{_PART})?)(?!\p{{L}})")
 _NAMED = regex.compile(rf"(?<!\p{{L}})({'|'.join(sorted(GENDER_OF, key=len, reverse=True))})[  ]({_PART})(?!\p{{L}})")
@@ -103,7 +104,7 @@ def detect(text: str | None) -> list[Span]:
             d = _digits(m[0])
             if luhn(d):
                 found.append((m.start(), m.end(), "card", d))
-    if not _NAME_WORDS.isdisjoint(text.split()) or not text.isascii() and any(c in text for c in " "):
+    if not _NAME_WORDS.isdisjoint(_CAPITALIZED.findall(text)):  # a title or given name has no letter beside it, so it is such a run
         for m in _TITLED.finditer(text):
             parts = [(m.start(2) + p.start(), p[0]) for p in regex.finditer(_PART, m[2])]
             gender = _TITLE_GENDER[m[1]]

@@ -22,6 +22,13 @@ def test_detection():
     assert found[6] == [("GB82 WEST 1234 5698 7654 32", "iban"), ("123-45-6789", "ssn")] and found[7] == [] and len(found[8]) == 2
 
 
+def test_names_after_any_mark():
+    for t in ('"Mary Patel" left', "(John Smith)", "author:John Smith", '"Dr. Weber"', "«Елена Иванова»", "1Mary Patel", "²Mary Patel", "_Herr Weber", "—Mr\u00a0Jones", "by:\u00a0Mary\u00a0Patel."):
+        alone, among = kinds(t), kinds(t + ". Mary had it.")
+        assert alone and alone == among, t
+    assert kinds("xMary Patel, Maryx Patel, éMary Patel") == []
+
+
 def test_surrogates_keep_their_type():
     for i, t in TEXTS:
         for s, e, k, c in detect(t):
