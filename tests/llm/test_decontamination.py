@@ -1,6 +1,8 @@
 import random
 
-from brooktext.llm.decontamination import Index, benchmark_matches, blocks_of, drop_contaminated, nearest, plain
+import numpy as np
+
+from brooktext.llm.decontamination import Index, _letters, benchmark_matches, blocks_of, drop_contaminated, nearest, plain
 
 
 def brute(p, t):
@@ -49,6 +51,37 @@ def test_recall(spark, docs):
         assert sum(any(f[0] == k for f in found) for (k, _), found in zip(cases, got, strict=True)) >= least * len(cases), rate
 
 
+def test_recall_by_length_and_rate(docs):
+    """Up to the threshold, for items of each length class."""
+    rng, fill = random.Random(11), [r.text for r in docs.collect() if r.text]
+    words = " ".join(fill).split()
+    for shortest, longest in ((20, 39), (40, 79), (80, 149), (150, 400)):
+        items = []
+        while len(items) < 120:
+            at = rng.randrange(len(words) - 120)
+            t = " ".join(words[at : at + 120])[: rng.randint(shortest, longest)].strip()
+            items += [(len(items), t)] if shortest <= len(plain(t).encode()) <= longest else []
+        index = Index(tuple(items))
+        for rate in (0.1, 0.15, 0.2):
+            new = [(k, edited(rng, t, rate)) for k, (_, t) in enumerate(index.texts)]
+            cases = [(k, rng.choice(fill)[: rng.randint(0, 90)] + " " + t + " " + rng.choice(fill)[:80]) for k, t in new if nearest(index.texts[k][1], t, len(index.texts[k][1]) // 5)]
+            got = index.matches([t for _, t in cases])
+            found = sum(any(f[0] == k for f in m) for (k, _), m in zip(cases, got, strict=True))
+            assert len(cases) > 30 and found >= 0.95 * len(cases), (shortest, rate, found, len(cases))
+
+
+def test_bound_drops_nothing_near():
+    rng = random.Random(12)
+    items = tuple((n, "".join(rng.choice("abcdé ") for _ in range(n))) for n in (20, 63, 64, 65, 128, 150, 300) for _ in range(8))
+    index = Index(items)
+    for k, (_, t) in enumerate(index.texts):
+        for rate in (0.05, 0.15, 0.2):
+            lead = "".join(rng.choice("abcdé ") for _ in range(rng.randint(0, 90)))
+            text, about = lead + edited(rng, t, rate) + "abc" * 9, max(0, len(lead) + rng.randint(-8, 8))
+            if index.verified(k, text, about, 0.8):
+                assert index.bound.near(_letters(text), *(np.array([x]) for x in (0, len(text), about, k)), 0.8)[0]
+
+
 def test_spans_and_no_others(spark, docs):
     items = items_of(spark)
     index = Index(items)
