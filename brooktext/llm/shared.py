@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,9 +14,13 @@ SHARED_CONF = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder as a URI. Only where none is set (tests), a folder of our own is set."""
+    """The cluster's shared folder as a URI. Where none is set, a folder of our own is set under a local master; others refuse, as
+    each executor would write to its own disk."""
     base = spark.conf.get(SHARED_CONF, None)
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set {SHARED_CONF} to a folder that driver and executors share (the master is {master})")
         base = "file://" + tempfile.mkdtemp(prefix="brooktext-")
         spark.conf.set(SHARED_CONF, base)
     return base.rstrip("/")
@@ -25,22 +30,34 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def persist(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there and no executor's loss can undo it."""
+def persist(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends there and no executor's loss can undo it. by: a column of few
+    values, each of which gets a folder of its own, so that a filter on it reads no other."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.persisted_at = path
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes what persist() wrote, once nothing reads it any more."""
     for df in tables:
-        spark = df.sparkSession
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.persisted_at)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        delete(df.sparkSession, df.persisted_at)
+
+
+def free_name(name: str, *columns: str) -> str:
+    """The name, with marks before it until none of the columns has it (in any case, as Spark compares them)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:

@@ -13,7 +13,8 @@ Next to the files lie dictionary-<hash>.zdict and files.json, which lists the fi
 before each. Each file is the work of one task under a name of its own; only files of committed tasks are listed.
 
 Defined results: null and empty texts are the end id alone; repeated rows and equal ids keep a frame each, ordered by
-text; a text of any length is one frame; an empty table gives no files and no rows.
+text; a text of any length is one frame; an empty table gives no files and no rows; other columns, whatever their names,
+are left out.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import chunks, file_system, give_back, hash_sample, new_folder, small_batches, texts, tidy
+from .shared import chunks, delete, file_system, give_back, hash_sample, new_folder, small_batches, texts, tidy
 
 MAGIC = b"BTOK1\0\0\0"
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES, LEVEL = 2000, 4096, 64 << 10, 3
@@ -115,7 +116,10 @@ class WordEncoder:
         """Whether lower() and splitting at white space do what the tokenizer does to the text before it merges."""
         if text.isascii():
             return "<|" not in text and not any(c in text for c in "\x1c\x1d\x1e\x1f")
-        return unicodedata.is_normalized("NFC", text) and not any(c in text for c in ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "\u03a3", "\u0130"))
+        if any(c in text for c in ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "\u03a3", "\u0130")):
+            return False
+        # lower-casing comes after composing, so what only composes once it is lower-cased stays as it is in the tokenizer
+        return unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", text.lower())
 
     def serialized(self, docs: list[str]) -> list[bytes]:
         if not self.split_words:
@@ -230,6 +234,7 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int, t
     ranged = src.repartitionByRange(partitions, "id") if partitions else src.repartitionByRange("id")
     ranged.sortWithinPartitions("id", "text").mapInArrow(tidy(run), "name string, first long, docs long, ids long").write.parquet(f"{folder}/_packed")
     rows = spark.read.schema("name string, first long, docs long, ids long").parquet(f"{folder}/_packed").collect()  # one a file
+    delete(spark, f"{folder}/_packed")
     listed, start = [], 0
     for r in sorted(rows, key=lambda r: (r.first is not None, r.first or 0)):
         listed.append([r.name, start, r.docs])

@@ -31,6 +31,15 @@ def test_words_like_the_library():
     assert e.serialized(docs) == e.whole(docs)
 
 
+def test_marks_that_compose_once_lower_cased():
+    e = WordEncoder(PATH, True)
+    rng = random.Random(41)
+    letters, marks = "aTtHhJjWwYyZzSsΑαЖжIiǄ", [chr(c) for c in (0x300, 0x301, 0x302, 0x307, 0x308, 0x30A, 0x30C, 0x323, 0x327, 0x331, 0x345)]
+    docs = ["T\u0308", "x H\u0331y", "J\u030c W\u030a.", "Y\u030a!"]
+    docs += ["".join(rng.choice(letters) + rng.choice(["", "", rng.choice(marks), rng.choice(marks) + rng.choice(marks), " ", "."]) for _ in range(rng.randint(1, 12))) for _ in range(20_000)]
+    assert e.serialized(docs) == e.whole(docs)
+
+
 def test_table_like_brute_force(odd, empty, docs):
     assert token_table(empty, PATH).count() == 0
     for df in (docs, odd.where("doc_id is not null"), odd):
