@@ -6,12 +6,14 @@ archives count is known from the tasks' committed results, so a lost or repeated
 files are never listed in the folder's manifest.
 
 `ArchiveSource` (format "image_archive") plans byte ranges over the archives of such a folder from names and sizes
-alone. Each partition reads the archive's central directory, takes the members whose local header starts in its range,
-seeks to each by its offset and streams the payloads as Arrow batches of a bounded number of bytes. A member that
-fails is read again on its own from its offset through a newly opened file; what was read before is not repeated.
+alone. Each partition opens its archive once, reads the central directory, takes the members whose local header starts
+in its range, and streams them in blocks of a bounded number of bytes (or one member), each read in one go and passed on
+as an Arrow batch. A member that isn't whole is read again on its own from its offset through a newly opened file; what
+was read before is not repeated.
 
 Defined results: null and empty texts give 64 zero bytes with n_bytes 0; null ids stay null; repeated rows give
-repeated members; a payload of any length is one member, whole; an empty table gives an empty folder and no rows.
+repeated members; a payload of any length is one member, whole; an empty table gives an empty folder and no rows; other
+columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .shared import file_system, new_folder, texts, tidy
+from .shared import delete, file_system, new_folder, small_batches, texts, tidy
 
 WIDTH = 64
 PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
@@ -123,7 +125,7 @@ def write_archives(df: DataFrame, folder: str, text: str = "text", id_col: str =
     """Packs every row's text into archives under `folder`, then lists them in its manifest. No shuffle.
 
     What reaches the driver is a line for each archive of `archive_bytes`, as with any listing of files."""
-    spark = df.sparkSession
+    spark = small_batches(df.sparkSession)
     fs, root = file_system(folder)
     fs.create_dir(root, recursive=True)
 
@@ -140,6 +142,7 @@ def write_archives(df: DataFrame, folder: str, text: str = "text", id_col: str =
     src = df.select(df[id_col].cast("long").alias("id"), df[text].cast("string").alias("text"))
     src.mapInArrow(tidy(run), "name string, size long, members long").write.parquet(f"{folder}/_packed")  # commits one attempt of each task
     listed = spark.read.schema("name string, size long, members long").parquet(f"{folder}/_packed").orderBy("name").collect()
+    delete(spark, f"{folder}/_packed")
     with fs.open_output_stream(f"{root}/{MANIFEST}") as f:
         f.write(json.dumps([[r.name, r.size] for r in listed]).encode())
 
@@ -165,50 +168,87 @@ class ArchiveReader(DataSourceReader):
         fs, at = file_system(path)
         return fs.open_input_file(at)
 
-    def member(self, path: str, info: zipfile.ZipInfo) -> bytes:
-        """One member by its offset; each new attempt opens the file anew."""
+    def directory(self, path: str):
+        """The archive, opened, and its members' infos; a failure opens it anew."""
         for attempt in range(self.attempts):
+            try:
+                f = self.opened(path)
+                try:
+                    return f, zipfile.ZipFile(f).infolist()
+                except BaseException:
+                    f.close()
+                    raise
+            except (OSError, zipfile.BadZipFile):
+                if attempt + 1 == self.attempts:
+                    raise
+                time.sleep(0.05 * 2**attempt)
+        raise AssertionError
+
+    @staticmethod
+    def payload(info: zipfile.ZipInfo, raw: bytes) -> bytes:
+        """The stored bytes of a member, whose local header begins raw; OSError if they aren't whole."""
+        if raw[:4] != b"PK\x03\x04" or len(raw) < 30:
+            raise OSError("no local header at the member's offset")
+        name, extra = struct.unpack_from("<HH", raw, 26)
+        data = raw[30 + name + extra : 30 + name + extra + info.compress_size]
+        if len(data) != info.compress_size or zlib.crc32(data) != info.CRC:
+            raise OSError(f"member {info.filename} is damaged or cut short")
+        return data
+
+    def again(self, path: str, info: zipfile.ZipInfo, size: int) -> bytes:
+        """One member on its own, by its offset, from a newly opened file at each attempt; `size` reaches up to the next member."""
+        for attempt in range(1, self.attempts):
+            time.sleep(0.05 * 2 ** (attempt - 1))
             try:
                 with self.opened(path) as f:
                     f.seek(info.header_offset)
-                    head = f.read(30)
-                    if head[:4] != b"PK\x03\x04":
-                        raise OSError("no local header at the member's offset")
-                    name, extra = struct.unpack_from("<HH", head, 26)
-                    f.seek(info.header_offset + 30 + name + extra)
-                    data = f.read(info.compress_size)
-                if len(data) != info.compress_size or zlib.crc32(data) != info.CRC:
-                    raise OSError(f"member {info.filename} is damaged or cut short")
-                return data
+                    return self.payload(info, f.read(size))
             except OSError:
                 if attempt + 1 == self.attempts:
                     raise
-                time.sleep(0.05 * 2**attempt)
-        raise AssertionError
+        raise OSError(f"member {info.filename} can't be read")
+
+    def blocks(self, infos: list[zipfile.ZipInfo], part: ByteRange) -> Iterator[list[tuple[zipfile.ZipInfo, int]]]:
+        """The range's members with their sizes up to the next member, in blocks of about `batch_bytes` that are read in one go."""
+        infos = sorted(infos, key=lambda i: i.header_offset)
+        ends = [i.header_offset for i in infos[1:]] + [part.size]  # the last one's reach holds the central directory too
+        block, held = [], 0
+        for info, end in zip(infos, ends, strict=True):
+            if part.start <= info.header_offset < part.end:
+                size = min(end - info.header_offset, 30 + 2 * 65535 + info.compress_size)
+                block.append((info, size))
+                held += size
+                if held >= self.batch_bytes:
+                    yield block
+                    block, held = [], 0
+        if block:
+            yield block
 
     def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
+        """A file is opened once a range and read block by block; only members that aren't whole are read again, each on its own."""
         if not part.path:
             return
-        for attempt in range(self.attempts):
-            try:
-                with self.opened(part.path) as f, zipfile.ZipFile(f) as z:
-                    infos = [i for i in z.infolist() if part.start <= i.header_offset < part.end]
-                break
-            except (OSError, zipfile.BadZipFile):
-                if attempt + 1 == self.attempts:
-                    raise
-                time.sleep(0.05 * 2**attempt)
-        ids, sizes, images, held = [], [], [], 0
-        for info in sorted(infos, key=lambda i: i.header_offset):
-            _, doc, n = re.fullmatch(r"(\d+)/(-?\d*)/(\d+)\.png", info.filename).groups()
-            data = self.member(part.path, info)
-            ids.append(int(doc) if doc else None), sizes.append(int(n)), images.append(data)
-            held += len(data)
-            if held >= self.batch_bytes:
+        f, infos = self.directory(part.path)
+        try:
+            for block in self.blocks(infos, part):
+                first, (last, size) = block[0][0].header_offset, block[-1]
+                try:
+                    f.seek(first)
+                    raw = f.read(last.header_offset + size - first)
+                except OSError:
+                    raw = b""
+                ids, sizes, images = [], [], []
+                for info, size in block:
+                    _, doc, n = re.fullmatch(r"(\d+)/(-?\d*)/(\d+)\.png", info.filename).groups()
+                    at = info.header_offset - first
+                    try:
+                        data = self.payload(info, raw[at : at + size])
+                    except OSError:
+                        data = self.again(part.path, info, size)
+                    ids.append(int(doc) if doc else None), sizes.append(int(n)), images.append(data)
                 yield self.batch(ids, sizes, images)
-                ids, sizes, images, held = [], [], [], 0
-        if ids:
-            yield self.batch(ids, sizes, images)
+        finally:
+            f.close()
 
     @staticmethod
     def batch(ids, sizes, images) -> pa.RecordBatch:
