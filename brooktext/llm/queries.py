@@ -59,9 +59,9 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pii import replace_pii
+    from .pii import key_of, replace_pii
 
-    return replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), kinds_column="kinds")
+    return replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), key_of(spark), kinds_column="kinds")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,17 @@
+import itertools
+import re
 from collections import Counter
 
-from brooktext.llm.pii import detect, iban_holds, luhn, rendered, replace_pii, surrogate, surrogates
+from pyspark.sql import functions as F
+
+from brooktext.llm import pii
+from brooktext.llm.pii import detect, iban_holds, key_of, luhn, rendered, script, surrogate, surrogates
+
+KEY = b"a key of the tests"
+
+
+def replace_pii(df, **how):
+    return pii.replace_pii(df, KEY, **how)
 
 TEXTS = [
     (1, "Mail Bo.42@mail8.example.com or call +1 (988) 555-2485."), (2, "call +1-988-555-2485 now, or bo.42@MAIL8.example.com"), (3, "from 42.144.35.254 and 10.0.0.7; v1.2.3, 300.1.1.1"),
@@ -18,7 +29,7 @@ def test_detection():
     assert found[1] == [("Bo.42@mail8.example.com", "email"), ("+1 (988) 555-2485", "phone")]
     assert found[3] == [("42.144.35.254", "ip"), ("10.0.0.7", "ip")]
     assert found[4] == [("4429820930819525", "card"), ("4429-8209-3081-9525", "card")]
-    assert [k for k, _ in found[5]] == ["Anna", "Schmidt", "Müller"] or [k for k, _ in found[5]] == ["Anna", "Schmidt", "Schmidt", "Müller"]
+    assert [k for k, _ in found[5]] == ["Anna", "Schmidt", "SCHMIDT", "Schmidt", "Müller"]
     assert found[6] == [("GB82 WEST 1234 5698 7654 32", "iban"), ("123-45-6789", "ssn")] and found[7] == [] and len(found[8]) == 2
 
 
@@ -33,8 +44,8 @@ def test_surrogates_keep_their_type():
     for i, t in TEXTS:
         for s, e, k, c in detect(t):
             for attempt in range(6):
-                new = rendered(k, t[s:e], surrogate(k, c, attempt))
-                assert new != t[s:e] and surrogate(k, c, attempt) == surrogate(k, c, attempt) and surrogate(k, c, attempt, b"other key") is not None
+                new = rendered(k, t[s:e], surrogate(k, c, attempt, KEY))
+                assert new != t[s:e] and surrogate(k, c, attempt, KEY) == surrogate(k, c, attempt, KEY) and surrogate(k, c, attempt, b"other key") is not None
                 sort = k.split()[0]
                 if sort in ("email", "phone", "ip", "ssn", "iban", "card"):
                     assert [x for *_, x, _ in detect(new)] == [sort], (t[s:e], new)
@@ -42,7 +53,7 @@ def test_surrogates_keep_their_type():
                     assert [c if not c.isalnum() else "0" for c in new] == [c if not c.isalnum() else "0" for c in t[s:e]]
                 assert sort != "card" or luhn("".join(filter(str.isdigit, new)))
                 assert sort != "iban" or iban_holds(new.replace(" ", ""))
-    assert surrogate("ip", "10.0.0.7", 0).startswith("10.") and surrogate("email", "a@x.com", 0).split("@")[1] == surrogate("email", "b@x.com", 0).split("@")[1]
+    assert surrogate("ip", "10.0.0.7", 0, KEY).startswith("10.") and surrogate("email", "a@x.com", 0, KEY).split("@")[1] == surrogate("email", "b@x.com", 0, KEY).split("@")[1]
 
 
 def test_coreference_and_distinctness(spark, empty):
@@ -59,7 +70,7 @@ def test_coreference_and_distinctness(spark, empty):
 
 def test_collisions(spark):
     names = [("surname latin", f"name{i}") for i in range(120)] + [("surname latin", "ashford"), ("surname latin", "calder")]
-    got = surrogates(spark.createDataFrame(names, "kind string, canon string")).collect()
+    got = surrogates(spark.createDataFrame(names, "kind string, canon string"), KEY).collect()
     assert len(got) == len(names) and max(Counter(r.surrogate for r in got).values()) == 1
     assert not {r.surrogate for r in got} & {c for _, c in names}
 
@@ -68,3 +79,84 @@ def test_odd_rows(odd):
     out = replace_pii(odd)
     key = lambda r: repr(r)
     assert out.columns == odd.columns and sorted(map(tuple, out.collect()), key=key) == sorted(map(tuple, odd.collect()), key=key)
+
+
+def test_names_of_other_forms():
+    assert kinds("Mr SMITH, DR ANNA SCHMIDT, Mrs. Mary JONES") == [("SMITH", "surname"), ("ANNA", "given"), ("SCHMIDT", "surname"), ("Mary", "given"), ("JONES", "surname")]
+    assert kinds("my name is Oliver Kowalski. Kowalski said: KOWALSKI! Not Kowalskis.") == [("Oliver", "given"), ("Kowalski", "surname"), ("Kowalski", "surname"), ("KOWALSKI", "surname")]
+    for t, letters in (("Mr Παπαδόπουλος", "greek"), ("Herr Սարգսյան", "armenian"), ("Mr Ⰰⰱⰲ", None), ("Господин Иванов", "cyrillic"), ("Mr Łukasiński", "latin")):
+        for s, e, k, c in detect(t):
+            new = rendered(k, t[s:e], surrogate(k, c, 0, KEY))
+            assert script(new) == script(t[s:e]) and (letters is None or script(new) == letters) and new[0].isupper(), t
+    assert detect("Mr Παπαδόπουλος")
+
+
+def test_more_numbers():
+    assert kinds("030 1234567, 06 12 34 56 78 or 06.12.34.56.78, 020 7946 0958, 0171/1234567") == [(x, "phone") for x in ("030 1234567", "06 12 34 56 78", "06.12.34.56.78", "020 7946 0958", "0171/1234567")]
+    assert kinds("2001:db8:85a3::8a2e:370:7334 or 2001:DB8:85A3:0:0:8A2E:370:7334") == [("2001:db8:85a3::8a2e:370:7334", "ip"), ("2001:DB8:85A3:0:0:8A2E:370:7334", "ip")]
+    a, b = (c for *_, c in detect("2001:db8:85a3::8a2e:370:7334 or 2001:DB8:85A3:0:0:8A2E:370:7334"))
+    assert a == b
+    assert kinds("on 01.02.2024 10:00 std::vector a::b 12:30:45 aa:bb:cc:dd:ee:ff 0.12.34.56.78 00:00:00:00") == []
+
+
+def test_a_surrogate_is_always_drawn():
+    for c in ("a@i.org", "i@i.org", "n@o.me", "e@i.app", *(f"{x}@{y}.io" for x in "aeiou" for y in "aeiou")):
+        for attempt in range(24):
+            assert surrogate("email", c, attempt, KEY) != c
+    for kind, c in (("ip", "127.0.0.1"), ("ip", "192.168.0.1"), ("ip", "2001:db8::1:2:3"), ("ip", "fd00::1:2:3"), ("card", "4429820930819525"), ("ssn", "123456789"), ("phone", "0123456789"), ("given f greek", "ελενη"), ("surname block88", "ⰰⰱⰲ")):
+        wide = {surrogate(kind, c, a, KEY) for a in range(40)}
+        assert c not in wide and len(wide) > 15, kind
+
+
+def test_formats_that_are_used_up_widen(spark):
+    """All 25 addresses of a shape, and 10 of the 10 one-digit ones, still get replacements of their own that are no entities."""
+    mails = [f"{a}@{b}.io" for a in "aeiou" for b in "aeiou"] + [f"{d}@x.io" for d in range(10)]
+    out = surrogates(spark.createDataFrame([("email", m) for m in mails], "kind string, canon string"), KEY).collect()
+    assert {r.canon for r in out} == set(mails) and len({r.surrogate for r in out}) == len(mails) and not {r.surrogate for r in out} & set(mails)
+    assert all([k for *_, k, _ in detect(r.surrogate)] == ["email"] for r in out)
+    text = spark.createDataFrame([(k, f"write to {m.upper()}, or {m}") for k, m in enumerate(mails)], "doc_id long, text string")
+    assert all(r.kinds == "email:2" for r in replace_pii(text, kinds_column="kinds").collect())
+
+
+def test_columns_of_clashing_names(spark, odd):
+    names = ["pii_row", "PII_Spans", "pii_marked", "pii_new", "kind", "canon", "surrogate", "pos", "s"]
+    df = odd.where("doc_id = 4").limit(1).select("doc_id", F.lit("x@mail1.example.com").alias("text"), *(F.lit(i).alias(n) for i, n in enumerate(names)))
+    (r,) = replace_pii(df).collect()
+    assert replace_pii(df).columns == df.columns and list(r)[2:] == list(range(len(names))) and r.text != "x@mail1.example.com"
+    assert replace_pii(df.withColumn("kinds", F.lit(9)), kinds_column="kinds").first().kinds == "email:1"
+
+
+def test_query_like_brute_force(spark):
+    """Over all documents: what isn't an entity stays in place, one replacement an entity, none shared, none an entity; planted addresses and numbers go."""
+    from brooktext.llm.queries import op4_pii
+
+    d = "/root/testdata/sf0.01"
+    old = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    new = {r.doc_id: r for r in op4_pii(spark, d).collect()}
+    assert set(new) == set(old)
+    canons, given = set(), {}
+    for i, t in old.items():
+        spans = detect(t)
+        canons |= {(k, c) for *_, k, c in spans}
+        edges = [0, *itertools.chain(*((s, e) for s, e, *_ in spans)), len(t or "")]
+        pattern = "(.+?)".join(re.escape((t or "")[a:b]) for a, b in zip(edges[::2], edges[1::2], strict=True))
+        m = re.fullmatch(pattern, new[i].text or "", re.S)
+        assert m, i
+        for (s, e, k, c), x in zip(spans, m.groups(), strict=True):
+            assert x != t[s:e]
+            given.setdefault((k, c), set()).add(next(iter(detect(x)), (0, 0, k, x.casefold()))[3])
+        assert new[i].kinds == ",".join(f"{k}:{n}" for k, n in sorted(Counter(k.split()[0] for *_, k, _ in spans).items()))
+    assert all(len(x) == 1 for x in given.values()) and len({(k, *x) for (k, _), x in given.items()}) == len(given) == len(canons)
+    assert not {(k, *x) for (k, _), x in given.items()} & canons
+    planted = re.compile(r"[a-z.0-9]+@mail\d\.example\.com|\+1 \(\d{3}\) 555-\d{4}")
+    before = {x for t in old.values() for x in planted.findall(t or "")}
+    assert before and not before & {x for r in new.values() for x in planted.findall(r.text or "")}
+
+
+def test_the_key_is_the_sessions(spark):
+    spark.conf.unset(pii.KEY_CONF)
+    key = key_of(spark)
+    assert len(key) == 64 and key_of(spark) == key
+    spark.conf.set(pii.KEY_CONF, "mine")
+    assert key_of(spark) == b"mine"
+    spark.conf.unset(pii.KEY_CONF)
