@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from brooktext.llm.decontamination import drop_contaminated
 from brooktext.llm.near_duplicates import drop_near_duplicates
 from brooktext.llm.pieces import encode_pieces
-from brooktext.llm.pii import replace_pii
+from brooktext.llm.pii import key_of, replace_pii
 from brooktext.llm.quality import keep_good
 from brooktext.llm.shared import persist
 
@@ -38,7 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts surrogates for personal data; n_chars follows the new text."""
-    return replace_pii(docs)
+    return replace_pii(docs, key_of(spark))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
