@@ -2,10 +2,16 @@ import base64
 import bz2
 import gzip
 import hashlib
+import lzma
+import random
 import re
+import time
 import urllib.parse
+import zlib
 
-from brooktext.llm.secrets import joined, scan, scan_secrets
+import zstandard
+
+from brooktext.llm.secrets import _Unescaped, joined, scan, scan_secrets
 
 SECRET = "password=abcdefghijklmnop1"
 
@@ -44,6 +50,71 @@ def test_layers():
     assert layers(twice) == [(twice, "base64>base64>assign")]
 
 
+def test_packed_layers():
+    """Wrapped, misaligned, 16-bit and percent-encoded layers, and layers within layers, each against the place they were put in."""
+    plain = b"first line\n" * 20 + SECRET.encode()
+    wrapped = base64.encodebytes(gzip.compress(random.Random(5).randbytes(300) + plain)).decode().strip()
+    assert wrapped.count("\n") > 2 and layers(f"x\n{wrapped}\n\nend") == [(wrapped, "base64>compressed>assign")]
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zlib.compress, zstandard.compress, bytes):
+        run = base64.b64encode(pack(plain)).decode().rstrip("=")
+        for head in ("blob/", "x-", "ab/", "abcd/"):
+            assert [s for s, _ in layers(f"see {head}{run}.")] == [head + run], (pack, head)
+    for coding in ("utf-16", "utf-16-le", "utf-16-be"):
+        run = base64.b64encode(SECRET.encode(coding)).decode()
+        assert layers(f"see {run}") == [(run, "base64>assign")], coding
+    run = urllib.parse.quote(gzip.compress(plain), safe="")
+    assert layers(f"see {run} end") == [(run, "url>compressed>assign")]
+
+
+def nest(t, rng, depth):
+    for _ in range(depth):
+        sort = rng.randrange(4)
+        if sort == 0:
+            t = "".join(f"%{ord(c):02X}" if rng.random() < 0.3 or c in "%=\\&" else c for c in t)
+        elif sort == 1:
+            t = "".join(f"\\u{ord(c):04x}" if rng.random() < 0.3 or c in "\\=" else c for c in t)
+        elif sort == 2:
+            t = base64.b64encode(t.encode()).decode()
+        else:
+            t = base64.b64encode(rng.choice([gzip.compress, bz2.compress])(t.encode())).decode()
+    return t
+
+
+def test_random_nests_are_found_at_their_place():
+    rng = random.Random(11)
+    for _ in range(300):
+        t = nest(SECRET, rng, rng.randrange(1, 7))
+        if not re.search(r"[%\\]", t) and brute_base(t):
+            continue
+        got = scan(f"é see {t} end")[1]
+        assert any(k.endswith("assign") and 6 <= s <= e <= 6 + len(t) for s, e, k in got), t
+
+
+def step(t):
+    """One escape decoded, the first, in plain Python; None when there is none."""
+    m = re.search(r"%([0-7][0-9A-Fa-f])|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});", t)
+    code = m and int(next(filter(None, m.groups())), 16)
+    return m and t[: m.start()] + (chr(code) if code < 0x110000 else "?") + t[m.end() :]
+
+
+def test_escapes_to_their_fixpoint_like_step_by_step():
+    rng = random.Random(3)
+    for _ in range(3000):
+        t = want = "".join(rng.choice(["%", "25", "4", "1", "\\u00", "\\x", "&#x0", "3", "2", ";", "z", "5"]) for _ in range(rng.randrange(1, 16)))
+        while (new := step(want)) is not None:
+            want = new
+        if not re.search(r"%[89A-Fa-f][0-9A-Fa-f]", want):  # bytes that are no characters of their own
+            assert _Unescaped(t).text == want, t
+
+
+def test_long_nests_take_time_in_proportion():
+    start = time.monotonic()
+    for t in ("%" + "25" * 200_000, "%" * 100_000 + "33" * 100_000, "%5C" + "u0025" * 100_000, "A" * 1_000_000, "\\u005cu0025" * 50_000):
+        scan(t)
+    assert time.monotonic() - start < 60
+    assert layers("%" + "25" * 100_000 + "70assword=abcdefghijklmnop1")[-1][1] == "url>assign"
+
+
 def test_every_place_of_a_repeated_layer():
     packed = base64.b64encode(SECRET.encode()).decode()
     twice = base64.b64encode(packed.encode()).decode()
@@ -56,7 +127,8 @@ def test_it_ends_and_keeps_base_spans():
     assert layers("%2525252525" * 50) == []
     t = SECRET + " %41"
     assert scan(t)[0] == brute_base(t) and scan(t)[1] == []
-    assert scan(base64.b64encode(gzip.compress(b"\0" * (70 << 20))).decode())[1] == []  # beyond the bound of a layer
+    packed = base64.b64encode(gzip.compress(b"password=abcdefghijklmnop1 " * 100_000)).decode()
+    assert scan(packed, 1 << 20)[1:] == ([], 1) and scan(packed)[1:] == ([(0, len(packed), "base64>compressed>assign")], 0)
 
 
 def test_table(odd, empty, docs):
