@@ -74,7 +74,7 @@ _CARD = re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])")
 _PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])")
 _SSN = re.compile(r"(?<![\w.-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
-_HOME_PHONE = re.compile(r"(?<![\w.+/-])(?!\d{1,2}[./-]\d{1,2}[./-]\d{4})0\d{1,4}(?:/ ?\d{3,4}(?:[ -]\d{2,5}){0,3}|(?:[ -]\d{2,8}){1,4}|(?:\.\d{2}){4})(?![\w/-])")
+_HOME_PHONE = re.compile(r"(?<![\w.+/-])(?!\d{1,2}[./-]\d{1,2}[./-]\d{4})0\d{1,4}(?:/ ?\d{3,8}(?:[ -]\d{2,5}){0,3}|(?:[ -]\d{2,8}){1,4}|(?:\.\d{2}){4})(?![\w/-])")
 _IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:(?:[0-9A-Fa-f]{0,4}:){1,6}[0-9A-Fa-f]{0,4}|::(?:[0-9A-Fa-f]{1,4}:){1,6}[0-9A-Fa-f]{1,4})(?![\w:])")
 _DIGIT = re.compile(r"[0-9@]|::")
 _CAPITALIZED = regex.compile(r"\p{Lu}\p{L}*")
