@@ -14,10 +14,12 @@ _sent: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package along once for each application, unless workers have it by their path or working folder (or it was installed)."""
+    """Sends the package along once for each application, unless it was installed, or workers run on this machine and have
+    it by their path or working folder."""
     app = spark.sparkContext.applicationId
     found = [Path(p).resolve() for p in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)) if p]
-    if app in _sent or ROOT in found or ROOT.name.endswith("-packages"):
+    here = spark.sparkContext.master.startswith("local")
+    if app in _sent or here and ROOT in found or ROOT.name.endswith("-packages"):
         return
     at = tempfile.mkdtemp(prefix="brooktext-code-")
     spark.sparkContext.addPyFile(shutil.make_archive(f"{at}/brooktext", "zip", ROOT, "brooktext"))

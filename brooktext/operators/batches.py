@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 
 def shuffled_index(df: DataFrame, key: Column, digits: int = 3) -> DataFrame:
-    """df with idx, a dense number from 0 in the order of md5(key), a shuffle that the key's salt decides. Rows of one key are in no certain order."""
-    keyed = df.withColumn("order_key", F.md5(key)).withColumn("bucket", F.substring("order_key", 1, digits))
+    """df with idx, a dense number from 0 in the order of md5(key), a shuffle that the key's salt decides. Rows of one key are in the order of a hash of all their columns (but maps), so that every computation numbers them alike."""
+    tie = F.xxhash64(*(F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()), F.lit(0))
+    keyed = df.withColumns({"order_key": F.md5(key), "tie": tie}).withColumn("bucket", F.substring("order_key", 1, digits))
     sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n"))  # 16 ** digits rows at most
     before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select("bucket", F.coalesce("before", F.lit(0).cast("long")).alias("before"))
-    at = F.row_number().over(Window.partitionBy("bucket").orderBy("order_key")) - 1
-    return keyed.withColumn("at", at).join(F.broadcast(before), "bucket").withColumn("idx", F.col("before") + F.col("at")).drop("bucket", "at", "before", "order_key")
+    at = F.row_number().over(Window.partitionBy("bucket").orderBy("order_key", "tie")) - 1
+    return keyed.withColumn("at", at).join(F.broadcast(before), "bucket").withColumn("idx", F.col("before") + F.col("at")).drop("bucket", "at", "before", "order_key", "tie")
 
 
 def fixed_batches(df: DataFrame, key: Column, size: int, drop_last: bool = True) -> DataFrame:

@@ -3,7 +3,8 @@
 A vocabulary is a table of unique words. It is broadcast when counting it shows no more than `BROADCAST_WORDS` words; a
 larger one is joined by a shuffle of the distinct words that the texts have, which Spark splits where a word is very
 frequent. Counts are summed up in each task first, where a text's words lie together, so that only one row a text is
-shuffled then.
+shuffled then. Rows are told apart by id and text, as an id may be null or stand in several rows; results have a row for
+each row, equal rows included.
 """
 
 from __future__ import annotations
@@ -37,18 +38,31 @@ def words_of(items: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def token_rows(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """id and word, a row for each distinct word of each text; a null word for a text without any."""
-    return spread(df.select(id_col, text_col)).select(id_col, F.explode_outer(tokens(text(text_col))).alias("word"))
+    """id, text_md5, n_tokens and word, a row for each distinct word of each text; a null word for a text without any."""
+    rows = spread(df.select(id_col, text_col)).select(id_col, F.md5(text(text_col)).alias("text_md5"), tokens(text(text_col)).alias("tokens"))
+    return rows.select(id_col, "text_md5", F.size("tokens").cast("long").alias("n_tokens"), F.explode_outer("tokens").alias("word"))
 
 
-def coverage(df: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, n_matched, coverage: the share of a text's distinct words that the vocabulary has; 0 without words."""
+def text_coverage(df: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, text_md5, n_tokens, n_rows, n_matched, coverage of each distinct id and text; n_rows: in how many rows they stand."""
     known = bounded(vocabulary.select("word")).withColumn("known", F.lit(1))
     joined = token_rows(df, id_col, text_col).join(known, "word", "left")
-    counts = joined.groupBy(id_col).agg(F.count("word").alias("n_tokens"), F.count("known").alias("n_matched"))
+    counts = joined.groupBy(id_col, "text_md5", "n_tokens").agg(F.count("*").alias("n_words"), F.count("known").alias("n_known"))
+    n_rows = F.expr("n_words div greatest(n_tokens, 1)")
+    counts = counts.withColumn("n_rows", n_rows).withColumn("n_matched", F.expr("n_known div n_rows")).drop("n_words", "n_known")
     return counts.withColumn("coverage", share(F.col("n_matched"), F.col("n_tokens")))
 
 
+def coverage(df: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_tokens, n_matched, coverage for each row: the share of its distinct words that the vocabulary has; 0 without words."""
+    return repeated(text_coverage(df, vocabulary, id_col, text_col)).select(id_col, "n_tokens", "n_matched", "coverage")
+
+
+def repeated(df: DataFrame) -> DataFrame:
+    """Each row n_rows times."""
+    return df.withColumn("copy", F.explode(F.expr("sequence(1L, n_rows)"))).drop("copy", "n_rows")
+
+
 def share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
@@ -56,7 +70,8 @@ def share(part: Column, whole: Column) -> Column:
 def matched_words(df: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, words: each text's words that the vocabulary has, sorted; texts without any are left out."""
     rows = token_rows(df, id_col, text_col).join(bounded(vocabulary.select("word")), "word", "left_semi")
-    return rows.groupBy(id_col).agg(F.sort_array(F.collect_list("word")).alias("words"))
+    held = rows.groupBy(id_col, "text_md5").agg(F.sort_array(F.collect_set("word")).alias("words"), F.count("*").alias("n_words"))
+    return repeated(held.withColumn("n_rows", F.expr("n_words div size(words)"))).select(id_col, "words")
 
 
 def membership(words: DataFrame, vocabulary: DataFrame) -> DataFrame:

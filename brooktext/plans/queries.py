@@ -24,7 +24,7 @@ from ..operators.reward import batch_means, blended, half_up
 from ..operators.similarity import paired_similarity
 from ..sources.files import vocabulary_of
 from .config import Settings
-from .scoring import scored_responses, step_statistics
+from .scoring import polled_judge, scored_responses, step_statistics, stored_pair_scores
 
 BATCH, SALT, SETTINGS = 4, "epoch-1", Settings()
 #: Words that `membership` asks for.
@@ -413,6 +413,57 @@ m AS (SELECT batch_id + 1 AS step, avg(coverage) AS w, avg(expression) AS e, avg
 SELECT step, tag, round(CASE tag WHEN 'Reward/Average' THEN r WHEN 'Reward/Wordbank' THEN w WHEN 'Reward/Expression' THEN e ELSE 0.0 END, 6) AS value FROM m CROSS JOIN (VALUES {', '.join(f"('{t}')" for t in SERIES)}) t(tag)
 """
 
+def judge_loop(spark, sf_dir):
+    """Responses judged by a service: parse, cover, prompts, polled attempts (events stand in for the service), blend."""
+    made = F.concat(F.lit(f"1. {REWRITE_LABEL}："), F.col("doc_id").cast("string"), F.lit(f"\n2. {WORDS_LABEL}："), text("text"))
+    responses = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", made.alias("response"))
+    recorded = _attempts(spark, sf_dir).withColumnRenamed("task_id", "id")
+    judge = polled_judge(lambda prompts: recorded.join(prompts.select("id"), "id", "left_semi"), INSTRUCTIONS["similarity"], "text")
+    scored = scored_responses(responses, _vocabulary(spark, sf_dir), judge, rounded=half_up)
+    return scored.select("id", F.round("coverage", 3).alias("wb"), _six("expression").alias("expr"), "reward")
+
+
+JUDGE_LOOP = f"""
+WITH {SQL_ATTEMPTS},
+f AS (SELECT task_id, arg_min(status, attempt) AS status, arg_min(content, attempt) AS content FROM polls WHERE status <> 'PROCESSING' GROUP BY task_id),
+{SQL_VOCABULARY},
+o AS (SELECT doc_id, CASE WHEN {SQL_STRIP.format("coalesce(text, '')")} = '' THEN '2. {WORDS_LABEL}：' ELSE text END AS text FROM documents),
+toks AS (SELECT doc_id, {sql_tokens('text')} AS ts FROM o),
+hits AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(ts) AS word FROM toks) JOIN vocabulary USING (word) GROUP BY doc_id),
+c AS (
+  SELECT doc_id AS id, CASE WHEN len(ts) > 0 THEN coalesce(n, 0)::DOUBLE / len(ts) ELSE 0.0 END AS w,
+    CASE WHEN f.status IS NULL THEN 0.01::DOUBLE WHEN f.status = 'SUCCESS' THEN {SQL_SCORE.format('f.content')} ELSE 0.0::DOUBLE END AS e
+  FROM toks LEFT JOIN hits USING (doc_id) LEFT JOIN f ON f.task_id = doc_id
+)
+SELECT id, round(w, 3) AS wb, round(e, 6) AS expr, round(round(w, 3) * 0.6::DOUBLE + round(e, 3) * 0.4::DOUBLE, 3) AS reward FROM c
+"""
+
+
+def _slot(conv: Column, turn: Column) -> list[Column]:
+    return [F.concat(conv.cast("string"), F.lit("-"), F.floor(turn / BATCH).cast("string")).alias("batch_id"), F.pmod(turn, F.lit(BATCH)).cast("int").alias("pos")]
+
+
+def stored_pairs(spark, sf_dir):
+    """Stored pairs of turns, `BATCH` turns of a conversation to a batch, scored: prompts, polled attempts, slots at 0.01."""
+    pairs = B.turn_pairs(_read(spark, sf_dir, "conversations")).select(*_slot(F.col("conv_id"), F.col("turn")), "original", "response")
+    recorded = _attempts(spark, sf_dir).select(*_slot(F.floor(F.col("task_id") / 4), F.pmod("task_id", F.lit(4)) * 2), "attempt", "status", "content")
+    scores = stored_pair_scores(pairs, lambda prompts: recorded.join(prompts.select("batch_id", "pos"), ["batch_id", "pos"], "left_semi"), INSTRUCTIONS["similarity"], BATCH)
+    return scores.select("batch_id", F.col("pos").cast("long").alias("pos"), _six("score").alias("score"))
+
+
+STORED_PAIRS = f"""
+WITH {SQL_ATTEMPTS}, {SQL_PAIRS},
+f AS (SELECT task_id, arg_min(status, attempt) AS status, arg_min(content, attempt) AS content FROM polls WHERE status <> 'PROCESSING' GROUP BY task_id),
+k AS (SELECT DISTINCT conv_id, turn, conv_id || '-' || turn // {BATCH} AS batch_id, turn % {BATCH} AS pos FROM p),
+b AS (SELECT DISTINCT batch_id FROM k),
+s AS (
+  SELECT batch_id, pos, CASE WHEN f.status IS NULL THEN 0.01::DOUBLE WHEN f.status = 'SUCCESS' THEN {SQL_SCORE.format('f.content')} ELSE 0.0::DOUBLE END AS score
+  FROM k LEFT JOIN f ON f.task_id // 4 = conv_id AND f.task_id % 4 * 2 = turn
+)
+SELECT b.batch_id, g.pos::BIGINT AS pos, round(coalesce(s.score, 0.01::DOUBLE), 6) AS score
+FROM b CROSS JOIN (SELECT unnest(range({BATCH})) AS pos) g LEFT JOIN s ON s.batch_id = b.batch_id AND s.pos = g.pos
+"""
+
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "vocab_build": (vocab_build, VOCAB_BUILD),
     "token_extract": (token_extract, TOKEN_EXTRACT),
@@ -441,6 +492,8 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "latest_checkpoint": (latest_checkpoint, LATEST_CHECKPOINT),
     "ab_cross": (ab_cross, AB_CROSS),
     "scoring_loop": (scoring_loop, SCORING_LOOP),
+    "judge_loop": (judge_loop, JUDGE_LOOP),
+    "stored_pairs": (stored_pairs, STORED_PAIRS),
 }
 
 

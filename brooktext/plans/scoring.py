@@ -2,25 +2,60 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.responses import parsed
+from ..functions.prompts import judge_prompt
+from ..functions.responses import UNRESOLVED, parsed
+from ..functions.text import text
+from ..operators.judging import padded, polled_scores
 from ..operators.models import ModelStep
 from ..operators.reward import batch_means, blended
-from ..operators.vocabulary import coverage
+from ..operators.tables import written_once
+from ..operators.vocabulary import text_coverage
 
 
 def scored_responses(responses: DataFrame, vocabulary: DataFrame, judge: ModelStep, word_filter: ModelStep | None = None, rounded=None) -> DataFrame:
     """responses: batch_id, id, response. judge adds `expression` (-1 to 1) to rows with `rewrite`; word_filter may rewrite `words`.
 
-    Adds rewrite, words, coverage, expression and reward."""
+    Adds rewrite, words, coverage, expression and reward; a row for each response, equal ids included. Each model step runs
+    once a row: what word_filter returns is written out before coverage and judge read it, and judge comes last."""
     rewrite, words = parsed(F.col("response"))
     rows = responses.withColumns({"rewrite": rewrite, "words": words})
-    rows = judge(word_filter(rows) if word_filter else rows)
-    covered = coverage(rows, vocabulary, "id", "words").select("id", "coverage")
+    if word_filter:
+        rows = written_once(word_filter(rows), "filtered-words")
+    covered = text_coverage(rows, vocabulary, "id", "words").select(F.col("id").alias("covered_id"), F.col("text_md5").alias("covered_md5"), "coverage")
+    same = F.col("id").eqNullSafe(F.col("covered_id")) & (F.md5(text("words")) == F.col("covered_md5"))
+    judged = judge(rows.join(covered, same).drop("covered_id", "covered_md5"))
     reward = blended(F.col("coverage"), F.col("expression"), rounded) if rounded else blended(F.col("coverage"), F.col("expression"))
-    return rows.join(covered, "id").withColumn("reward", reward)
+    return judged.withColumn("reward", reward)
+
+
+def polled_judge(ask: Callable[[DataFrame], DataFrame], instructions: str, original: str = "original", key: str = "id") -> ModelStep:
+    """A judge that is asked and polled: ask takes rows of key and prompt, each prompt once, and returns their attempts (key,
+    attempt, status, content). Rows that never get a result, and those without a key, have 0.01 for `expression`.
+
+    ask is called once; its prompts and what comes back are written out, so that no plan sends them again."""
+
+    def judge(rows: DataFrame) -> DataFrame:
+        rows = written_once(rows, "to-judge")
+        prompts = rows.where(F.col(key).isNotNull()).select(key, judge_prompt(instructions, F.col(original), F.col("rewrite")).alias("prompt"))
+        scores = polled_scores(written_once(ask(prompts), "attempts"), key=key).select(key, F.col("score").alias("expression"))
+        return rows.join(scores, key, "left").withColumn("expression", F.coalesce("expression", F.lit(UNRESOLVED)))
+
+    return judge
+
+
+def stored_pair_scores(pairs: DataFrame, ask: Callable[[DataFrame], DataFrame], instructions: str, size: int) -> DataFrame:
+    """batch_id, pos, score of stored pairs (batch_id, pos, original, response): prompts, attempts, polled scores, `size` to a batch.
+
+    ask takes batch_id, pos and prompt, and returns attempts with batch_id and pos."""
+    prompts = pairs.select(F.struct("batch_id", "pos").alias("task"), judge_prompt(instructions, F.col("original"), F.col("response")).alias("prompt"))
+    attempts = ask(prompts.select("task.batch_id", "task.pos", "prompt")).withColumn("task", F.struct("batch_id", "pos"))
+    scores = polled_scores(attempts, prompts, "task").select("task.batch_id", "task.pos", "score")
+    return padded(scores, size)
 
 
 def step_statistics(scored: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import uuid
 import json
 
 import pytest
@@ -34,6 +35,37 @@ def test_coverage(spark):
     assert rows(V.coverage(docs.limit(0), vocabulary)) == []
 
 
+def test_rows_that_share_an_id_are_kept_apart(spark):
+    vocabulary = spark.createDataFrame([("甲",)], "word string")
+    docs = spark.createDataFrame([(1, "甲 b"), (1, "甲 b"), (1, "甲"), (None, "b"), (None, ""), (None, None)], "doc_id int, text string")
+    got = sorted((r.doc_id or 0, r.n_tokens, r.n_matched, r.coverage) for r in V.coverage(docs, vocabulary).collect())
+    assert got == [(0, 0, 0, 0.0), (0, 0, 0, 0.0), (0, 1, 0, 0.0), (1, 1, 1, 1.0), (1, 2, 1, 0.5), (1, 2, 1, 0.5)]
+    assert [(r.doc_id, r.words) for r in V.matched_words(docs, vocabulary).collect()] == [(1, ["甲"])] * 3
+
+
+def test_model_steps_run_once_a_row(spark, tmp_path):
+    vocabulary = spark.createDataFrame([("甲",)], "word string")
+    responses = spark.createDataFrame([(0, 1, "1. 改写：x 2. 分词：甲 b"), (0, 1, "1. 改写：x 2. 分词：甲 b"), (0, None, "甲")], "batch_id int, id int, response string")
+
+    def counted(name):
+        def load():
+            def model(prompts):
+                for p in prompts:
+                    (tmp_path / name / uuid.uuid4().hex).touch()
+                    yield p if name == "words" else 1.0
+
+            return model
+
+        (tmp_path / name).mkdir()
+        return load
+
+    word_filter = lambda df: batched(counted("words"), "words", "kept")(df).drop("words").withColumnRenamed("kept", "words")
+    judge = batched(counted("expression"), "rewrite", "expression", "double")
+    out = scored_responses(responses, vocabulary, judge, word_filter).collect()
+    assert sorted((r.id or 0, r.coverage) for r in out) == [(0, 1.0), (1, 0.5), (1, 0.5)]
+    assert len(list((tmp_path / "words").iterdir())) == len(list((tmp_path / "expression").iterdir())) == 3
+
+
 def test_a_large_vocabulary_is_not_broadcast(spark):
     vocabulary = spark.range(30).select(F.col("id").cast("string").alias("word"))
     assert "broadcast" not in V.bounded(vocabulary, 29)._jdf.queryExecution().logical().toString().lower()
