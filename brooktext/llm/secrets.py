@@ -12,7 +12,8 @@ of its places; digests of the layers that were seen end cycles, as of a stream t
 
 Base64 is tried at all four alignments, so that a run that begins with other characters (`blob/...`) is read, and across
 line breaks. Of bytes that aren't text as a whole, compressed streams and stretches of printable text (8-bit or UTF-16)
-are taken.
+are taken. Each beginning of a stream is tried, and a broken one may be read to the end of its bytes before it shows: bytes
+that are nothing but beginnings of gzip streams take time that grows faster than their length.
 
 Defined results: null and empty texts have no spans; repeated rows give equal rows; a text of any length is scanned
 whole; an empty table gives an empty one; columns other than id and text are not carried, so their names can't clash. A
