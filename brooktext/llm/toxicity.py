@@ -1,23 +1,29 @@
 """Toxicity by weak supervision.
 
 Voters: fixed lexicon and pattern voters, and voters induced from labelled rows (words, and beginnings shared by
-one, two or three different words, that toxic rows hold much more often than others). A generative label model estimates each voter's hit rates under both classes by
-expectation maximisation, and the correlation of each pair of voters given the class; a voter's evidence is divided by
-how much it repeats its correlated peers. A voter that doesn't hit abstains; that none hits is a vote of its own, for
-the other class. The posterior labels train a linear classifier (ridge logistic regression)
-over the voters and further words, which scores every row.
+one, two or three different words, that toxic rows hold much more often than others). A generative label model estimates each
+voter's hit rates under both classes by expectation maximisation, from how the voters agree, and the correlation of each
+pair of voters given the class; a voter's evidence is divided by how much it repeats its correlated peers. A voter that
+doesn't hit abstains; that none hits is a vote of its own, for the other class. Labels choose the induced voters and
+give the model the classes' balance; they are no evidence for any row's posterior. The posterior labels train a linear
+classifier (ridge logistic regression) over the voters and further words, which scores every row.
 
 The fit takes about `FIT_ROWS` labelled rows at most, those of the lowest hashes of the id (a documented bound), and one
-of each set of near copies among them, so that a much copied text doesn't make voters of its chance words. Scoring
-covers every row in one pass without a shuffle. Labels, lang, source and doc_id are never inputs of a score.
-
-Defined results: null and empty texts score as texts without any feature; equal texts get equal scores; labels that are
+of each set of rows among them with one label and one sketch (the `SKETCH` least hashes of five-word runs), so that a
+much copied text doesn't make voters of its chance words; rows that share passages only have different sketches.
+`VOTERS` and `TERMS` are the model's size: the most telling terms that occur in enough toxic rows. Scoring
+covers every row, whole texts of any length, in one pass without a shuffle. Labels, lang, source and doc_id are never
+inputs of a score.
+
+Defined results: null and empty texts score as texts without any feature; equal texts get equal scores and repeated rows
+a row each; an empty table gives no rows; other columns, whatever their names, are not read; labels that are
 null or whose document is missing are ignored. Without labels of both kinds only the fixed voters count.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -27,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fold, hash_sample, persist, texts, tidy
+from .shared import discard, fold, hash_sample, persist, small_batches, texts, tidy
 
-FIT_ROWS, VOTERS, TERMS, CANDIDATES, KNOWN, THRESHOLD = 30_000, 128, 320, 20_000, 0.99, 0.3
+FIT_ROWS, VOTERS, TERMS, SKETCH, THRESHOLD = 30_000, 128, 320, 4, 0.3
 PREFIXES = (4, 5, 6)
 MEMO = 400_000
 
@@ -68,12 +74,11 @@ def terms_of(words: set[str]) -> set[str]:
     return out
 
 
-def sketch(lower: str) -> int:
-    """The least hash of the text's five-word runs: near copies mostly share it."""
+def sketch(lower: str) -> bytes:
+    """The least hashes of the text's five-word runs: those of near copies are mostly the same, those of texts that share a passage hardly ever."""
     w = lower.split()
-    if len(w) < 5:
-        return int.from_bytes(hashlib.blake2b(" ".join(w).encode("utf-8", "surrogatepass"), digest_size=7).digest())
-    return min(int.from_bytes(hashlib.blake2b(" ".join(w[i : i + 5]).encode("utf-8", "surrogatepass"), digest_size=7).digest()) for i in range(0, len(w) - 4))
+    runs = {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    return b"".join(heapq.nsmallest(SKETCH, {hashlib.blake2b(r.encode("utf-8", "surrogatepass"), digest_size=8).digest() for r in runs}))
 
 
 @dataclass
@@ -87,12 +92,12 @@ class LabelModel:
     correlation: np.ndarray
 
     @classmethod
-    def fit(cls, votes: np.ndarray, known: np.ndarray, rounds: int = 40) -> LabelModel:
-        """votes: rows x voters of 0 or 1. The known labels take part as one more voter, of a fixed accuracy of `KNOWN`; without it any
-        chance hit could make a class of its own."""
+    def fit(cls, votes: np.ndarray, prior: float, rounds: int = 60) -> LabelModel:
+        """votes: rows x voters of 0 or 1; prior: the share of class 1, which is held fixed, as any chance agreement could make a class
+        of its own otherwise."""
         v = votes.astype(np.float64)
         k = v.shape[1]
-        q, prior = np.clip(0.5 * known + 0.5 * np.minimum(v.sum(axis=1) / 3, 1), 0.01, 0.99), float(known.mean())
+        q, prior = np.clip(v.sum(axis=1) / 3, 0.01, 0.99), float(np.clip(prior, 1e-4, 1 - 1e-4))
         weight, corr = np.ones(k), np.zeros((k, k))
         for step in range(rounds):
             m = np.array([1 - q, q])
@@ -106,18 +111,15 @@ class LabelModel:
                 s = np.sqrt(np.maximum(np.diag(c), 1e-9))
                 corr = c / np.outer(s, s)
                 weight = 1 / np.sqrt(np.maximum(1.0, np.where(np.abs(corr) > 0.3, np.abs(corr), 0).sum(axis=1)))
-            prior = float(np.clip(q.mean(), 1e-4, 0.5)) if step else prior
-            now = cls(prior, hit, none, weight, corr).posterior(votes, known)
+            now = cls(prior, hit, none, weight, corr).posterior(votes)
             if np.abs(now - q).max() < 1e-6 and step > 15:
                 break
             q = now
         return cls(prior, hit, none, weight, corr)
 
-    def posterior(self, votes: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
         z = np.log(self.prior / (1 - self.prior)) + votes @ (self.weight * np.log(self.hit[1] / self.hit[0]))
         z += (votes.sum(axis=1) == 0) * np.log(self.none[1] / self.none[0])
-        if known is not None:
-            z += (2 * known - 1) * np.log(KNOWN / (1 - KNOWN))
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
@@ -250,21 +252,22 @@ def _unlike(features: Features, rows: DataFrame) -> list[str]:
 
 def fit(df: DataFrame, labels: DataFrame, target: str = "toxic", text: str = "text", id_col: str = "doc_id", fit_rows: int = FIT_ROWS) -> ToxicityModel:
     """labels: doc_id and `target`, of the rows that may be learned from."""
+    small_batches(df.sparkSession)
     known = labels.select(F.col("doc_id").alias("id"), F.col(target).cast("int").alias("y")).where("y is not null and id is not null")
     some = hash_sample(known, known.count(), fit_rows, "id").limit(2 * fit_rows)  # a proven bound, so that it may be broadcast
     src = df.select(df[id_col].cast("long").alias("id"), df[text].cast("string").alias("text")).join(F.broadcast(some), "id")
 
     def keyed(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("text"), b.column("y"), pa.array([sketch(t.lower()) for t in texts(b)], pa.int64())], names=["text", "y", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column("text"), b.column("y"), pa.array([sketch(t.lower()) for t in texts(b)], pa.binary())], names=["text", "y", "sketch"])
 
-    rows = persist(src.select("text", "y").mapInArrow(tidy(keyed), "text string, y int, sketch long").groupBy("sketch").agg(F.min(F.struct(F.xxhash64("text"), "text", "y")).alias("r")).select("r.text", "r.y"), "toxicity-fit")
+    rows = persist(src.select("text", "y").mapInArrow(tidy(keyed), "text string, y int, sketch binary").groupBy("sketch", "y").agg(F.min(F.struct(F.xxhash64("text"), "text", "y")).alias("r")).select("r.text", "r.y"), "toxicity-fit")
     sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     terms: list[str] = []
     if n1 and n0:
         least = max(3, n1 // 200)
-        held = {r.term: r.n for r in _counted(rows.where("y = 1"), None).where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()}
+        held = {r.term: r.n for r in _counted(rows.where("y = 1"), None).where(F.col("n") >= least).collect()}  # at most 200 times as many as a row has terms
         others = {r.term: r.n for r in _counted(rows.where("y = 0"), frozenset(held)).collect()}
         # a lower bound of the rate among toxic rows against an upper bound of the rate among the others
         # (a beginning that several words share is less likely to be chance)
@@ -279,14 +282,15 @@ def fit(df: DataFrame, labels: DataFrame, target: str = "toxic", text: str = "te
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in features.matrix(texts(b))], pa.binary()), b.column("y")], names=["x", "y"])
 
     got = rows.mapInArrow(tidy(rowed), "x binary, y int").collect()  # 2 * fit_rows at most, a few hundred bytes each
+    discard(rows)
     if not got or not n1 or not n0:
         weight = np.zeros(len(features.names) + 1)
         weight[:fixed], weight[-1] = 3.0, -3.0
         return ToxicityModel(features, weight)
     x = np.frombuffer(b"".join(r.x for r in got), np.uint8).reshape(len(got), -1)
-    votes, known = x[:, : fixed + min(VOTERS, len(terms))], np.array([r.y for r in got], np.float64)
-    model = LabelModel.fit(votes, known)
-    return ToxicityModel(features, logistic(x, model.posterior(votes, known)), model)
+    votes = x[:, : fixed + min(VOTERS, len(terms))]
+    model = LabelModel.fit(votes, n1 / (n1 + n0))
+    return ToxicityModel(features, logistic(x, model.posterior(votes)), model)
 
 
 def toxicity_scores(df: DataFrame, labels: DataFrame, target: str = "toxic", text: str = "text", id_col: str = "doc_id", held_out: tuple[int, int] = (4, 2), threshold: float = THRESHOLD) -> DataFrame:

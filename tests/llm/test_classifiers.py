@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brooktext.llm.quality import STATISTICS, isotonic, keep_good, quality_scores, statistics
-from brooktext.llm.toxicity import LabelModel, terms_of, toxicity_scores
+from brooktext.llm.toxicity import LabelModel, fit, sketch, terms_of, toxicity_scores
 
 DATA = "/root/testdata/sf0.1"
 
@@ -34,6 +34,9 @@ def test_held_out(tables, scores, target, mod, rest, least):
     assert ((x.score >= 0.3) == (x.predicted == 1)).all() and x.score.between(0, 1).all()
     held = x[x.held_out]
     assert auc(held.score.values, held[target].values) > least
+    if target == "toxic":  # wherever there are enough labelled toxic rows to learn a language's words from
+        by_lang = held[held.toxic == 1].merge(docs.select("doc_id", "lang").toPandas(), on="doc_id").groupby("lang").predicted.agg(["size", "mean"])
+        assert len(big := by_lang[by_lang["size"] >= 10]) >= 3 and (big["mean"] >= 0.85).all(), by_lang
     assert held[held[target] == 0].predicted.mean() < 0.02 if target == "toxic" else held[held[target] == 1].predicted.mean() > 0.99
 
 
@@ -86,8 +89,23 @@ def test_label_model():
     y = (rng.random(4000) < 0.1).astype(float)
     hit = np.where(y[:, None] > 0, rng.random((4000, 12)) < 0.4, rng.random((4000, 12)) < 0.01)
     votes = np.column_stack([hit, hit[:, 0]]).astype(np.uint8)  # the last repeats the first
-    noisy = y.copy()
-    noisy[rng.random(4000) < 0.02] = 0  # labels may be wrong
-    m = LabelModel.fit(votes, noisy)
-    assert auc(m.posterior(votes), y) > 0.97 and m.weight[-1] < m.weight[3] and abs(m.prior - 0.1) < 0.03
+    m = LabelModel.fit(votes, 0.1)
+    assert auc(m.posterior(votes), y) > 0.97 and m.weight[-1] < m.weight[3]
+    assert (m.hit[1] > 10 * m.hit[0]).all()
     assert terms_of({"abcdef", "abcxyz", "abcd"}) >= {"abcd", "^abcd", "^abcx"}
+
+
+def test_sketches_part_rows_that_only_share_a_passage():
+    passage = " ".join(f"licence{i}" for i in range(60))
+    rows = [f"{passage} {' '.join(f'{k}own{i}' for i in range(60))}" for k in range(200)]
+    assert len({sketch(t) for t in rows}) > 180 and sketch(rows[0]) == sketch(rows[0] + " ")
+
+
+def test_hit_rates_are_found_without_labels(tables):
+    docs, labels = tables
+    learned = labels.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2)
+    m = fit(docs, learned)
+    x = docs.join(learned, "doc_id").select("text", "toxic").toPandas()
+    votes = m.features.matrix(list(x.text.fillna("")))[:, : m.voters.hit.shape[1]]
+    off = np.abs(m.voters.hit[1] - votes[x.toxic == 1].mean(axis=0))
+    assert votes.shape[1] > 50 and off.mean() < 0.015 and off.max() < 0.1
