@@ -9,6 +9,8 @@ The fit takes about `FIT_ROWS` labelled rows at most (those of the lowest hashes
 covers every row. Labels, lang, source and doc_id are never inputs of a score.
 
 Defined results: null and empty texts get the score of their (all-zero) statistics; equal texts get equal scores;
+repeated rows get a row each; texts of any length are measured whole; an empty table gives no rows; other columns,
+whatever their names, are not read (`keep_good` returns them as they are);
 labels that are null or whose document is missing are ignored; repeated labels count each; without labels of both
 kinds every score is the share of label 1 among the fit's rows (0.5 with none).
 """
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fold, hash_sample, persist, small_batches, texts, tidy
+from .shared import discard, fold, hash_sample, persist, small_batches, texts, tidy
 
 FEATURES, RIDGE, SEED, FIT_ROWS, FIT_PARTS = 384, 1e-3, 20_240_229, 200_000, 16
 THRESHOLD = 0.3
@@ -150,6 +152,7 @@ def fit(stats: DataFrame, labels: DataFrame, target: str = "quality", fit_rows:
     n, ones = rows.agg(F.count("*"), F.sum("y")).first()
     prior = ones / n if n else 0.5
     if not n or not 0 < ones < n:
+        discard(rows)
         return QualityModel(None, np.zeros(0), np.zeros(0), np.zeros(0), prior)
     moments = rows.select(*(f(F.col("stats")[k]).alias(f"{a}{k}") for k in range(STATISTICS) for a, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
     scale = np.array([moments[f"s{k}"] for k in range(STATISTICS)])
@@ -175,6 +178,7 @@ def fit(stats: DataFrame, labels: DataFrame, target: str = "quality", fit_rows:
             yield pa.RecordBatch.from_arrays([pa.array(model.raw(_matrix(batch))), batch.column("y")], names=["raw", "y"])
 
     held = np.array([tuple(r) for r in rows.where("calibrates").mapInArrow(tidy(raws), "raw double, y double").collect()]).reshape(-1, 2)  # a fifth of fit_rows
+    discard(rows)
     if len(held):
         model.knots, model.values = isotonic(held[:, 0], held[:, 1])
     return model
@@ -200,9 +204,12 @@ def scored(stats: DataFrame, model: QualityModel, held_out: tuple[int, int], thr
 def keep_good(df: DataFrame, labels: DataFrame, target: str = "quality", threshold: float = THRESHOLD, held_out: tuple[int, int] = (5, 0)) -> DataFrame:
     """df's rows, with all their columns, whose text scores at least `threshold`. Texts are measured and scored where they lie: none is shuffled."""
     small_batches(df.sparkSession)
-    learned = labels.where(fold(held_out[0]) != held_out[1])
-    stats = with_statistics(hash_sample(df, learned.count(), FIT_ROWS))  # the fit's labels have the same hashes
-    model = fit(persist(stats, "quality-stats"), learned, target)
+    learned = labels.where((fold(held_out[0]) != held_out[1]) & F.col(target).isNotNull())
+    # only texts that the fit takes are measured for it; their ids are bounded, so that they may be broadcast
+    ids = hash_sample(learned, learned.count(), FIT_ROWS).select("doc_id").distinct().limit(2 * FIT_ROWS)
+    stats = persist(with_statistics(df.join(F.broadcast(ids), "doc_id", "left_semi")), "quality-stats")
+    model = fit(stats, learned, target)
+    discard(stats)
 
     def run(batches):
         for b in batches:

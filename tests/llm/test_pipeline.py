@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from brooktext.llm.pii import detect
 from brooktext.llm.shared import persist
@@ -35,7 +37,37 @@ def test_run(spark):
 
 
 def test_odd_rows(spark, odd):
-    df = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    df = odd.select("doc_id", "text", "lang", "source", "n_chars", F.lit("own").alias("score"), F.lit(7).alias("Kinds"), F.lit("k").alias("pii_row"))
+    before = {(r.source, r.text, r.score, r.Kinds, r.pii_row) for r in df.collect()}
+    for name, stage in pipeline.STAGES:
+        out = persist(stage(spark, df, "/root/testdata/sf0.001"), name)
+        assert name == "pieces" or out.columns == df.columns
+        rows = {(r.source, r.text, r.score, r.Kinds, r.pii_row) for r in out.collect()}
+        assert rows <= before and out.count() == len(rows), name
+        if name == "near_duplicates":
+            texts = {r.doc_id: r.text for r in out.collect()}
+            assert 9 not in texts or 8 not in texts
+        if name in ("near_duplicates", "decontamination", "pii", "pieces"):  # texts without words stay
+            assert {r for r in before if not (r[1] or "").split()} == {r for r in rows if not (r[1] or "").split()}, name
+        df, before = out, rows
+    assert {"ids", "round_trip", "n_pieces"} <= set(df.columns)
+    assert all(r.round_trip and r.n_pieces == len(r.ids) for r in df.collect())
+
+
+def test_empty_tables(spark, empty):
+    df = empty.select("doc_id", "text", "lang", "source", "n_chars")
     for name, stage in pipeline.STAGES:
         df = persist(stage(spark, df, "/root/testdata/sf0.001"), name)
-    assert df.count() <= odd.count()
+        assert df.count() == 0, name
+
+
+def test_only_the_last_table_stays(spark):
+    from pathlib import Path
+
+    from brooktext.llm.shared import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = {p.name for p in folder.glob("pipeline-*")}
+    pipeline.run(spark, "/root/testdata/sf0.001")
+    left = {p.name for p in folder.glob("pipeline-*")} - before
+    assert [n.rsplit("-", 1)[0] for n in left] == ["pipeline-pii"]
