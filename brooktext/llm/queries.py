@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ("documents", "benchmark", "labels", "conversations")
+TABLES = ("documents", "benchmark", "labels", "conversations", "embeddings")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,6 +104,65 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n_words=2)
 
 
+def op11_ball_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import clustered
+
+    return clustered(table(spark, sf_dir, "embeddings"))
+
+
+def _op11_sql(k: int = 8, rounds: int = 10, dims: int = 64) -> str:
+    """The same by comparing every vector with every centroid, a table for each round."""
+    nearest = "SELECT v.row, any_value(v.vec_id) AS vec_id, any_value(v.x) AS x, arg_min(c.k, (c.d, c.k)) AS k, min(c.d) AS d FROM v, LATERAL (SELECT k, list_sum(list_transform(list_zip(v.x, x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM c{0}) c GROUP BY v.row"
+    steps = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: isfinite(x))) = {dims})",
+        f"c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('3:' || vec_id), x) - 1)::INTEGER AS k, x FROM v ORDER BY sha256('3:' || vec_id), x LIMIT {k})",
+    ]
+    for i in range(rounds):
+        steps += [
+            f"a{i} AS MATERIALIZED ({nearest.format(i)})",
+            f"p{i} AS (SELECT k, unnest(x) AS value, unnest(range({dims})) AS place FROM a{i})",
+            f"s{i} AS (SELECT k, place, sum(value)::BIGINT AS total, count(*) AS n FROM p{i} GROUP BY k, place)",
+            f"m{i} AS (SELECT k, list(((total - ((total % n) + n) % n) // n)::BIGINT ORDER BY place) AS x FROM s{i} GROUP BY k)",
+            f"c{i + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN m{i} m ON m.k = c.k)",
+        ]
+    steps += [f"f AS MATERIALIZED ({nearest.format(rounds)})", f"h AS (SELECT k, sha256(array_to_string(x, ',')) AS centroid_sha256 FROM c{rounds})"]
+    return f"WITH {', '.join(steps)} SELECT f.vec_id, f.k AS cluster, f.d AS distance, (sum(f.d) OVER (PARTITION BY f.k))::BIGINT AS cluster_inertia, (sum(f.d) OVER ())::BIGINT AS inertia, h.centroid_sha256 FROM f JOIN h ON h.k = f.k"
+
+
+OP11_SQL = _op11_sql()
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixed
+
+    return mixed(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents
+),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+t AS (SELECT sum(CASE WHEN len(ts) > 0 THEN 1 ELSE 0 END)::BIGINT AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM d),
+p AS (SELECT row, doc_id, len(ts)::BIGINT AS n, unnest(ts) AS term FROM d),
+f AS (SELECT row, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY row, term),
+w AS (SELECT term, floor(1000.0::DOUBLE * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, t GROUP BY term, n_docs),
+s AS (
+  SELECT q.item_id, f.row, any_value(f.doc_id) AS doc_id, sum(w.w * ((1000000000 * f.tf) // (1000 * f.tf + 20 * (50 + (50 * f.n * t.n_docs) // t.n_terms))))::BIGINT AS score
+  FROM q JOIN f USING (term) JOIN w USING (term), t GROUP BY q.item_id, f.row
+),
+r AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, row))::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_tool_calls": op1_tool_calls,
@@ -116,8 +175,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_secrets": op9_secrets,
         "op10_near_duplicates": op10_near_duplicates,
+        "op11_ball_trees": op11_ball_trees,
+        "op12_mixing": op12_mixing,
+        "op13_lexical_search": op13_lexical_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_tool_calls": OP1_SQL}
+    return {"op1_tool_calls": OP1_SQL, "op11_ball_trees": OP11_SQL, "op13_lexical_search": OP13_SQL}
