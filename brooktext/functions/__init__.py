@@ -1 +1 @@
-"""Column expressions; all but `rounding` run in the JVM."""
+"""Column expressions; all run in the JVM."""

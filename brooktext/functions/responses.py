@@ -11,6 +11,7 @@ from .text import WHITE, last_line, strip, text, without
 REWRITE_LABEL, WORDS_LABEL = "改写", "分词"
 _W = f"[{WHITE}]*"
 _COLONS = f"[：:{WHITE}]*"
+#: How a response's two parts are found.
 REWRITE = rf"(?sd)1\.{_W}{REWRITE_LABEL}{_COLONS}(.*?)(?:{_W}2\.|{_W}{WORDS_LABEL}|$)"
 WORDS = rf"(?sd)2\.{_W}{WORDS_LABEL}{_COLONS}(.*)"
 #: Fixed value: a judge's score. One decimal below one; one, with any character and a nought after it; nought.

@@ -7,18 +7,15 @@ from pyspark.sql import functions as F
 
 #: What counts as white space in a Java pattern (all of Unicode's, and U+001C to U+001F).
 WHITE = r"\s\p{Z}\x{85}\x{1c}-\x{1f}"
-#: The punctuation that separates words, by code point. Not extended on purpose.
-PUNCTUATION = (
-    "0021 0022 0027 0028 0029 002C 002E 002F 003A 003B 003C 003E 003F 005B 005D 007B 007D "
-    "2018 2019 201C 201D 3001 3002 3003 300A 300B 3010 3011 FF01 FF08 FF09 FF0C FF1A FF1B FF1F"
-)
+#: The punctuation that separates words. Not extended on purpose.
+PUNCTUATION = "，。！？、：；\"“”‘’（）《》【】〃.,!?;:'\"()[]{}<>/"
 #: The wave that stands for the headword in a dictionary's meanings.
 PLACEHOLDER = "～"
 
 
 def punctuation() -> str:
     """The punctuation for use in a character class; Java and RE2 read it alike."""
-    return "".join(rf"\x{{{c}}}" for c in PUNCTUATION.split())
+    return "".join(rf"\x{{{ord(c):04X}}}" for c in PUNCTUATION)
 
 
 def punctuation_class() -> str:
@@ -39,6 +36,11 @@ def spaced(c: Column) -> Column:
     return F.regexp_replace(c, punctuation_class(), " ")
 
 
+def unsegmented(c: Column) -> Column:
+    """A text without white space and punctuation."""
+    return F.regexp_replace(c, f"[{punctuation()}{WHITE}]+", "")
+
+
 def split_white(c: Column) -> Column:
     return F.split(c, f"[{WHITE}]+")
 

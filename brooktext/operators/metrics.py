@@ -7,6 +7,8 @@ import logging
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import discard, files_in, written_once
+
 #: Each series' tag and the statistic it shows.
 SERIES = {
     "Loss/Policy": "ppo/loss/policy",
@@ -32,9 +34,21 @@ def scalar_series(steps: DataFrame, step: str = "step", stats: str = "stats") ->
     return wide.unpivot(step, [F.col(f"`{t}`") for t in SERIES], "tag", "value")
 
 
+#: Steps that share a folder of a written series.
+SPAN = 1000
+
+
 def write_series(steps: DataFrame, path: str, step: str = "step", stats: str = "stats") -> None:
-    """Appends the steps' series to a table of step, tag, value."""
-    scalar_series(steps, step, stats).write.mode("append").parquet(path)
+    """Writes the steps' series into a table of step, tag, value. A step that the table has already is replaced, so that a step that is run again
+    leaves its nine rows. Only the folders of `SPAN` steps that the new steps lie in are written."""
+    spark = steps.sparkSession
+    new = written_once(scalar_series(steps, step, stats).withColumn("span", F.floor(F.col(step) / SPAN)), "series")
+    out = new
+    if files_in(spark, path).limit(1).count():
+        old = spark.read.schema(new.schema).parquet(path).join(F.broadcast(new.select("span").distinct()), "span", "left_semi")
+        out = old.join(new.select(step).distinct(), step, "left_anti").unionByName(new)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("span").parquet(path)
+    discard(new)
 
 
 def step_log(path: str, name: str = "train") -> logging.Logger:

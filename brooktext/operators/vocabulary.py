@@ -3,7 +3,7 @@
 A vocabulary is a table of unique words. It is broadcast when counting it shows no more than `BROADCAST_WORDS` words; a
 larger one is joined by a shuffle of the distinct words that the texts have, which Spark splits where a word is very
 frequent. Counts are summed up in each task first, where a text's words lie together, so that only one row a text is
-shuffled then. Rows are told apart by id and text, as an id may be null or stand in several rows; results have a row for
+shuffled then. Rows are told apart by id and text (by its hash), as an id may be null or stand in several rows; results have a row for
 each row, equal rows included.
 """
 
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.text import text, tokens
 
 BROADCAST_WORDS = 500_000
+#: Bytes that a core reads as one part; what has fewer for each core is dealt out.
+PART_BYTES = 128 << 20
 
 
 def bounded(vocabulary: DataFrame, limit: int = BROADCAST_WORDS) -> DataFrame:
@@ -23,13 +25,13 @@ def bounded(vocabulary: DataFrame, limit: int = BROADCAST_WORDS) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt over the cores if it is read in fewer parts than there are, as with one small or unsplittable file; else as it is.
-
-    What is shuffled before is left alone: its parts are sized at run time, and asking for their number would run it."""
-    if "Adaptive" in df._jdf.queryExecution().executedPlan().toString():
+    """df dealt over the cores if it is read from fewer files than there are, which are too small to be split over them; else as it is."""
+    spark, files = df.sparkSession, df.inputFiles()
+    cores = spark.sparkContext.defaultParallelism
+    if not 0 < len(files) < cores:
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = spark.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0]
+    return df.repartition(cores) if size <= cores * PART_BYTES else df
 
 
 def words_of(items: DataFrame, text_col: str = "text") -> DataFrame:
@@ -37,17 +39,21 @@ def words_of(items: DataFrame, text_col: str = "text") -> DataFrame:
     return items.select(F.explode(tokens(text(text_col))).alias("word")).distinct()
 
 
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(text(text_col))
+
+
 def token_rows(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """id, text_md5, n_tokens and word, a row for each distinct word of each text; a null word for a text without any."""
-    rows = spread(df.select(id_col, text_col)).select(id_col, F.md5(text(text_col)).alias("text_md5"), tokens(text(text_col)).alias("tokens"))
-    return rows.select(id_col, "text_md5", F.size("tokens").cast("long").alias("n_tokens"), F.explode_outer("tokens").alias("word"))
+    """id, text_hash, n_tokens and word, a row for each distinct word of each text; a null word for a text without any."""
+    rows = spread(df.select(id_col, text_col)).select(id_col, text_hash(text_col).alias("text_hash"), tokens(text(text_col)).alias("tokens"))
+    return rows.select(id_col, "text_hash", F.size("tokens").cast("long").alias("n_tokens"), F.explode_outer("tokens").alias("word"))
 
 
 def text_coverage(df: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text_md5, n_tokens, n_rows, n_matched, coverage of each distinct id and text; n_rows: in how many rows they stand."""
+    """id, text_hash, n_tokens, n_rows, n_matched, coverage of each distinct id and text; n_rows: in how many rows they stand."""
     known = bounded(vocabulary.select("word")).withColumn("known", F.lit(1))
     joined = token_rows(df, id_col, text_col).join(known, "word", "left")
-    counts = joined.groupBy(id_col, "text_md5", "n_tokens").agg(F.count("*").alias("n_words"), F.count("known").alias("n_known"))
+    counts = joined.groupBy(id_col, "text_hash", "n_tokens").agg(F.count("*").alias("n_words"), F.count("known").alias("n_known"))
     n_rows = F.expr("n_words div greatest(n_tokens, 1)")
     counts = counts.withColumn("n_rows", n_rows).withColumn("n_matched", F.expr("n_known div n_rows")).drop("n_words", "n_known")
     return counts.withColumn("coverage", share(F.col("n_matched"), F.col("n_tokens")))
@@ -70,7 +76,7 @@ def share(part: Column, whole: Column) -> Column:
 def matched_words(df: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, words: each text's words that the vocabulary has, sorted; texts without any are left out."""
     rows = token_rows(df, id_col, text_col).join(bounded(vocabulary.select("word")), "word", "left_semi")
-    held = rows.groupBy(id_col, "text_md5").agg(F.sort_array(F.collect_set("word")).alias("words"), F.count("*").alias("n_words"))
+    held = rows.groupBy(id_col, "text_hash").agg(F.sort_array(F.collect_set("word")).alias("words"), F.count("*").alias("n_words"))
     return repeated(held.withColumn("n_rows", F.expr("n_words div size(words)"))).select(id_col, "words")
 
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import prompts as P
 from ..functions.responses import REWRITE_LABEL, WORDS_LABEL, parsed, score
-from ..functions.text import before_end_mark, punctuation_class, split_white, text, tokens, words
+from ..functions.rounding import exact_round3, exact_round3_sql
+from ..functions.text import before_end_mark, punctuation_class, split_white, text, tokens, unsegmented, words
 from ..operators import batches as B
 from ..operators import judging as J
 from ..operators import vocabulary as V
@@ -21,10 +22,13 @@ from ..operators.checkpoints import latest
 from ..operators.metrics import SERIES, scalar_series
 from ..operators.models import precomputed
 from ..operators.reward import batch_means, blended, half_up
+from ..operators.segmentation import by_dictionary
 from ..operators.similarity import paired_similarity
-from ..sources.files import vocabulary_of
+from ..operators.tables import new_folder, written_once
+from ..sources.files import LINE_ORDER, read_corpus, read_dictionary, vocabulary_of
 from .config import Settings
-from .scoring import polled_judge, scored_responses, step_statistics, stored_pair_scores
+from .run import run
+from .scoring import polled_filter, polled_judge, scored_responses, step_statistics, stored_pair_scores
 
 BATCH, SALT, SETTINGS = 4, "epoch-1", Settings()
 #: Words that `membership` asks for.
@@ -183,11 +187,11 @@ def score_parse(spark, sf_dir):
 SCORE_PARSE = f"SELECT event_id, round({SQL_SCORE.format(SQL_REPLY)}, 6) AS score FROM events"
 
 
-def _attempts(spark, sf_dir) -> DataFrame:
-    """Events as attempts of a task for each user; few events end a task."""
+def _attempts(spark, sf_dir, content: Column | None = None) -> DataFrame:
+    """Events as attempts of a task for each user; few events end a task. content: what comes back, a judge's reply by default."""
     ended = F.when((F.col("event_type") == "purchase") & (F.col("value") > 150), "SUCCESS").when((F.col("event_type") == "error") & (F.col("value") > 220), "FAILED").when((F.col("event_type") == "signup") & (F.col("value") > 250), "ERROR")
     order = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return _read(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), F.floor(F.col("user_id") / 4).alias("batch_id"), order.cast("long").alias("attempt"), F.coalesce(ended, F.lit("PROCESSING")).alias("status"), F.when(F.pmod("event_id", F.lit(3)) == 0, F.lit(" ")).otherwise(_reply()).alias("content"))
+    return _read(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), F.floor(F.col("user_id") / 4).alias("batch_id"), order.cast("long").alias("attempt"), F.coalesce(ended, F.lit("PROCESSING")).alias("status"), F.when(F.pmod("event_id", F.lit(3)) == 0, F.lit(" ")).otherwise(_reply() if content is None else content).alias("content"))
 
 
 SQL_ATTEMPTS = f"""
@@ -252,7 +256,16 @@ REWARD_BLEND = f"{SQL_BLEND} SELECT doc_id, round(coverage, 3) AS wb, round(expr
 
 
 def reward_blend_exact(spark, sf_dir):
-    return _blend(spark, sf_dir).select("doc_id", _six("coverage").alias("coverage"), "expression", "reward")
+    """The reward by exact rounding, and what it rounds: coverage, expression, and sixteenths, half of which lie on ties."""
+    rows = _blend(spark, sf_dir).withColumn("tie", F.pmod("doc_id", F.lit(64)) / 16.0)
+    return rows.select("doc_id", exact_round3(F.col("coverage")).alias("wb"), exact_round3(F.col("expression")).alias("expr"), exact_round3(F.col("tie")).alias("tie"), "reward")
+
+
+SQL_EXACT = {c: exact_round3_sql(c) for c in ("coverage", "expression", "(doc_id % 64) / 16.0::DOUBLE")}
+REWARD_BLEND_EXACT = f"""
+{SQL_BLEND}, e AS (SELECT doc_id, {SQL_EXACT['coverage']} AS wb, {SQL_EXACT['expression']} AS expr, {SQL_EXACT['(doc_id % 64) / 16.0::DOUBLE']} AS tie FROM blend)
+SELECT doc_id, wb, expr, tie, round(wb * 0.6::DOUBLE + expr * 0.4::DOUBLE, 3) AS reward FROM e
+"""
 
 
 def batch_mean(spark, sf_dir):
@@ -391,15 +404,23 @@ FROM benchmark CROSS JOIN (VALUES {', '.join(f"('{m}')" for m in MODELS)}) m(mod
 """
 
 
+def _response(id_col: str = "doc_id") -> Column:
+    return F.concat(F.lit(f"1. {REWRITE_LABEL}："), F.col(id_col).cast("string"), F.lit(f"\n2. {WORDS_LABEL}："), text("text"))
+
+
+def _recorded_judge(spark, sf_dir, key: str):
+    """A stub that reads labels, 0.01 where there is none."""
+    judged = _read(spark, sf_dir, "labels").select(F.col("doc_id").alias(key), F.col("quality").cast("double").alias("expression"))
+    return lambda df: precomputed(judged, [key], "expression")(df).withColumn("expression", F.coalesce("expression", F.lit(0.01)))
+
+
 def scoring_loop(spark, sf_dir):
-    """The whole loop on recorded responses: parse, cover, judge (a stub that reads labels), blend, batch, unpivot."""
+    """The whole loop on recorded responses: parse, cover, judge (a stub that reads labels), blend, batch, unpivot. What is dealt into batches is ids: no text is shuffled."""
     docs = _read(spark, sf_dir, "documents")
-    rows = B.fixed_batches(docs, F.concat(F.col("doc_id").cast("string"), F.lit(SALT)), BATCH)
-    made = F.concat(F.lit(f"1. {REWRITE_LABEL}："), F.col("doc_id").cast("string"), F.lit(f"\n2. {WORDS_LABEL}："), text("text"))
-    judged = _read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("expression"))
-    judge = lambda df: precomputed(judged, ["id"], "expression")(df).withColumn("expression", F.coalesce("expression", F.lit(0.01)))
-    scored = scored_responses(rows.select("batch_id", F.col("doc_id").alias("id"), made.alias("response")), _vocabulary(spark, sf_dir), judge, rounded=half_up)
-    return scalar_series(step_statistics(scored)).withColumn("value", _six("value"))
+    batches = B.fixed_batches(docs.select("doc_id"), F.concat(F.col("doc_id").cast("string"), F.lit(SALT)), BATCH).select(F.col("doc_id").alias("id"), "batch_id")
+    scored = scored_responses(docs.select(F.col("doc_id").alias("id"), _response().alias("response")), _vocabulary(spark, sf_dir), _recorded_judge(spark, sf_dir, "id"), rounded=half_up, key="id")
+    rows = scored.select("id", "coverage", "expression", "reward").join(batches, "id")
+    return scalar_series(step_statistics(rows)).withColumn("value", _six("value"))
 
 
 SCORING_LOOP = f"""
@@ -413,13 +434,13 @@ m AS (SELECT batch_id + 1 AS step, avg(coverage) AS w, avg(expression) AS e, avg
 SELECT step, tag, round(CASE tag WHEN 'Reward/Average' THEN r WHEN 'Reward/Wordbank' THEN w WHEN 'Reward/Expression' THEN e ELSE 0.0 END, 6) AS value FROM m CROSS JOIN (VALUES {', '.join(f"('{t}')" for t in SERIES)}) t(tag)
 """
 
+
 def judge_loop(spark, sf_dir):
-    """Responses judged by a service: parse, cover, prompts, polled attempts (events stand in for the service), blend."""
-    made = F.concat(F.lit(f"1. {REWRITE_LABEL}："), F.col("doc_id").cast("string"), F.lit(f"\n2. {WORDS_LABEL}："), text("text"))
-    responses = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", made.alias("response"))
+    """Responses judged by a service for their likeness to the text: parse, cover, prompts, polled attempts (events stand in for the service), blend."""
+    responses = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", _response().alias("response"))
     recorded = _attempts(spark, sf_dir).withColumnRenamed("task_id", "id")
-    judge = polled_judge(lambda prompts: recorded.join(prompts.select("id"), "id", "left_semi"), INSTRUCTIONS["similarity"], "text")
-    scored = scored_responses(responses, _vocabulary(spark, sf_dir), judge, rounded=half_up)
+    judge = polled_judge(lambda prompts: recorded.join(prompts.select("id"), "id", "left_semi"), INSTRUCTIONS["similarity"], "text", "rewrite", key="id")
+    scored = scored_responses(responses, _vocabulary(spark, sf_dir), judge, rounded=half_up, key="id")
     return scored.select("id", F.round("coverage", 3).alias("wb"), _six("expression").alias("expr"), "reward")
 
 
@@ -439,6 +460,159 @@ SELECT id, round(w, 3) AS wb, round(e, 6) AS expr, round(round(w, 3) * 0.6::DOUB
 """
 
 
+def _kept_words() -> Column:
+    return F.concat(F.lit("The of und, x"), F.pmod("event_id", F.lit(7)).cast("string"), F.lit(" est "))
+
+
+#: Users whose events stand in for the service: a document asks the one of its number, modulo this.
+ASKED_USERS = 100
+
+
+def reward_loop(spark, sf_dir):
+    """The training loop's own scoring: the judge filters each response's words, what it leaves is covered, it scores the rewrite's expression, and the
+    exactly rounded scores are blended. Events stand in for the service, of one user for the filter and of the next for the scores."""
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), _response().alias("response"))
+    batches = B.fixed_batches(docs.select("id"), F.concat(F.col("id").cast("string"), F.lit(SALT)), BATCH).select("id", "batch_id")
+
+    def service(recorded: DataFrame, shift: int):
+        one = lambda prompts: F.pmod(F.col("id") + shift, F.lit(ASKED_USERS)).alias("user")
+        return lambda prompts: prompts.select("id", "batch_id", one(prompts)).join(recorded.drop("batch_id").withColumnRenamed("task_id", "user"), "user")
+
+    keep = polled_filter(service(_attempts(spark, sf_dir, _kept_words()), 0), INSTRUCTIONS["vocabulary"], key="id")
+    judge = polled_judge(service(_attempts(spark, sf_dir), 1), INSTRUCTIONS["expression"], "rewrite", key="id")
+    scored = scored_responses(docs.join(batches, "id"), _vocabulary(spark, sf_dir), judge, keep, key="id")
+    return scored.select("id", "batch_id", F.md5("words").alias("words_md5"), _six("coverage").alias("coverage"), _six("expression").alias("expression"), "reward")
+
+
+REWARD_LOOP = f"""
+WITH {SQL_ATTEMPTS}, {SQL_VOCABULARY},
+o AS (SELECT doc_id AS id, (row_number() OVER (ORDER BY md5(doc_id || '{SALT}')) - 1) // {BATCH} AS batch_id FROM documents),
+k AS (SELECT * FROM o WHERE batch_id < (SELECT count(*) FROM documents) // {BATCH}),
+said AS (
+  SELECT user_id AS task_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt,
+    CASE WHEN event_type = 'purchase' AND value > 150 THEN 'SUCCESS' WHEN event_type = 'error' AND value > 220 THEN 'FAILED' WHEN event_type = 'signup' AND value > 250 THEN 'ERROR' ELSE 'PROCESSING' END AS status,
+    CASE WHEN event_id % 3 = 0 THEN ' ' ELSE 'The of und, x' || event_id % 7 || ' est ' END AS content
+  FROM events
+),
+told AS (
+  SELECT k.id, k.batch_id, attempt, status, CASE status WHEN 'SUCCESS' THEN {SQL_STRIP.format('content')} WHEN 'FAILED' THEN 'Error processing ' || k.id WHEN 'ERROR' THEN 'API Error: ' || content ELSE '' END AS told
+  FROM k JOIN said ON said.task_id = k.id % {ASKED_USERS} WHERE attempt <= 40
+),
+first AS (SELECT batch_id, id, min(attempt) AS at, arg_min(told, attempt) AS told FROM told WHERE told <> '' GROUP BY ALL),
+waiting AS (SELECT DISTINCT p.batch_id, p.attempt FROM told p LEFT JOIN first f USING (batch_id, id) WHERE p.status = 'PROCESSING' AND (f.at IS NULL OR p.attempt < f.at)),
+run AS (SELECT batch_id, max(attempt) + 1 AS last FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY attempt) AS n FROM waiting) WHERE attempt = n GROUP BY batch_id),
+w AS (SELECT k.id, k.batch_id, CASE WHEN f.at <= coalesce(r.last, 1) THEN f.told ELSE '' END AS words FROM k LEFT JOIN first f USING (batch_id, id) LEFT JOIN run r USING (batch_id)),
+toks AS (SELECT id, {sql_tokens('words')} AS ts FROM w),
+hits AS (SELECT id, count(*) AS n FROM (SELECT id, unnest(ts) AS word FROM toks) JOIN vocabulary USING (word) GROUP BY id),
+ended AS (SELECT task_id, arg_min(status, attempt) AS status, arg_min(content, attempt) AS content FROM polls WHERE status <> 'PROCESSING' GROUP BY task_id),
+c AS (
+  SELECT w.id, w.batch_id, md5(w.words) AS words_md5, CASE WHEN len(ts) > 0 THEN coalesce(n, 0)::DOUBLE / len(ts) ELSE 0.0 END AS coverage,
+    CASE WHEN e.status IS NULL THEN 0.01::DOUBLE WHEN e.status = 'SUCCESS' THEN {SQL_SCORE.format('e.content')} ELSE 0.0::DOUBLE END AS expression
+  FROM w JOIN toks USING (id) LEFT JOIN hits USING (id) LEFT JOIN ended e ON e.task_id = (w.id + 1) % {ASKED_USERS}
+),
+d AS (SELECT *, {exact_round3_sql('coverage')} AS wb, {exact_round3_sql('expression')} AS expr FROM c)
+SELECT id, batch_id, words_md5, round(coverage, 6) AS coverage, round(expression, 6) AS expression, round(wb * 0.6::DOUBLE + expr * 0.4::DOUBLE, 3) AS reward FROM d
+"""
+
+
+def epoch_batches(spark, sf_dir):
+    ids = _read(spark, sf_dir, "conversations").select("conv_id", "turn")
+    return B.epoch_batches(ids, F.concat_ws("-", "conv_id", "turn"), BATCH, SETTINGS.epochs).select("conv_id", "turn", "epoch", "batch_id", "pos", "step")
+
+
+EPOCH_BATCHES = f"""
+WITH e AS (SELECT conv_id, turn, epoch, row_number() OVER (PARTITION BY epoch ORDER BY md5(conv_id || '-' || turn || 'epoch-' || epoch)) - 1 AS idx FROM conversations, range({SETTINGS.epochs}) r(epoch)),
+n AS (SELECT count(*) // {BATCH} AS whole FROM conversations)
+SELECT conv_id, turn, epoch::INTEGER AS epoch, idx // {BATCH} AS batch_id, idx % {BATCH} AS pos, epoch * whole + idx // {BATCH} + 1 AS step FROM e, n WHERE idx // {BATCH} < whole
+"""
+
+#: Batches of 40, whose mean rewards have six digits at most.
+RUN = Settings(batch_size=40, epochs=2)
+
+
+def resumable_run(spark, sf_dir):
+    """The series that a run over two epochs leaves: batches dealt anew in each, chunks of `save_every` steps committed one by one."""
+    docs, folder = _read(spark, sf_dir, "documents").select("doc_id", "text"), new_folder(spark, "run")
+    run(docs, "doc_id", lambda df: df.withColumn("response", _response()), _vocabulary(spark, sf_dir), _recorded_judge(spark, sf_dir, "doc_id"), folder, RUN)
+    return spark.read.parquet(f"{folder}/series").select("step", "tag", _six("value").alias("value"))
+
+
+RESUMABLE_RUN = f"""
+WITH {SQL_VOCABULARY},
+e AS (SELECT doc_id, epoch, CASE WHEN {SQL_STRIP.format("coalesce(text, '')")} = '' THEN '2. {WORDS_LABEL}：' ELSE text END AS text, row_number() OVER (PARTITION BY epoch ORDER BY md5(doc_id || 'epoch-' || epoch)) - 1 AS idx FROM documents, range({RUN.epochs}) r(epoch)),
+n AS (SELECT count(*) // {RUN.batch_size} AS whole FROM documents),
+toks AS (SELECT doc_id, epoch, epoch * whole + idx // {RUN.batch_size} + 1 AS step, {sql_tokens('text')} AS ts FROM e, n WHERE idx // {RUN.batch_size} < whole),
+hits AS (SELECT doc_id, epoch, count(*) AS n FROM (SELECT doc_id, epoch, unnest(ts) AS word FROM toks) JOIN vocabulary USING (word) GROUP BY ALL),
+c AS (SELECT step, CASE WHEN len(ts) > 0 THEN coalesce(n, 0)::DOUBLE / len(ts) ELSE 0.0 END AS coverage, coalesce(quality::DOUBLE, 0.01) AS expression FROM toks LEFT JOIN hits USING (doc_id, epoch) LEFT JOIN labels USING (doc_id)),
+d AS (SELECT *, {exact_round3_sql('coverage')} AS wb, {exact_round3_sql('expression')} AS expr FROM c),
+m AS (SELECT step, avg(coverage) AS w, avg(expression) AS e, avg(round(wb * 0.6::DOUBLE + expr * 0.4::DOUBLE, 3)) AS r FROM d GROUP BY step)
+SELECT step, tag, round(CASE tag WHEN 'Reward/Average' THEN r WHEN 'Reward/Wordbank' THEN w WHEN 'Reward/Expression' THEN e ELSE 0.0 END, 6) AS value FROM m CROSS JOIN (VALUES {', '.join(f"('{t}')" for t in SERIES)}) t(tag)
+"""
+
+
+def segmented_coverage(spark, sf_dir):
+    """Turns without blanks and punctuation, cut into words by a dictionary of the benchmark's words and their counts; the share of their words that it has."""
+    rows = _read(spark, sf_dir, "benchmark").select(F.explode(words(text("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("weight"))
+    dictionary = written_once(rows, "dictionary")
+    turns = V.spread(_read(spark, sf_dir, "conversations").select("conv_id", "turn", unsegmented(text("text")).alias("text")))
+    cut = written_once(by_dictionary(dictionary)(turns).withColumn("key", F.concat_ws("-", "conv_id", "turn")), "segmented")
+    found = V.coverage(cut, dictionary, "key", "segmented")
+    return cut.join(found, "key").select("conv_id", "turn", F.md5("segmented").alias("words_md5"), "n_tokens", "n_matched", _six("coverage").alias("coverage"))
+
+
+# The cheapest path as a recursion over places: of each turn the costs and last words of all places so far. cost and length are one number, so that
+# the least one is the cheapest with the longest last word.
+SEGMENTED_COVERAGE = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT word, count(*) AS weight FROM (SELECT unnest({sql_words('text')}) AS word FROM benchmark) GROUP BY word),
+k AS MATERIALIZED (SELECT word, floor(1000.0::DOUBLE * ln((SELECT sum(weight) FROM d)::DOUBLE / weight))::BIGINT AS cost, length(word) AS n FROM d),
+lone AS MATERIALIZED (SELECT floor(1000.0::DOUBLE * ln(sum(weight)::DOUBLE))::BIGINT AS cost FROM d),
+t AS MATERIALIZED (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '{punctuation_class()}|\\s', '', 'g') AS s FROM conversations),
+p AS (SELECT conv_id, turn, s, unnest(range(1, length(s) + 1)) AS i FROM t),
+e AS MATERIALIZED (SELECT conv_id, turn, i, list((k.n, k.cost)) AS edges FROM p, (SELECT DISTINCT n FROM k) l JOIN k ON k.n = l.n AND k.word = substr(p.s, p.i - l.n + 1, l.n) WHERE l.n <= p.i GROUP BY ALL),
+lattice AS MATERIALIZED (SELECT p.conv_id, p.turn, p.i, coalesce(e.edges, []) AS edges FROM p LEFT JOIN e USING (conv_id, turn, i)),
+r AS (
+  SELECT conv_id, turn, 0::BIGINT AS i, [0::BIGINT] AS best, [0::BIGINT] AS last FROM t
+  UNION ALL
+  SELECT conv_id, turn, i, list_append(best, v // 1024), list_append(last, 1023 - v % 1024) FROM (
+    SELECT r.conv_id, r.turn, l.i, r.best, r.last, list_min(list_append(list_transform(l.edges, lambda x: (r.best[l.i - x[1] + 1] + x[2]) * 1024 + 1023 - x[1]), (r.best[l.i] + (SELECT cost FROM lone)) * 1024 + 1022)) AS v
+    FROM r JOIN lattice l ON l.conv_id = r.conv_id AND l.turn = r.turn AND l.i = r.i + 1
+  )
+),
+b AS (
+  SELECT r.conv_id, r.turn, r.i AS place, r.last, t.s, []::VARCHAR[] AS ws FROM r JOIN t USING (conv_id, turn) WHERE r.i = length(t.s)
+  UNION ALL
+  SELECT conv_id, turn, place - last[place + 1], last, s, list_prepend(substr(s, place - last[place + 1] + 1, last[place + 1]), ws) FROM b WHERE place > 0
+),
+w AS (SELECT conv_id, turn, ws, list_distinct(ws) AS ts FROM b WHERE place = 0),
+h AS (SELECT conv_id, turn, count(*) AS n FROM (SELECT conv_id, turn, unnest(ts) AS word FROM w) JOIN d USING (word) GROUP BY ALL)
+SELECT conv_id, turn, md5(array_to_string(ws, ' ')) AS words_md5, len(ts)::BIGINT AS n_tokens, coalesce(n, 0)::BIGINT AS n_matched,
+  round(CASE WHEN len(ts) > 0 THEN coalesce(n, 0)::DOUBLE / len(ts) ELSE 0.0 END, 6) AS coverage
+FROM w LEFT JOIN h USING (conv_id, turn)
+"""
+
+
+def dictionary_files(spark, sf_dir):
+    """The benchmark's words as dictionary lines in files, read back in blocks: the last line of a word counts."""
+    rows = _read(spark, sf_dir, "benchmark").select("item_id", F.posexplode(words(text("text"))).alias("pos", "word"))
+    lines = rows.withColumn("meaning", F.array(F.concat(F.lit("～ of item "), F.col("item_id").cast("string")), F.concat(F.lit("place "), F.col("pos").cast("string"))))
+    path = new_folder(spark, "dictionary-lines")
+    lines.repartitionByRange("item_id", "pos").sortWithinPartitions("item_id", "pos").select("word", "meaning").write.json(path)  # files are named in this order
+    return vocabulary_of(read_dictionary(spark, path), *LINE_ORDER).select("word", F.array_join("meaning", "; ").alias("meaning"))
+
+
+def corpus_files(spark, sf_dir):
+    """Turns as JSON arrays in files, of about a thousand turns each, read back by element."""
+    rows = _read(spark, sf_dir, "conversations").select(F.to_json(F.struct(text("text").alias("original_sentence"), "role")).alias("json"), F.xxhash64("conv_id", "turn").alias("h"))
+    files = max(1, rows.count() // 1000)
+    arrays = rows.groupBy(F.pmod("h", F.lit(files)).alias("file")).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("json"), ",\n "), F.lit("]")).alias("value"))
+    path = new_folder(spark, "corpus-arrays")
+    arrays.repartition(files, "file").select("value").write.option("lineSep", "\n\n").text(path)
+    return read_corpus(spark, path).groupBy(F.md5("original_sentence").alias("sentence_md5")).agg(F.count("*").alias("n"))
+
+
+CORPUS_FILES = "SELECT md5(coalesce(text, '')) AS sentence_md5, count(*) AS n FROM conversations GROUP BY 1"
+
+
 def _slot(conv: Column, turn: Column) -> list[Column]:
     return [F.concat(conv.cast("string"), F.lit("-"), F.floor(turn / BATCH).cast("string")).alias("batch_id"), F.pmod(turn, F.lit(BATCH)).cast("int").alias("pos")]
 
@@ -479,7 +653,7 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "poll_text": (poll_text, POLL_TEXT),
     "poll_rounds": (poll_rounds, POLL_ROUNDS),
     "reward_blend": (reward_blend, REWARD_BLEND),
-    "reward_blend_exact": (reward_blend_exact, None),
+    "reward_blend_exact": (reward_blend_exact, REWARD_BLEND_EXACT),
     "batch_means": (batch_mean, BATCH_MEANS),
     "fixed_batches": (fixed_batches, FIXED_BATCHES),
     "collate": (collate, COLLATE),
@@ -494,6 +668,12 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "scoring_loop": (scoring_loop, SCORING_LOOP),
     "judge_loop": (judge_loop, JUDGE_LOOP),
     "stored_pairs": (stored_pairs, STORED_PAIRS),
+    "reward_loop": (reward_loop, REWARD_LOOP),
+    "resumable_run": (resumable_run, RESUMABLE_RUN),
+    "epoch_batches": (epoch_batches, EPOCH_BATCHES),
+    "segmented_coverage": (segmented_coverage, SEGMENTED_COVERAGE),
+    "dictionary_files": (dictionary_files, VOCAB_BUILD),
+    "corpus_files": (corpus_files, CORPUS_FILES),
 }
 
 

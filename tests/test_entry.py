@@ -37,12 +37,35 @@ def test_own_queries_like_sql(spark):
         assert sorted(key(r.asDict()) for r in df.collect()) == sorted(map(key, want)), name
 
 
+def without_llm(to):
+    """A copy of the repository without the folders of llm; corpus_pipeline.py stays."""
+    for p in ("brooktext", "tests", "__spark_entry__.py", "corpus_pipeline.py"):
+        if (ROOT / p).exists():
+            (shutil.copytree if (ROOT / p).is_dir() else shutil.copy)(ROOT / p, to / p)
+    shutil.rmtree(to / "brooktext/llm", ignore_errors=True)
+    shutil.rmtree(to / "tests/llm", ignore_errors=True)
+
+
+def ran(at, *command):
+    return subprocess.run([sys.executable, *command], cwd=at, check=True, env=os.environ | {"PYTHONPATH": str(at)}, capture_output=True, text=True)
+
+
+LEFT = "import __spark_entry__ as e; assert 'vocab_coverage' in e.queries() and not any(k.startswith('op') or k == 'pipeline' for k in e.queries())"
+
+
 def test_it_stands_without_llm(tmp_path):
-    for p in ("brooktext", "__spark_entry__.py"):
-        (shutil.copytree if (ROOT / p).is_dir() else shutil.copy)(ROOT / p, tmp_path / p)
-    shutil.rmtree(tmp_path / "brooktext/llm", ignore_errors=True)
-    code = "import __spark_entry__ as e; assert 'vocab_coverage' in e.queries() and not any(k.startswith('op') or k == 'pipeline' for k in e.queries())"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+    without_llm(tmp_path)
+    ran(tmp_path, "-c", LEFT)
+    ran(tmp_path, "-m", "pytest", "-q", "tests/test_functions.py", "tests/test_entry.py", "-k", "not without")
+
+
+def test_it_stands_without_a_library_of_llm(tmp_path):
+    without_llm(tmp_path)
+    if not (ROOT / "brooktext/llm").exists():
+        pytest.skip("llm has been removed")
+    shutil.copytree(ROOT / "brooktext/llm", tmp_path / "brooktext/llm")
+    (tmp_path / "public_tokenizers.py").write_text("raise ImportError('not installed')\n")
+    assert "left out" in ran(tmp_path, "-c", LEFT).stderr
 
 
 def test_nothing_else_imports_llm():
