@@ -25,7 +25,8 @@ def bounded(vocabulary: DataFrame, limit: int = BROADCAST_WORDS) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt over the cores if it is read from fewer files than there are, which are too small to be split over them; else as it is."""
+    """df dealt over the cores if it is read from fewer files than there are, which are too small to be split over them; else as it is. For tables as they are
+    read, before anything is computed from their texts."""
     spark, files = df.sparkSession, df.inputFiles()
     cores = spark.sparkContext.defaultParallelism
     if not 0 < len(files) < cores:
@@ -45,7 +46,7 @@ def text_hash(text_col: str) -> Column:
 
 def token_rows(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """id, text_hash, n_tokens and word, a row for each distinct word of each text; a null word for a text without any."""
-    rows = spread(df.select(id_col, text_col)).select(id_col, text_hash(text_col).alias("text_hash"), tokens(text(text_col)).alias("tokens"))
+    rows = df.select(id_col, text_hash(text_col).alias("text_hash"), tokens(text(text_col)).alias("tokens"))
     return rows.select(id_col, "text_hash", F.size("tokens").cast("long").alias("n_tokens"), F.explode_outer("tokens").alias("word"))
 
 

@@ -41,6 +41,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of documents, dealt over the cores."""
+    return V.spread(_read(spark, sf_dir, "documents").select(*columns))
+
+
 def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.words_of(_read(spark, sf_dir, "benchmark"))
 
@@ -85,7 +90,7 @@ SELECT word, arg_max(replace('～ of item ' || item_id, '～', word) || '; place
 
 
 def token_extract(spark, sf_dir):
-    found = V.spread(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.array_sort(tokens(text("text"))).alias("ts"))
+    found = _texts(spark, sf_dir, "doc_id", "text").select("doc_id", F.array_sort(tokens(text("text"))).alias("ts"))
     return found.select("doc_id", F.size("ts").cast("long").alias("n_tokens"), F.md5(F.array_join("ts", " ")).alias("tokens_md5"))
 
 
@@ -95,14 +100,14 @@ TOKEN_EXTRACT = f"SELECT doc_id, len(ts)::BIGINT AS n_tokens, md5(array_to_strin
 def token_cap(spark, sf_dir):
     """The first tokens of each text, up to the cap of a prompt."""
     parts = F.filter(split_white(text("text")), lambda w: w != "")
-    return V.spread(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.slice(parts, 1, SETTINGS.prompt_tokens).alias("ts")).select("doc_id", F.size("ts").cast("long").alias("n_kept"), F.md5(F.array_join("ts", " ")).alias("kept_md5"))
+    return _texts(spark, sf_dir, "doc_id", "text").select("doc_id", F.slice(parts, 1, SETTINGS.prompt_tokens).alias("ts")).select("doc_id", F.size("ts").cast("long").alias("n_kept"), F.md5(F.array_join("ts", " ")).alias("kept_md5"))
 
 
 TOKEN_CAP = f"SELECT doc_id, len(ts)::BIGINT AS n_kept, md5(array_to_string(ts, ' ')) AS kept_md5 FROM (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda w: w <> '')[1:{SETTINGS.prompt_tokens}] AS ts FROM documents)"
 
 
 def vocab_coverage(spark, sf_dir):
-    out = V.coverage(_read(spark, sf_dir, "documents"), _vocabulary(spark, sf_dir))
+    out = V.coverage(_texts(spark, sf_dir, "doc_id", "text"), _vocabulary(spark, sf_dir))
     return out.withColumn("coverage", _six("coverage"))
 
 
@@ -110,7 +115,7 @@ VOCAB_COVERAGE = f"WITH {SQL_VOCABULARY}, {SQL_COVERAGE} SELECT doc_id, n_tokens
 
 
 def match_words(spark, sf_dir):
-    out = V.matched_words(_read(spark, sf_dir, "documents"), _vocabulary(spark, sf_dir))
+    out = V.matched_words(_texts(spark, sf_dir, "doc_id", "text"), _vocabulary(spark, sf_dir))
     return out.select("doc_id", F.array_join("words", " ").alias("words"))
 
 
@@ -241,7 +246,7 @@ POLL_ROUNDS = f"WITH {SQL_ATTEMPTS} SELECT batch_id, attempt, bool_and(status <>
 
 def _blend(spark, sf_dir, **how) -> DataFrame:
     judged = _read(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("expression"))
-    rows = V.coverage(_read(spark, sf_dir, "documents"), _vocabulary(spark, sf_dir)).select("doc_id", "coverage").join(judged, "doc_id")
+    rows = V.coverage(_texts(spark, sf_dir, "doc_id", "text"), _vocabulary(spark, sf_dir)).select("doc_id", "coverage").join(judged, "doc_id")
     return rows.withColumn("reward", blended(F.col("coverage"), F.col("expression"), **how))
 
 
@@ -416,8 +421,8 @@ def _recorded_judge(spark, sf_dir, key: str):
 
 def scoring_loop(spark, sf_dir):
     """The whole loop on recorded responses: parse, cover, judge (a stub that reads labels), blend, batch, unpivot. What is dealt into batches is ids: no text is shuffled."""
-    docs = _read(spark, sf_dir, "documents")
-    batches = B.fixed_batches(docs.select("doc_id"), F.concat(F.col("doc_id").cast("string"), F.lit(SALT)), BATCH).select(F.col("doc_id").alias("id"), "batch_id")
+    docs = _texts(spark, sf_dir, "doc_id", "text")
+    batches = B.fixed_batches(_read(spark, sf_dir, "documents").select("doc_id"), F.concat(F.col("doc_id").cast("string"), F.lit(SALT)), BATCH).select(F.col("doc_id").alias("id"), "batch_id")
     scored = scored_responses(docs.select(F.col("doc_id").alias("id"), _response().alias("response")), _vocabulary(spark, sf_dir), _recorded_judge(spark, sf_dir, "id"), rounded=half_up, key="id")
     rows = scored.select("id", "coverage", "expression", "reward").join(batches, "id")
     return scalar_series(step_statistics(rows)).withColumn("value", _six("value"))
@@ -437,7 +442,7 @@ SELECT step, tag, round(CASE tag WHEN 'Reward/Average' THEN r WHEN 'Reward/Wordb
 
 def judge_loop(spark, sf_dir):
     """Responses judged by a service for their likeness to the text: parse, cover, prompts, polled attempts (events stand in for the service), blend."""
-    responses = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", _response().alias("response"))
+    responses = _texts(spark, sf_dir, "doc_id", "text").select(F.col("doc_id").alias("id"), "text", _response().alias("response"))
     recorded = _attempts(spark, sf_dir).withColumnRenamed("task_id", "id")
     judge = polled_judge(lambda prompts: recorded.join(prompts.select("id"), "id", "left_semi"), INSTRUCTIONS["similarity"], "text", "rewrite", key="id")
     scored = scored_responses(responses, _vocabulary(spark, sf_dir), judge, rounded=half_up, key="id")
@@ -471,8 +476,8 @@ ASKED_USERS = 100
 def reward_loop(spark, sf_dir):
     """The training loop's own scoring: the judge filters each response's words, what it leaves is covered, it scores the rewrite's expression, and the
     exactly rounded scores are blended. Events stand in for the service, of one user for the filter and of the next for the scores."""
-    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), _response().alias("response"))
-    batches = B.fixed_batches(docs.select("id"), F.concat(F.col("id").cast("string"), F.lit(SALT)), BATCH).select("id", "batch_id")
+    docs = _texts(spark, sf_dir, "doc_id", "text").select(F.col("doc_id").alias("id"), _response().alias("response"))
+    batches = B.fixed_batches(_read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), F.concat(F.col("id").cast("string"), F.lit(SALT)), BATCH).select("id", "batch_id")
 
     def service(recorded: DataFrame, shift: int):
         one = lambda prompts: F.pmod(F.col("id") + shift, F.lit(ASKED_USERS)).alias("user")
@@ -532,7 +537,7 @@ RUN = Settings(batch_size=40, epochs=2)
 
 def resumable_run(spark, sf_dir):
     """The series that a run over two epochs leaves: batches dealt anew in each, chunks of `save_every` steps committed one by one."""
-    docs, folder = _read(spark, sf_dir, "documents").select("doc_id", "text"), new_folder(spark, "run")
+    docs, folder = _texts(spark, sf_dir, "doc_id", "text"), new_folder(spark, "run")
     run(docs, "doc_id", lambda df: df.withColumn("response", _response()), _vocabulary(spark, sf_dir), _recorded_judge(spark, sf_dir, "doc_id"), folder, RUN)
     return spark.read.parquet(f"{folder}/series").select("step", "tag", _six("value").alias("value"))
 
