@@ -2,14 +2,16 @@
 
 Kinds: email, ip (both versions), card, phone, ssn, iban, and persons' names: after a title, after a known given name
 (`GIVEN`, a short list), after words that introduce a name (`INTRODUCED`), and wherever a surname found so stands again
-in the same text. An entity's canonical form (lower-cased address, bare digits, a name's single parts) is the same for all
-its spellings, so that every mention anywhere gets the same replacement (coreference), written as the mention is: its
-separators, its case, its title.
+in the same text. A name may have inner capitals, apostrophes and particles (which stay), or be all capitals or Han characters; one in small letters, or of
+given names that aren't listed and without a title, isn't found. An entity's canonical form (lower-cased address, bare digits, a name's single parts) is the
+same for all its spellings, so that every mention anywhere gets the same replacement (coreference), written as the mention is: its
+separators, its case, its title. A name is one entity of its script, whatever titles its mentions have and whether it is a given name here and
+a surname there: it counts as a given name if any mention does, and its gender is what the mentions that show one agree on.
 A surrogate is drawn by HMAC-SHA-256 under `key` from kind, canonical form and attempt, and matches the entity: gender and
 script of given names, script of surnames, letters and digits in place, a number's issuer and length, whether its check
 digits hold, private addresses' ranges. Whoever has the key can draw them again, so none is built in: callers give one.
 
-Distinctness: over all entities of the input, a surrogate that another entity of its kind draws too, that was given
+Distinctness: over all entities of the input, a surrogate that another entity of its kind (of names: another name of its script) draws too, that was given
 before or that is itself an entity of the input is drawn anew, with the next attempt, until none collides. This is done on a table of
 the distinct entities by joins; it is never gathered. So that this ends even where a format has fewer members than
 entities, the format widens with the attempts: names come from lists for `LISTED_ATTEMPTS` and are then made up of more and more
@@ -34,7 +36,7 @@ from functools import lru_cache, reduce
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,8 +52,8 @@ TITLES = {
     "n": "Dr Prof Professor Doktor Docteur Доктор Δρ",
 }
 GIVEN = {
-    ("m", "latin"): "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Steven Paul Andrew Peter Hans Jürgen Klaus Stefan Wolfgang Günter Pierre Michel Philippe Laurent François Nicolas José Antonio Manuel Francisco Javier Carlos Miguel Pedro",
-    ("f", "latin"): "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Ashley Emily Helga Ursula Ingrid Sabine Monika Renate Petra Marie Nathalie Isabelle Sylvie Catherine Françoise Camille Carmen Josefa Dolores Cristina Lucía Pilar Teresa",
+    ("m", "latin"): "Oliver Henry Jack George Edward Benjamin Samuel Alexander Lucas Noah Liam Ethan Mark Brian Kevin Jason Bob Frank Walter Werner Heinz Dieter Jean Jacques Luis Diego Pablo James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Steven Paul Andrew Peter Hans Jürgen Klaus Stefan Wolfgang Günter Pierre Michel Philippe Laurent François Nicolas José Antonio Manuel Francisco Javier Carlos Miguel Pedro",
+    ("f", "latin"): "Emma Olivia Sophia Charlotte Amelia Grace Alice Laura Julia Anna Hannah Rachel Rebecca Emily Claire Sophie Julie Elena Ana Rosa Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Ashley Helga Ursula Ingrid Sabine Monika Renate Petra Marie Nathalie Isabelle Sylvie Catherine Françoise Camille Carmen Josefa Dolores Cristina Lucía Pilar Teresa",
     ("m", "cyrillic"): "Иван Александр Сергей Дмитрий Андрей Алексей Михаил Николай Владимир Павел",
     ("f", "cyrillic"): "Анна Мария Елена Ольга Наталья Татьяна Ирина Светлана Екатерина Юлия",
 }
@@ -61,12 +63,15 @@ SURNAMES = {
 }
 #: Words after which a name stands.
 INTRODUCED = "my name is|My name is|mein Name ist|Mein Name ist|ich heiße|Ich heiße|je m'appelle|Je m'appelle|me llamo|Me llamo|mi nombre es|Mi nombre es|меня зовут|Меня зовут"
+#: Particles before a surname, which stay as they are.
+PARTICLES = "van der|van den|van de|van|von der|von|zu|de la|de los|de las|de|del|della|di|da|dos|du|le|la|ter|ten|bin|al"
 #: Consonants and vowels of which syllables are made.
-SOUNDS = {"latin": ("bdfgklmnprstv", "aeo"), "cyrillic": ("бдклмнрст", "аео"), "greek": ("βγδκλμνπρστ", "αεο"), "armenian": ("բգդկլմնպրստ", "աեո")}
+SOUNDS = {"latin": ("bdfgklmnprstv", "aeo"), "cyrillic": ("бдклмнрст", "аео"), "greek": ("βγδκλμνπρστ", "αεο"), "armenian": ("բգդկլմնպրստ", "աեո"), "han": ("王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗", "文明华平安宁海山玉林春秋志远成思雨欣月天")}
 GENDER_OF = {n: g for (g, _), names in GIVEN.items() for n in names.split()}
 _TITLE_GENDER = {t: g for g, ts in TITLES.items() for t in ts.split()}
 _TITLE_GENDER |= {t.upper(): g for t, g in _TITLE_GENDER.items() if len(t) > 1}
-_NAME_WORDS = frozenset(_TITLE_GENDER) | frozenset(GENDER_OF)
+_GIVEN_WORDS = frozenset(GENDER_OF) | frozenset(n.upper() for n in GENDER_OF if len(n) > 2)
+_NAME_WORDS = frozenset(_TITLE_GENDER) | _GIVEN_WORDS
 
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])")
 _IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)")
@@ -79,10 +84,11 @@ _IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:(?:[0-9A-Fa-f]{0,4}:){1,6}[0-
 _DIGIT = re.compile(r"[0-9@]|::")
 _CAPITALIZED = regex.compile(r"\p{Lu}\p{L}*")
 _BLANK = "[ \u00a0]"
-_PART = r"(?:\p{Lu}\p{Ll}+(?:['’-]\p{Lu}?\p{Ll}+)*|\p{Lu}{3,}(?:['’-]\p{Lu}+)*)(?!\p{L})"
-_TITLED = regex.compile(rf"(?<!\p{{L}})({'|'.join(sorted(_TITLE_GENDER, key=len, reverse=True))})\.?{_BLANK}((?:\p{{Lu}}\.{_BLANK})*{_PART}(?:{_BLANK}{_PART})?)")
-_NAMED = regex.compile(rf"(?<!\p{{L}})({'|'.join(sorted(GENDER_OF, key=len, reverse=True))}){_BLANK}({_PART})")
-_INTRODUCED = regex.compile(rf"(?<!\p{{L}})(?:{INTRODUCED}){_BLANK}({_PART}(?:{_BLANK}{_PART})?)")
+_PART = r"(?:\p{Lu}(?:['’]\p{Lu})?\p{Ll}{1,30}(?:['’-]\p{Lu}?\p{Ll}{1,30}|\p{Lu}\p{Ll}{1,30}){0,4}|\p{Lu}{3,30}(?:['’-]\p{Lu}{1,30}){0,3}|\p{Lu}['’]\p{Lu}{2,30}|\p{Han}{2,4})(?!\p{L})"
+_SUR = rf"(?:(?:{PARTICLES}){_BLANK})?{_PART}"
+_TITLED = regex.compile(rf"(?<!\p{{L}})({'|'.join(sorted(_TITLE_GENDER, key=len, reverse=True))})\.?{_BLANK}((?:\p{{Lu}}\.{_BLANK})*{_SUR}(?:{_BLANK}{_SUR})?)")
+_NAMED = regex.compile(rf"(?<!\p{{L}})({'|'.join(sorted(_GIVEN_WORDS, key=len, reverse=True))}){_BLANK}(?:(?:{PARTICLES}){_BLANK})?({_PART})")
+_INTRODUCED = regex.compile(rf"(?<!\p{{L}})(?:{INTRODUCED}){_BLANK}({_PART}(?:{_BLANK}{_SUR})?)")
 _WHOLE_PART = regex.compile(_PART)
 
 #: start, end, kind, canonical form
@@ -98,7 +104,7 @@ def iban_holds(bare: str) -> bool:
     return int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
 
 
-_SCRIPTS = {"latin": regex.compile(r"\p{Latin}"), "cyrillic": regex.compile(r"\p{Cyrillic}"), "greek": regex.compile(r"\p{Greek}"), "armenian": regex.compile(r"\p{Armenian}")}
+_SCRIPTS = {"latin": regex.compile(r"\p{Latin}"), "cyrillic": regex.compile(r"\p{Cyrillic}"), "greek": regex.compile(r"\p{Greek}"), "armenian": regex.compile(r"\p{Armenian}"), "han": regex.compile(r"\p{Han}")}
 
 
 def script(word: str) -> str:
@@ -156,7 +162,7 @@ def detect(text: str | None) -> list[Span]:
             for m in _IP6.finditer(text):
                 if (at := _address(m[0])) is not None:
                     found.append((m.start(), m.end(), "ip", at))
-        found += [(m.start(), m.end(), "phone", ("+" if m[0][0] == "+" else "") + _digits(m[0])) for m in _PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
+        found += [(m.start(), m.end(), "phone", ("+" if m[0][0] == "+" else "+1") + _digits(m[0])) for m in _PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]  # ten digits without a country are of +1
         found += [(m.start(), m.end(), "phone", _digits(m[0])) for m in _HOME_PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 12]
         for m in _CARD.finditer(text):
             d = _digits(m[0])
@@ -270,7 +276,7 @@ def _drawn(kind: str, canon: str, attempt: int, redraw: int, key: bytes) -> str:
         return draw.one(names).casefold()
     end = {"given m latin": "o", "given f latin": "a", "given f cyrillic": "я", "given m greek": "ος", "given f greek": "α"}.get(kind, "")
     consonants, vowels = _sounds(letters)
-    return ("".join(draw.one(consonants) + draw.one(vowels) for _ in range(3 + attempt // 8)) + end).casefold()
+    return ("".join(draw.one(consonants) + draw.one(vowels) for _ in range((1 if letters == "han" else 3) + attempt // 8)) + end).casefold()
 
 
 def rendered(kind: str, mention: str, new: str) -> str:
@@ -283,7 +289,7 @@ def rendered(kind: str, mention: str, new: str) -> str:
     if kind == "ip":
         return new.upper() if any(c.isupper() for c in mention) else new
     if kind in ("card", "phone", "ssn", "iban"):
-        it = iter(new.lstrip("+"))
+        it = iter(new[2:] if kind == "phone" and new[0] == "+" and mention[0] != "+" else new.lstrip("+"))
         return "".join(next(it) if c.isalnum() else c for c in mention) + "".join(it)
     return new.upper() if mention.isupper() and len(mention) > 1 else new[:1].upper() + new[1:]
 
@@ -296,58 +302,79 @@ def key_of(spark: SparkSession) -> bytes:
     return spark.conf.get(KEY_CONF).encode()
 
 
-def surrogates(entities: DataFrame, key: bytes) -> DataFrame:
-    """kind, canon, surrogate of distinct entities (kind, canon); no two of a kind share one, and none is itself an entity of its kind."""
+def space(kind: Column) -> Column:
+    """Within what an entity of a kind is one, and its surrogate distinct: the kind itself, of names the names of its script."""
+    return F.regexp_replace(kind, r"^(given \w+|surname) ", "name ")
+
+
+def settled(mentions: DataFrame) -> DataFrame:
+    """space, canon and kind of each distinct entity in mentions (kind, canon). A name is a given name if any mention is, of the gender that its mentions
+    agree on, else of none."""
+    shown = lambda g: F.max(F.col("kind").startswith(f"given {g} "))
+    each = mentions.groupBy(space(F.col("kind")).alias("space"), "canon").agg(F.min("kind").alias("any"), F.max(F.col("kind").startswith("given ")).alias("given"), shown("m").alias("m"), shown("f").alias("f"))
+    gender = F.when(F.col("m") == F.col("f"), "n").when(F.col("m"), "m").otherwise("f")
+    return each.select("space", "canon", F.when(F.col("given"), F.regexp_replace("space", "^name", F.concat(F.lit("given "), gender))).otherwise(F.col("any")).alias("kind"))
+
+
+def surrogates(entities: DataFrame, key: bytes) -> tuple[DataFrame, list[DataFrame]]:
+    """space, canon, kind, surrogate of distinct entities (space, canon, kind), and the written tables that this reads. No two of a space share one, and none
+    is itself an entity of its space."""
     given: list[DataFrame] = []  # a table an attempt, each of those that are settled by it
-    pending, attempt = entities.select("kind", "canon"), 0
+    pending, attempt = entities.select("space", "canon", "kind"), 0
     while True:
 
         def run(batches, attempt=attempt):
             for b in batches:
                 new = [surrogate(k, c, attempt, key) for k, c in zip(b.column("kind").to_pylist(), b.column("canon").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("canon"), pa.array(new, pa.string())], names=["kind", "canon", "surrogate"])
+                yield pa.RecordBatch.from_arrays([b.column("space"), b.column("canon"), b.column("kind"), pa.array(new, pa.string())], names=["space", "canon", "kind", "surrogate"])
 
-        drawn = persist(pending.mapInArrow(tidy(run), "kind string, canon string, surrogate string"), "pii-drawn")
-        sole = drawn.groupBy("kind", "surrogate").agg(F.min("canon").alias("canon"))
-        sole = sole.join(entities.select("kind", F.col("canon").alias("surrogate")), ["kind", "surrogate"], "left_anti")
+        drawn = persist(pending.mapInArrow(tidy(run), "space string, canon string, kind string, surrogate string"), "pii-drawn")
+        sole = drawn.groupBy("space", "surrogate").agg(F.min(F.struct("canon", "kind")).alias("first")).select("space", "first.*", "surrogate")
+        sole = sole.join(entities.select("space", F.col("canon").alias("surrogate")), ["space", "surrogate"], "left_anti")
         if given:
-            sole = sole.join(reduce(DataFrame.union, given).select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
-        given.append(persist(sole.select("kind", "canon", "surrogate"), "pii-given"))
-        left = persist(drawn.select("kind", "canon").join(given[-1].select("kind", "canon"), ["kind", "canon"], "left_anti"), "pii-pending")
+            sole = sole.join(reduce(DataFrame.union, given).select("space", "surrogate"), ["space", "surrogate"], "left_anti")
+        given.append(persist(sole.select("space", "canon", "kind", "surrogate"), "pii-given"))
+        left = persist(drawn.select("space", "canon", "kind").join(given[-1].select("space", "canon"), ["space", "canon"], "left_anti"), "pii-pending")
         discard(drawn, *([pending] if attempt else []))
         pending, attempt = left, attempt + 1
         if pending.isEmpty():
             discard(pending)
-            return reduce(DataFrame.union, given)
+            return reduce(DataFrame.union, given), given
 
 
 def replace_pii(df: DataFrame, key: bytes, text: str = "text", kinds_column: str | None = None) -> DataFrame:
     """df with every entity in `text` replaced; kinds_column: adds what was replaced, as in "card:1,email:2".
 
-    Every text is searched once; the table of that pass, which the result reads, holds clean and marked rows apart."""
+    Rows with entities are written with what was found in them; rows without, whose texts are searched again for that, pass as they are, so that
+    the corpus isn't copied. df should give the same rows each time it is read."""
     small_batches(df.sparkSession)
     if kinds_column:
         df = df.withColumn(kinds_column, F.lit("").cast("string"))
     names, schema = df.columns, df.schema
-    row, held, flag, to = (free_name(n, *names) for n in ("pii_row", "pii_spans", "pii_marked", "pii_new"))
+    row, held, to = (free_name(n, *names) for n in ("pii_row", "pii_spans", "pii_new"))
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("canon", pa.string())]))
     spans_ddl = "array<struct<start:bigint,end:bigint,kind:string,canon:string>>"
 
-    def searched(batches):
+    def marked(batches):
         for b in batches:
             spans = [detect(t) for t in b.column(names.index(text)).to_pylist()]
-            lists = [[dict(zip(("start", "end", "kind", "canon"), s, strict=True)) for s in x] if x else None for x in spans]
-            keys = [uuid.uuid4().hex if x else None for x in spans]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.string()), pa.array(lists, spans_type), pa.array([int(bool(x)) for x in spans], pa.int32())], names=[*names, row, held, flag])
-
-    wide = T.StructType([*schema.fields, T.StructField(row, T.StringType()), T.StructField(held, T._parse_datatype_string(spans_ddl)), T.StructField(flag, T.IntegerType())])
-    found = persist(df.mapInArrow(tidy(searched), wide), "pii-rows", by=flag)
-    rows, clean = found.where(F.col(flag) == 1), found.where(F.col(flag) == 0)
-    mentions = rows.select(row, F.posexplode(held).alias("pos", "s")).select(row, "pos", F.col("s.kind").alias("kind"), F.col("s.canon").alias("canon"))
-    entities = persist(mentions.select("kind", "canon").distinct(), "pii-entities")
-    given = surrogates(entities, key)
-    discard(entities)
-    new = persist(mentions.join(given, ["kind", "canon"]).groupBy(row).agg(F.sort_array(F.collect_list(F.struct("pos", "surrogate"))).alias(to)), "pii-new")
+            some = [k for k, x in enumerate(spans) if x]
+            if some:
+                lists = [[dict(zip(("start", "end", "kind", "canon"), s, strict=True)) for s in spans[k]] for k in some]
+                kept = b.take(pa.array(some))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([uuid.uuid4().hex for _ in some]), pa.array(lists, spans_type)], names=[*names, row, held])
+
+    def unmarked(batches):
+        for b in batches:
+            yield b.filter(pa.array([not detect(t) for t in b.column(names.index(text)).to_pylist()]))
+
+    wide = T.StructType([*schema.fields, T.StructField(row, T.StringType()), T.StructField(held, T._parse_datatype_string(spans_ddl))])
+    rows = persist(df.mapInArrow(tidy(marked), wide), "pii-rows")
+    mentions = rows.select(row, F.posexplode(held).alias("pos", "s")).select(row, "pos", space(F.col("s.kind")).alias("space"), F.col("s.kind").alias("kind"), F.col("s.canon").alias("canon"))
+    entities = persist(settled(mentions), "pii-entities")
+    given, written = surrogates(entities, key)
+    new = persist(mentions.join(given.drop("kind"), ["space", "canon"]).groupBy(row).agg(F.sort_array(F.collect_list(F.struct("pos", "surrogate"))).alias(to)), "pii-new")
+    discard(entities, *written)
     joined = rows.join(new, row)
 
     def rewritten(batches):
@@ -370,4 +397,4 @@ def replace_pii(df: DataFrame, key: bytes, text: str = "text", kinds_column: str
                 cols["n_chars"] = pa.array([None if o is None else len(o) for o in out], cols["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=names)
 
-    return clean.select(names).union(joined.select(*names, held, to).mapInArrow(tidy(rewritten), schema))
+    return df.mapInArrow(tidy(unmarked), schema).union(joined.select(*names, held, to).mapInArrow(tidy(rewritten), schema))

@@ -5,7 +5,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from brooktext.llm import pii
-from brooktext.llm.pii import detect, iban_holds, key_of, luhn, rendered, script, surrogate, surrogates
+from brooktext.llm.pii import detect, iban_holds, key_of, luhn, rendered, script, settled, surrogate, surrogates
 
 KEY = b"a key of the tests"
 
@@ -68,9 +68,82 @@ def test_coreference_and_distinctness(spark, empty):
     assert replace_pii(empty).count() == 0
 
 
+def drawn(spark, entities):
+    return surrogates(settled(spark.createDataFrame(entities, "kind string, canon string")), KEY)[0].collect()
+
+
+def space(kind):
+    return re.sub(r"^(given \w+|surname) ", "name ", kind)
+
+
+def names_of(t):
+    return [(t[s:e], k, c) for s, e, k, c in detect(t) if space(k).startswith("name")]
+
+
+def test_one_person_one_surrogate(spark):
+    """Whatever titles a name's mentions have; no two names of the input share one, and none is a name of the input."""
+    texts = ["Mr Kim Lee and Dr Kim Lee wrote.", "Mr Robin Ray met Ms Robin Ray. Prof Robin Ray left.", "Mr Sam Hill, Dr Sam Hill and Mrs Sam Hill.", "Robert Ingram, Thomas Brown, Mr Thomas and Dr Lee Kim", "Mr Hans Lee wrote.", "Frau Erika Langley"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in replace_pii(df).collect()}
+    given = {}
+    for i, t in enumerate(texts):
+        spans = [s for s in detect(t) if space(s[2]).startswith("name")]
+        edges = [0, *itertools.chain(*((s, e) for s, e, *_ in spans)), len(t)]
+        found = re.fullmatch("(.+?)".join(re.escape(t[a:b]) for a, b in zip(edges[::2], edges[1::2], strict=True)), out[i])
+        for (*_, c), new in zip(spans, found.groups(), strict=True):
+            given.setdefault(c, set()).add(new.casefold())
+    assert set(given) >= {"kim", "lee", "robin", "ray", "sam", "hill", "robert", "ingram", "thomas", "brown", "hans", "erika", "langley"}
+    assert all(len(x) == 1 for x in given.values()), given
+    every = [x for v in given.values() for x in v]
+    assert len(set(every)) == len(every) and not set(every) & set(given)
+
+
+def test_gender_is_settled_over_all_mentions(spark):
+    rows = [("given m latin", "kim"), ("given n latin", "kim"), ("surname latin", "kim"), ("given m latin", "robin"), ("given f latin", "robin"), ("surname latin", "lee"), ("given n latin", "sam"), ("given f latin", "sam"), ("email", "a@b.io"), ("given m cyrillic", "ким")]
+    got = {(r.space, r.canon): r.kind for r in settled(spark.createDataFrame(rows * 2, "kind string, canon string")).collect()}
+    assert got == {("name latin", "kim"): "given m latin", ("name latin", "robin"): "given n latin", ("name latin", "lee"): "surname latin", ("name latin", "sam"): "given f latin", ("email", "a@b.io"): "email", ("name cyrillic", "ким"): "given m cyrillic"}
+
+
+def test_names_of_many_shapes():
+    shapes = {
+        "Mr McDonald left": ["McDonald"], "Ms. O'Neil and Mr. O’Neil": ["O'Neil", "O’Neil"], "Mr. van der Berg": ["Berg"], "JOHN SMITH": ["JOHN", "SMITH"], "Mr. 王小明": ["王小明"], "Dr MACARTHUR": ["MACARTHUR"],
+        "Oliver Jones called Emma Brown": ["Oliver", "Jones", "Emma", "Brown"], "Mary de la Cruz": ["Mary", "Cruz"], "Herr Hans von Stein": ["Hans", "Stein"], "Mr D'Angelo-Smith": ["D'Angelo-Smith"], "MR O'NEIL": ["O'NEIL"], "Frau de": [],
+    }
+    for t, want in shapes.items():
+        assert [w for w, *_ in names_of(t)] == want, t
+        for w, k, c in names_of(t):
+            new = rendered(k, w, surrogate(k, c, 0, KEY))
+            assert script(new) == script(w) and new != w and new.isupper() == w.isupper() or script(w) == "han"
+    long = "Mr " + "Ab" * 50_000 + " " + "A" * 50_000 + "'" * 1000
+    assert detect(long) is not None  # in linear time
+
+
+def test_a_number_with_and_without_its_country_is_one():
+    a, b, c = "+1 555 123 4567", "(555) 123-4567", "555-123-4567"
+    assert len({detect(x)[0][3] for x in (a, b, c)}) == 1
+    canon = detect(a)[0][3]
+    news = [rendered("phone", x, surrogate("phone", canon, 0, KEY)) for x in (a, b, c)]
+    assert len({detect(x)[0][3] for x in news}) == 1 and news[1][0] == "(" and len(news[2]) == 12
+
+
+def test_what_is_left_on_disk(spark):
+    """The result reads two tables of the rows with entities; nothing else stays, and clean rows are never copied."""
+    from pathlib import Path
+
+    from brooktext.llm.shared import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    df = spark.createDataFrame([(k, "clean " * 50) for k in range(50)] + [(99, "Mr Weber")], "doc_id long, text string")
+    assert replace_pii(df).count() == 51
+    left = sorted(set(folder.iterdir()) - before)
+    assert [p.name.rpartition("-")[0] for p in left] == ["pii-new", "pii-rows"]
+    assert spark.read.parquet(str(left[1])).count() == 1
+
+
 def test_collisions(spark):
     names = [("surname latin", f"name{i}") for i in range(120)] + [("surname latin", "ashford"), ("surname latin", "calder")]
-    got = surrogates(spark.createDataFrame(names, "kind string, canon string"), KEY).collect()
+    got = drawn(spark, names)
     assert len(got) == len(names) and max(Counter(r.surrogate for r in got).values()) == 1
     assert not {r.surrogate for r in got} & {c for _, c in names}
 
@@ -111,7 +184,7 @@ def test_a_surrogate_is_always_drawn():
 def test_formats_that_are_used_up_widen(spark):
     """All 25 addresses of a shape, and 10 of the 10 one-digit ones, still get replacements of their own that are no entities."""
     mails = [f"{a}@{b}.io" for a in "aeiou" for b in "aeiou"] + [f"{d}@x.io" for d in range(10)]
-    out = surrogates(spark.createDataFrame([("email", m) for m in mails], "kind string, canon string"), KEY).collect()
+    out = drawn(spark, [("email", m) for m in mails])
     assert {r.canon for r in out} == set(mails) and len({r.surrogate for r in out}) == len(mails) and not {r.surrogate for r in out} & set(mails)
     assert all([k for *_, k, _ in detect(r.surrogate)] == ["email"] for r in out)
     text = spark.createDataFrame([(k, f"write to {m.upper()}, or {m}") for k, m in enumerate(mails)], "doc_id long, text string")
@@ -137,14 +210,14 @@ def test_query_like_brute_force(spark):
     canons, given = set(), {}
     for i, t in old.items():
         spans = detect(t)
-        canons |= {(k, c) for *_, k, c in spans}
+        canons |= {(space(k), c) for *_, k, c in spans}
         edges = [0, *itertools.chain(*((s, e) for s, e, *_ in spans)), len(t or "")]
         pattern = "(.+?)".join(re.escape((t or "")[a:b]) for a, b in zip(edges[::2], edges[1::2], strict=True))
         m = re.fullmatch(pattern, new[i].text or "", re.S)
         assert m, i
         for (s, e, k, c), x in zip(spans, m.groups(), strict=True):
             assert x != t[s:e]
-            given.setdefault((k, c), set()).add(next(iter(detect(x)), (0, 0, k, x.casefold()))[3])
+            given.setdefault((space(k), c), set()).add(next(iter(detect(x)), (0, 0, k, x.casefold()))[3])
         assert new[i].kinds == ",".join(f"{k}:{n}" for k, n in sorted(Counter(k.split()[0] for *_, k, _ in spans).items()))
     assert all(len(x) == 1 for x in given.values()) and len({(k, *x) for (k, _), x in given.items()}) == len(given) == len(canons)
     assert not {(k, *x) for (k, _), x in given.items()} & canons
