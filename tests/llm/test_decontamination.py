@@ -70,6 +70,35 @@ def test_recall_by_length_and_rate(docs):
             assert len(cases) > 30 and found >= 0.95 * len(cases), (shortest, rate, found, len(cases))
 
 
+def test_short_items_are_found_exactly():
+    """Items of 1 to 19 bytes: every stretch within the similarity is found, at its least distance, and nothing else, at any similarity."""
+    rng = random.Random(8)
+    for similarity in (0.8, 0.7, 0.5, 0.0):
+        items = tuple((i, "".join(rng.choice("abc é") for _ in range(rng.randint(1, 17)))) for i in range(60))
+        items = tuple((i, t) for i, t in items if len(t.encode()) < 20)
+        index = Index(items)
+        for _ in range(40):
+            doc = "".join(rng.choice("abcd é") for _ in range(rng.randint(0, 90))) + edited(rng, rng.choice(items)[1], 0.25)
+            got = {index.texts[k][0]: (n, a, b) for k, n, a, b in index.matches([doc], similarity)[0]}
+            for i, t in items:
+                most = int(len(t) * (1 - similarity) + 1e-9)
+                least = brute(t, doc)
+                assert (i in got) == (least <= most), (t, doc)
+                if i in got:
+                    n, a, b = got[i]
+                    assert n == least == brute_whole(t, doc[a:b])
+
+
+def brute_whole(p, t):
+    before = list(range(len(t) + 1))
+    for i, x in enumerate(p, 1):
+        now = [i]
+        for j, y in enumerate(t, 1):
+            now.append(min(before[j] + 1, now[-1] + 1, before[j - 1] + (x != y)))
+        before = now
+    return before[-1]
+
+
 def test_bound_drops_nothing_near():
     rng = random.Random(12)
     items = tuple((n, "".join(rng.choice("abcdé ") for _ in range(n))) for n in (20, 63, 64, 65, 128, 150, 300) for _ in range(8))
