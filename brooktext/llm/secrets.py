@@ -30,6 +30,7 @@ import lzma
 import re
 import zlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import unquote_to_bytes
 
@@ -193,12 +194,21 @@ def _inflated(data: memoryview, max_layer: int) -> tuple[bytes, int] | None:
         return None
 
 
+#: ASCII that a text may hold.
+_PLAIN_ASCII = bytes([9, 10, 13, *range(32, 127)])
+
+
 def _readable(data: bytes) -> str | None:
+    """The text that the bytes are, if one in twenty characters at most can't be printed. Counted without a look at each character where it can be."""
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
         return None
-    odd = sum(not (c.isprintable() or c in "\t\n\r") for c in text)
+    if text.isascii():
+        odd = len(data.translate(None, _PLAIN_ASCII))
+    else:
+        bare = text.replace("\t", "").replace("\n", "").replace("\r", "")
+        odd = 0 if bare.isprintable() else sum(n for c, n in Counter(bare).items() if not c.isprintable())
     return text if text and odd * 20 <= len(text) else None
 
 

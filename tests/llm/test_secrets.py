@@ -140,3 +140,17 @@ def test_table(odd, empty, docs):
         base = want[r.doc_id]
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == x for *_, k in base) for x in ("assign", "access", "hex")]
         assert r.base_sha256 == hashlib.sha256(joined(base).encode()).hexdigest()
+
+
+def test_readable_counts_like_a_look_at_each_character():
+    from brooktext.llm.secrets import _readable
+
+    rng = random.Random(6)
+    for _ in range(400):
+        data = "".join(rng.choice("ab \t\n\r\x00\x7f\x1fé中 ​😀" if rng.random() < 0.5 else "abc é") for _ in range(rng.randint(0, 60))).encode() + rng.choice([b"", b"\xff"])
+        try:
+            text = data.decode()
+        except UnicodeDecodeError:
+            text = ""
+        odd = sum(not (c.isprintable() or c in "\t\n\r") for c in text)
+        assert _readable(data) == (text if text and odd * 20 <= len(text) else None)
