@@ -33,7 +33,7 @@ from .shared import discard, persist
 #: Weights by the source's rank, repeating; words of the mix as a fraction of all; copies of a document at most.
 WEIGHTS, SHARE, MOST = (3, 1, 2), (3, 2), 2
 #: Documents that are put in order together; rows that are broadcast at most; Newton iterations at most.
-PART, ROWS, ROUNDS = 100_000, 200_000, 200
+PART, ROWS, ROUNDS = 1_000, 200_000, 200
 WORD = r"[^\x20\x09-\x0D]+"
 _EXACT = "decimal(38,0)"
 
