@@ -12,11 +12,13 @@ Two documents are linked if their sets' Jaccard similarity is `num`/`den` or mor
    probability of a similarity at the threshold, under a uniform prior, is below `MISS`; survivors are compared on
    their full sets.
 5. A bucket that still holds several components may hide links between members other than its least. These are compared
-   in blocks of about `BLOCK`: pairs of different components are pruned by the posterior as above, and every survivor is
-   compared on the full sets, there and then; only links that join components leave the block.
+   in blocks of about `BLOCK`, first by their signatures: pairs of different components are pruned by the posterior as
+   above, and of each pair of blocks only members with a surviving partner go on. Their full sets are then brought and
+   compared there; only links that join components leave the block.
 
 No step lists all pairs of a group, and no group is gathered in one task: stars and joins grow with the rows, blocks
-are bounded. Defined results: a null text is empty; a row with a null id has a null component and is kept; rows that
+are bounded. What step 5 compares grows with the square of a bucket's members outside its least's component, 512 bytes
+each; with the full sets, with the survivors. Defined results: texts of any length are taken whole; a null text is empty; a row with a null id has a null component and is kept; rows that
 share an id count as one document; extra columns don't matter; an empty table gives an empty result.
 """
 
@@ -217,28 +219,62 @@ def joining_links(side: np.ndarray, ids: np.ndarray, label: np.ndarray, sets: li
     return out
 
 
-def _within(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: the joining links of every block pair. rows: g1, g2 (the block pair), side, id, label, hashes."""
+def hopeful(side: np.ndarray, label: np.ndarray, size: np.ndarray, sig: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which members of a block pair have a partner of another label that sequential verification doesn't prune.
+
+    Two members that are both marked already aren't compared: each goes on anyway."""
+    out = np.zeros(len(side), bool)
+    for i in np.flatnonzero(side < 2).tolist():
+        ok = (label != label[i]) & (np.minimum(size, size[i]) * den >= num * np.maximum(size, size[i])) & ~(out & out[i])
+        at = np.flatnonzero(ok & ((side == 2) if side[i] else (np.arange(len(side)) > i)))
+        if len(at):
+            at = at[survivors(np.broadcast_to(sig[i], (len(at), HASHES)), sig[at], num, den)[0]]
+            out[at] = True
+            out[i] |= len(at) > 0
+    return out
 
-    def links(group: list[tuple]) -> list[tuple[int, int]]:
-        side, ids, label, sets = zip(*group, strict=True)
-        return joining_links(np.array(side), np.array(ids), np.array(label), [np.frombuffer(s, np.uint64) for s in sets], num, den)
+
+def _in_block_pairs(rows: DataFrame, columns: tuple[str, ...], act, schema: str) -> DataFrame:
+    """act(a block pair's key, its members' columns) -> output rows, over every block pair of two members or more. Only one block pair is held at a time."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    types = [pa.int32() if x.endswith(" int") else pa.int64() for x in schema.split(", ")]
 
     def run(batches):
         key, group = None, []
         for b in batches:
             out = []
-            for row in zip(*(b.column(c).to_pylist() for c in ("g1", "g2", "side", "id", "label", "hashes")), strict=True):
+            for row in zip(*(b.column(c).to_pylist() for c in ("g1", "g2", *columns)), strict=True):
                 if row[:2] != key:
-                    out += links(group) if len(group) > 1 else []
+                    out += act(key, zip(*group, strict=True)) if len(group) > 1 else []
                     key, group = row[:2], []
                 group.append(row[2:])
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate(types)], names=names)
         if len(group) > 1:
-            out = links(group)
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
+            out = act(key, zip(*group, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate(types)], names=names)
+
+    return rows.select("g1", "g2", *columns).repartition("g1", "g2").sortWithinPartitions("g1", "g2").mapInArrow(tidy(run), schema)
+
+
+def _promising(met: DataFrame, sigs: DataFrame, num: int, den: int) -> DataFrame:
+    """met's members that are hopeful in their block pair, by size and signature alone. sigs: id, n, sig."""
+
+    def act(key, columns):
+        side, ids, label, size, sig = columns
+        on = hopeful(np.array(side), np.array(label), np.array(size), np.frombuffer(b"".join(sig), np.uint32).reshape(-1, HASHES), num, den)
+        return [(*key, side[k], ids[k], label[k]) for k in np.flatnonzero(on).tolist()]
+
+    return _in_block_pairs(met.join(sigs, "id"), ("side", "id", "label", "n", "sig"), act, "g1 long, g2 long, side int, id long, label long")
+
+
+def _within(met: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: the joining links of every block pair, on the full sets."""
+
+    def act(key, columns):
+        side, ids, label, hashes = columns
+        return joining_links(np.array(side), np.array(ids), np.array(label), [np.frombuffer(s, np.uint64) for s in hashes], num, den)
 
-    return rows.repartition("g1", "g2").sortWithinPartitions("g1", "g2").mapInArrow(tidy(run), "a long, b long")
+    return _in_block_pairs(met.join(sets, "id"), ("side", "id", "label", "hashes"), act, "a long, b long")
 
 
 def _block_pairs(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
@@ -321,7 +357,7 @@ def near_duplicates(df: DataFrame, n_words: int = 5, num: int = 4, den: int = 5,
     small_batches(df.sparkSession)
     src = df.select(df[id_col].cast("long").alias("doc_id"), df[text].cast("string").alias("text"))
     base = persist(_described(src, n_words), "near-base")
-    reps = persist(base.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "near-reps")
+    reps = persist(base.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "near-reps")
     sigs = reps.select("id", "sig")
     keys = F.array(*(F.xxhash64(F.lit(k), F.substring("sig", 4 * ROWS * k + 1, 4 * ROWS)) for k in range(BANDS)))
     bands = sigs.select("id", F.explode(keys).alias("key"))
@@ -334,13 +370,14 @@ def near_duplicates(df: DataFrame, n_words: int = 5, num: int = 4, den: int = 5,
     links = persist(_verified(probable, sets, num, den).where("linked").select("a", "b"), "near-links")
     labels = components(links)
     met, used = _block_pairs(members.where("id <> center").select("key", "id"), labels)
-    more = persist(_within(met.join(sets, "id"), num, den), "near-links")
+    hope = persist(_promising(met, reps.select("id", "n", "sig"), num, den), "near-hope")
+    more = persist(_within(hope, sets, num, den), "near-links")
     if not more.isEmpty():
         used.append(labels)
         labels = components(links.union(more))
     # several sets of one id, if ids repeat, are one document
     of_set = persist(reps.select("h1", "h2", "id").join(labels, "id", "left").select("h1", "h2", F.coalesce("label", "id").alias("label")), "near-classes")
-    discard(*used, reps, buckets, members, stars, ids, sets, probable, links, more, labels)
+    discard(*used, reps, buckets, members, stars, ids, sets, probable, links, hope, more, labels)
     out = base.select("doc_id", "n", "h1", "h2").join(of_set, ["h1", "h2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

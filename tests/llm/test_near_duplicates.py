@@ -4,7 +4,8 @@ import re
 import numpy as np
 import pytest
 
-from brooktext.llm.near_duplicates import HASHES, components, drop_near_duplicates, joining_links, least_agreement, near_duplicates, shingle_sets, signatures
+from brooktext.llm import near_duplicates as module
+from brooktext.llm.near_duplicates import HASHES, components, drop_near_duplicates, hopeful, joining_links, least_agreement, near_duplicates, shingle_sets, signatures
 
 
 def brute(rows, n):
@@ -57,6 +58,49 @@ def test_like_brute_force(spark, docs, n):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_small_blocks_like_brute_force(spark, monkeypatch):
+    """With blocks of four, most components have blocks of their own and most pairs of members meet across blocks."""
+    monkeypatch.setattr(module, "BLOCK", 4)
+    rows = planted(8)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 5)
+
+
+def test_every_two_labels_of_a_bucket_meet(spark, monkeypatch):
+    monkeypatch.setattr(module, "BLOCK", 8)
+    label = {i: 0 if i < 40 else 100 if i < 50 else i for i in range(80)}  # two labels with blocks of their own, thirty without
+    members = [(1, i) for i in label] + [(2, i) for i in range(30)]  # the second bucket holds one label only
+    met, used = module._block_pairs(spark.createDataFrame(members, "key long, id long"), spark.createDataFrame(list(label.items()), "id long, label long"))
+    groups, compared = {}, {}
+    for r in met.collect():
+        groups.setdefault((r.g1, r.g2), []).append((r.side, r.id))
+    for g in groups.values():
+        assert len(g) <= 5 * module.BLOCK
+        for k, (s, i) in enumerate(g):
+            for t, j in g[k + 1 :]:
+                if {s, t} in ({0}, {1, 2}) and label[i] != label[j]:
+                    compared[frozenset((i, j))] = compared.get(frozenset((i, j)), 0) + 1
+    assert set(compared) == {frozenset((i, j)) for i in label for j in label if label[i] != label[j]} and set(compared.values()) == {1}
+    own = [g for g in groups.values() if {label[i] for _, i in g} <= {0}]
+    assert not any(len({s for s, _ in g}) == 2 for g in own)  # blocks of one label never meet each other
+    module.discard(*used)
+
+
+def test_hopeful_members_are_those_with_a_survivor(docs):
+    rng = np.random.default_rng(9)
+    base = [np.unique(rng.integers(0, 1 << 63, 150).astype(np.uint64)) for _ in range(5)]
+    sets = [np.sort(np.concatenate([b[: 150 - k * 6], rng.integers(0, 1 << 63, k * 6).astype(np.uint64)])) for b in base for k in range(8)] + [base[0][:20]]
+    size, sig = np.array([len(s) for s in sets]), np.frombuffer(b"".join(signatures(sets)), np.uint32).reshape(-1, HASHES)
+    label = rng.integers(0, 12, len(sets))
+    for side in (np.zeros(len(sets), int), rng.integers(1, 3, len(sets))):
+        want = np.zeros(len(sets), bool)
+        for i in range(len(sets)):
+            for j in range(len(sets)):
+                if label[i] != label[j] and {side[i], side[j]} in ({0}, {1, 2}) and 5 * min(size[i], size[j]) >= 4 * max(size[i], size[j]):
+                    want[i] |= len(module.survivors(sig[i : i + 1], sig[j : j + 1], 4, 5)[0]) > 0
+        assert (hopeful(side, label, size, sig, 4, 5) == want).all() and 5 < want.sum() < len(sets)
+
+
 def test_odd_rows(odd, empty):
     assert near_duplicates(empty, 2).count() == 0
     got = near_duplicates(odd, 2).collect()
