@@ -27,6 +27,7 @@ import struct
 import unicodedata
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,7 @@ from .shared import chunks, delete, file_system, give_back, hash_sample, new_fol
 MAGIC = b"BTOK1\0\0\0"
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES, LEVEL = 2000, 4096, 64 << 10, 3
 KNOWN_WORDS, CHUNK_CHARS, JOINED = 600_000, 4 << 20, 2_000
+FILE_DOCS, BEGINNING = 100_000, 64
 #: Marks that may end a word; none begins a contraction.
 MARKS = ".,;:!?*$%&#|)\""
 #: Lower-case letters of the Latin and Cyrillic blocks, which every Unicode version holds for letters.
@@ -166,12 +168,12 @@ def vocabulary_splits_words(path: str) -> bool:
     return bool(steps) and steps[0]["type"] == "Split" and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and "[^\\s" in steps[0]["pattern"].get("Regex", "") and not steps[-1].get("add_prefix_space")
 
 
-def train_dictionary(df: DataFrame, path: str, end_id: int) -> bytes:
-    """The shared dictionary, from a bounded sample. With too little to train on: the sample's bytes as they are."""
+def train_dictionary(df: DataFrame, path: str, end_id: int, n_rows: int) -> bytes:
+    """The shared dictionary, from a bounded sample of df's n_rows. With too little to train on: the sample's bytes as they are."""
     import zstandard
 
     encoder = encoder_for(path)
-    rows = hash_sample(df, df.select("id").count(), SAMPLE_DOCS, "id").limit(2 * SAMPLE_DOCS).select(F.substring(F.coalesce("text", F.lit("")), 1, 8 * SAMPLE_IDS).alias("text")).collect()
+    rows = hash_sample(df, n_rows, SAMPLE_DOCS, "id").limit(2 * SAMPLE_DOCS).select(F.substring(F.coalesce("text", F.lit("")), 1, 8 * SAMPLE_IDS).alias("text")).collect()
     end = np.array([end_id], encoder.dtype).tobytes()
     data = [s[: SAMPLE_IDS * encoder.width] + end for s in encoder.serialized([r.text for r in rows])]
     try:
@@ -187,14 +189,18 @@ def _dictionary(raw: bytes):
 
 
 def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int, text: str = "text", id_col: str = "doc_id", partitions: int | None = None) -> None:
-    """Encodes every text, appends end_id, and writes the files in ascending order of id_col. One shuffle, by range."""
+    """Encodes every text, appends end_id, and writes the files in ascending order of id_col, then text. One shuffle, by range.
+
+    Files come to about `FILE_DOCS` documents at most (or to `partitions` files), so that what a task keeps of its index is bounded;
+    rows that share an id are parted too, unless their first `BEGINNING` characters are the same."""
     import zstandard
 
     spark = small_batches(df.sparkSession)
     fs, root = file_system(folder)
     fs.create_dir(root, recursive=True)
     src = df.select(df[id_col].cast("long").alias("id"), df[text].cast("string").alias("text"))
-    raw = train_dictionary(src, tokenizer, end_id)
+    n_rows = src.select("id").count()
+    raw = train_dictionary(src, tokenizer, end_id, n_rows)
     digest = hashlib.sha256(raw).digest()
     with fs.open_output_stream(f"{root}/dictionary-{digest.hex()}.zdict") as f:
         f.write(raw)
@@ -203,7 +209,7 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int, t
         encoder = encoder_for(tokenizer)
         end = np.array([end_id], encoder.dtype).tobytes()
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(raw), write_content_size=True)
-        ids, sizes, lengths, out, at = [], [], [], None, 0
+        ids, sizes, lengths, null, first, out = array("q"), array("q"), array("q"), bytearray(), None, None
         for k, b in enumerate(batches):
             if k % 8 == 7:
                 give_back()
@@ -212,31 +218,36 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, end_id: int, t
                 name = f"{uuid.uuid4().hex}.btok"
                 out = fs.open_output_stream(f"{root}/{name}")
                 out.write(MAGIC + struct.pack("<II", encoder.width, 0) + digest)
+                first = b.column("id")[0].as_py(), b.column("beginning")[0].as_py()
             docs = texts(b)
             for part in chunks(docs, CHUNK_CHARS):
                 for s in encoder.serialized(part):
                     frame = packer.compress(s + end)
                     out.write(frame)
                     sizes.append(len(s) // encoder.width + 1), lengths.append(len(frame))
-            ids += b.column("id").to_pylist()
+            ids.frombytes(b.column("id").fill_null(0).to_numpy().tobytes())
+            null += b.column("id").is_null().to_numpy(zero_copy_only=False).tobytes()
         if out is None:
             return
         n, head = len(ids), 48
         length = np.array(lengths, "<i8")
         offset = head + np.concatenate([np.zeros(1, "<i8"), np.cumsum(length)])
-        null = np.array([i is None for i in ids], np.uint8)
-        for x in (np.array([i or 0 for i in ids], "<i8"), null, np.array(sizes, "<i8"), offset[:-1].astype("<i8"), length):
+        for x in (np.array(ids, "<i8"), np.frombuffer(null, np.uint8), np.array(sizes, "<i8"), offset[:-1].astype("<i8"), length):
             out.write(x.tobytes())
         out.write(struct.pack("<QQ", n, int(offset[-1])) + MAGIC)
         out.close()
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([None if null[0] else ids[0]], pa.int64()), pa.array([n], pa.int64()), pa.array([sum(sizes)], pa.int64())], names=["name", "first", "docs", "ids"])
-
-    ranged = src.repartitionByRange(partitions, "id") if partitions else src.repartitionByRange("id")
-    ranged.sortWithinPartitions("id", "text").mapInArrow(tidy(run), "name string, first long, docs long, ids long").write.parquet(f"{folder}/_packed")
-    rows = spark.read.schema("name string, first long, docs long, ids long").parquet(f"{folder}/_packed").collect()  # one a file
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array(first[:1], pa.int64()), pa.array(first[1:], pa.string()), pa.array([n], pa.int64()), pa.array([sum(sizes)], pa.int64())], names=["name", "first", "beginning", "docs", "ids"])
+
+    row = "name string, first long, beginning string, docs long, ids long"
+    src = src.withColumn("beginning", F.substring("text", 1, BEGINNING))
+    if not partitions and n_rows > FILE_DOCS * int(spark.conf.get("spark.sql.shuffle.partitions")):
+        partitions = -(-n_rows // FILE_DOCS)
+    ranged = src.repartitionByRange(*([partitions] if partitions else []), "id", "beginning")
+    ranged.sortWithinPartitions("id", "text").mapInArrow(tidy(run), row).write.parquet(f"{folder}/_packed")
+    rows = spark.read.schema(row).parquet(f"{folder}/_packed").collect()  # one a file
     delete(spark, f"{folder}/_packed")
     listed, start = [], 0
-    for r in sorted(rows, key=lambda r: (r.first is not None, r.first or 0)):
+    for r in sorted(rows, key=lambda r: (r.first is not None, r.first or 0, r.beginning is not None, r.beginning or "")):
         listed.append([r.name, start, r.docs])
         start += r.ids
     with fs.open_output_stream(f"{root}/files.json") as f:

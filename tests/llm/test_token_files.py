@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from brooktext.llm import token_files
 from brooktext.llm.shared import file_system, new_folder
 from brooktext.llm.token_files import TokenFile, WordEncoder, read_token_files, token_table, vocabulary_splits_words, write_token_files
 
@@ -48,6 +49,19 @@ def test_table_like_brute_force(odd, empty, docs):
         assert sorted(got, key=lambda r: r[1]) == want
 
 
+def test_files_are_sized_by_the_count_and_part_rows_of_one_id(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "FILE_DOCS", 8)
+    rows = [(7, f"{k % 90:02d} one id, many texts") for k in range(180)] + [(7, None), (7, ""), (None, "no id"), (None, "no id, second"), (3, "z"), (9, "a")]
+    folder = new_folder(spark, "tokens-test")
+    write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), folder, PATH, 1)
+    fs, root = file_system(folder)
+    with fs.open_input_stream(f"{root}/files.json") as f:
+        listed = json.loads(f.read())["files"]
+    assert len(listed) > 12 and max(n for *_, n in listed) < 40 and [s for _, s, _ in listed] == sorted(s for _, s, _ in listed)
+    got = sorted((tuple(r)[:4] for r in read_token_files(spark, folder).collect()), key=lambda r: r[1])
+    assert got == brute(rows)
+
+
 def test_other_tokenizers(docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     some = docs.limit(40)
