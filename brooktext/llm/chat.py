@@ -285,14 +285,18 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     every = calls.select(F.col("conv_id").cast("long").alias("conv_id"), "call_id", "name", "arguments", F.coalesce("needs", F.array().cast("array<string>")).alias("needs"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"))
     c = every.where("call_id is not null and conv_id is not null").groupBy("conv_id", "call_id").agg(first).select("conv_id", "call_id", "c.*")
     told = results.select(F.col("conv_id").cast("long").alias("conv_id"), "call_id", F.coalesce("content", F.lit("")).alias("content"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"))
-    r = told.where("call_id is not null and conv_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("n")).select("conv_id", "call_id", F.col("r.turn").alias("result_turn"), F.col("r.content").alias("content"), F.col("n").alias("n_results"))
+    r = told.where("call_id is not null and conv_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("n_results"))
+    r = persist(r.select("conv_id", "call_id", F.col("r.turn").alias("result_turn"), F.col("r.content").alias("content"), "n_results"), "chat-results")
     names = ["conv_id", "call_id", "name", "arguments", "needs", "turn", "result_turn", "content", "n_results"]
-    linked = c.join(r.hint("shuffle_hash"), ["conv_id", "call_id"], "full_outer").withColumn("n_results", F.coalesce("n_results", F.lit(0).cast("long")))
+    # the hash join's table holds identifiers, turns and counts only; results' contents come by a join that can spill
+    linked = persist(c.join(r.drop("content").hint("shuffle_hash"), ["conv_id", "call_id"], "full_outer"), "chat-linked")
+    whole = linked.join(r.select("conv_id", "call_id", "content").hint("merge"), ["conv_id", "call_id"], "left").withColumn("n_results", F.coalesce("n_results", F.lit(0).cast("long")))
     # rows that can't be linked keep beside the join, so that no null key gathers them
     none = F.lit(None)
     lone = every.where("call_id is null or conv_id is null").select(*names[:6], none.cast("long").alias("result_turn"), none.cast("string").alias("content"), F.lit(0).cast("long").alias("n_results"))
     lost = told.where("call_id is null or conv_id is null").select("conv_id", "call_id", none.cast("string").alias("name"), none.cast("string").alias("arguments"), none.cast("array<string>").alias("needs"), none.cast("long").alias("turn"), F.col("turn").alias("result_turn"), "content", F.lit(1).cast("long").alias("n_results"))
-    both = persist(linked.select(names).union(lone).union(lost), "chat-linked")
+    both = persist(whole.select(names).union(lone).union(lost), "chat-rows")
+    discard(r, linked)
 
     def ordered(group: list[dict]) -> list[list]:
         known = [x for x in group if x["turn"] is not None]
