@@ -8,13 +8,17 @@ from the piece that ends where it begins. BPE's result is unique and each of its
 each position has one such edge at most and the last one's path is the encoding.
 
 Whether two pieces stay apart is found by undoing the merges on both sides of their border, latest first, and seeing
-whether a merge across it would have come earlier. Runs of two or more white-space marks, whose pieces have equal scores,
-are merged one by one instead (`merged`). Characters outside the vocabulary become
-bytes.
-
-The model's normaliser must be the identity with a dummy prefix (as in piece_bpe_32k.model); others are refused.
-Defined results: null and empty texts have no ids; equal texts have equal ids; a text of any length is encoded whole;
-decoding gives the text back, but for U+2581 in it, which the model itself reads as a space.
+whether a merge across it would have come earlier. Pieces of white-space marks alone may have equal scores, so that
+where they stand decides which merge comes first; their scores are below all others', so that what they do concerns
+themselves only, and which two of them stay apart is a small table, made from the merges of every two. Characters
+outside the vocabulary become bytes.
+
+The model's normaliser must be the identity with a dummy prefix (as in piece_bpe_32k.model), and no two pieces but
+those of marks alone may have one score; others are refused.
+Defined results: null and empty texts have no ids; equal texts have equal ids, and repeated rows a row each; a text of any
+length is encoded whole; an empty table gives no rows; decoding gives the text back, but for U+2581 in it, which the
+model itself reads as a space. Other columns stay as they are, but for those named as an added one, which it replaces;
+`piece_table` reads the id and the text only.
 """
 
 from __future__ import annotations
@@ -62,6 +66,12 @@ class Model:
         crossing = [p for p in self.of if SPACE in p[1:] and p.strip(SPACE)]
         if crossing:
             raise ValueError(f"pieces hold white space within: {crossing[:3]}")
+        marks = {i: len(p) for p, i in self.of.items() if not p.strip(SPACE)}
+        others = sorted(self.score[i] for i in self.of.values() if i not in marks)
+        if any(x == y for x, y in zip(others, others[1:], strict=False)):
+            raise ValueError("two pieces that aren't of white space alone have one score")
+        if others and any(self.score[i] >= others[0] for i, n in marks.items() if n > 1):
+            raise ValueError("a piece of white space alone has no lower score than the others")
         order = sorted(self.of.values(), key=lambda i: (-self.score[i], i))
         chars = sorted({c for p in self.of for c in p})
         if missing := [c for c in chars if c not in self.of]:
@@ -90,6 +100,12 @@ class Model:
         lengths = np.array([len(p) for p in self.of], np.int64)
         if lengths.max() > 16:
             raise ValueError("a piece is longer than 16 characters")
+        self.n_marks = np.zeros(self.size + 1, np.int64)  # how many marks a piece of marks alone has
+        self.marks_apart = np.zeros((17, 17), bool)
+        for i, n in marks.items():
+            self.n_marks[i] = n
+            for j, m in marks.items():
+                self.marks_apart[n, m] = self.merged(SPACE * (n + m))[0] == [i, j]
         self.ids = np.array(list(self.of.values()), np.int64)
         self.codes = np.zeros((len(self.of), 16), np.uint64)
         for k, p in enumerate(self.of):
@@ -142,9 +158,12 @@ class Model:
 
         Goes back in time from the finished pieces, undoing the later merge of the two each time. A pair that stood side
         by side up to the turn of some rank would have been merged if their own merge ranks before it."""
-        ok, todo = np.ones(len(a), bool), np.arange(len(a))
         a, b = a.astype(np.int64), b.astype(np.int64)
-        until = np.full(len(a), 1 << 39)  # the pair stood side by side until this rank's turn
+        n, m = self.n_marks[a], self.n_marks[b]
+        ok = self.marks_apart[n, m] | (n == 0) | (m == 0)
+        todo = np.flatnonzero((n == 0) | (m == 0))
+        a, b = a[todo], b[todo]
+        until = np.full(len(todo), 1 << 39)  # the pair stood side by side until this rank's turn
         while len(todo):
             clash = self._joins(a, b) < until
             ok[todo[clash]] = False
@@ -273,11 +292,8 @@ class Model:
 
     def encoded(self, items: list[str]) -> list[bytes]:
         """The ids of chunks as little-endian 32-bit numbers."""
-        plain = [k for k, t in enumerate(items) if SPACE * 2 not in t]
-        out: list[bytes] = [b""] * len(items)
-        found = [ids for part in chunks([items[k] for k in plain], MATCH_CHARS) for ids in self.matched(part)]
-        rest = [k for k, t in enumerate(items) if SPACE * 2 in t]
-        for k, ids in [*zip(plain, found, strict=True), *((k, np.array(self.merged(items[k])[0], np.int64)) for k in rest)]:
+        out: list[bytes] = []
+        for k, ids in enumerate(ids for part in chunks(items, MATCH_CHARS) for ids in self.matched(part)):
             if self.unknown in ids:
                 at, parts = 0, []
                 for i in ids.tolist():
@@ -288,7 +304,7 @@ class Model:
                         parts.append(i)
                         at += len(self.text[i])
                 ids = np.array(parts)
-            out[k] = ids.astype("<u4").tobytes()
+            out.append(ids.astype("<u4").tobytes())
         return out
 
 

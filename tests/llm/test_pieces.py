@@ -25,6 +25,21 @@ def test_like_the_library():
         assert back[k] == library.decode(want), t
 
 
+def test_white_space_like_the_library():
+    """Runs of marks, alone and before words, whose merges have equal scores; all of them go through the suffix array."""
+    library, e = sentencepiece.SentencePieceProcessor(model_file=PATH), Encoder(PATH)
+    e.model.merged = None  # nothing is merged piece by piece once the model is loaded
+    rng = random.Random(7)
+    docs = [" " * n + word + " " * m for n in range(50) for word in ("", "the", "中", "\t", ".", "x  y") for m in (0, 1, 2, 15, 33)]
+    parts = ["    ", " ", "  ", "\n", "if", "the", "(x)", "中", "return", "\t", "\n        ", "▁", "😀"]
+    docs += ["".join(rng.choice([*parts, " " * rng.randint(1, 40)]) for _ in range(rng.randint(1, 40))) for _ in range(2000)]
+    with open(__file__) as f:
+        docs.append(f.read())
+    ids, ends = e.encode(docs)
+    for k, t in enumerate(docs):
+        assert ids[ends[k] : ends[k + 1]].tolist() == library.encode(t), t
+
+
 def test_tables(odd, empty, docs):
     library = sentencepiece.SentencePieceProcessor(model_file=PATH)
     assert piece_table(empty, PATH).count() == 0
