@@ -531,14 +531,14 @@ n AS (SELECT count(*) // {BATCH} AS whole FROM conversations)
 SELECT conv_id, turn, epoch::INTEGER AS epoch, idx // {BATCH} AS batch_id, idx % {BATCH} AS pos, epoch * whole + idx // {BATCH} + 1 AS step FROM e, n WHERE idx // {BATCH} < whole
 """
 
-#: Batches of 40, whose mean rewards have six digits at most.
-RUN = Settings(batch_size=40, epochs=2)
+#: Batches of 40, whose mean rewards have six digits at most; the recorded steps learn nothing, so that chunks may be scored together.
+RUN, AHEAD = Settings(batch_size=40, epochs=2), 50
 
 
 def resumable_run(spark, sf_dir):
     """The series that a run over two epochs leaves: batches dealt anew in each, chunks of `save_every` steps committed one by one."""
     docs, folder = _texts(spark, sf_dir, "doc_id", "text"), new_folder(spark, "run")
-    run(docs, "doc_id", lambda df: df.withColumn("response", _response()), _vocabulary(spark, sf_dir), _recorded_judge(spark, sf_dir, "doc_id"), folder, RUN)
+    run(docs, "doc_id", lambda df: df.withColumn("response", _response()), _vocabulary(spark, sf_dir), _recorded_judge(spark, sf_dir, "doc_id"), folder, RUN, ahead=AHEAD)
     return spark.read.parquet(f"{folder}/series").select("step", "tag", _six("value").alias("value"))
 
 

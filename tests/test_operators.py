@@ -15,7 +15,7 @@ from brooktext.operators.metrics import SERIES, scalar_series, step_log, write_s
 from brooktext.operators.models import batched, precomputed, segmented
 from brooktext.operators.segmentation import automaton, best_path, by_dictionary, costs
 from brooktext.plans.config import Settings
-from brooktext.plans.run import commits, run, scored_so_far
+from brooktext.plans.run import commits, run, scored_so_far, totals
 from brooktext.plans.scoring import polled_filter, polled_judge, scored_responses, step_statistics, stored_pair_scores
 from brooktext.sources import files as S
 from brooktext.streaming.scoring import read_responses, start_scoring
@@ -267,6 +267,39 @@ def test_a_run_that_was_killed_goes_on(spark, tmp_path):
     assert "Epoch 0 Step 1:" in log and "Epoch 1 Step 22:" in log
 
 
+def test_a_run_reads_its_sentences_once_a_pass(spark, tmp_path):
+    """However many chunks there are. Chunks that are scored together are learned from and committed one by one, and end in the same tables."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(k):
+        read.add(1)
+        return k
+
+    sentences = spark.range(22).withColumnRenamed("id", "k").withColumn("n", F.udf(counted, "long")("k"))
+    vocabulary, settings, learned = spark.createDataFrame([("甲",), ("7",)], "word string"), Settings(batch_size=2, epochs=2, save_every=1), []
+
+    def learn(state, scored, fail=None):
+        step = scored.first().step
+        if step == fail:
+            raise RuntimeError("killed")
+        learned.append(step)
+        return totals(state, scored)
+
+    def go(folder, **how):
+        judge = lambda df: df.withColumn("expression", F.lit(0.5) + F.pmod("n", F.lit(2)) / 2)
+        return run(sentences, "k", generated, vocabulary, judge, str(tmp_path / folder), settings, **{"learn": learn} | how)
+
+    assert go("alone") == 22 and read.value == 44 and learned == [*range(1, 23)]
+    learned.clear()
+    with pytest.raises(RuntimeError):
+        go("ahead", ahead=4, learn=lambda state, scored: learn(state, scored, 7))
+    assert sorted(commits(spark, str(tmp_path / "ahead"))) == learned == [*range(1, 7)]
+    assert go("ahead", ahead=4) == 22 and learned == [*range(1, 23)]
+    for name in (scored_so_far, lambda spark, f: spark.read.parquet(f"{f}/series"), lambda spark, f: C.load(spark, f"{f}/state")[0]):
+        one, two = (name(spark, str(tmp_path / f)) for f in ("alone", "ahead"))
+        assert one.count() and rows(one) == rows(two.select(one.columns))
+
+
 def cheapest(text, words, lone):
     """The best path by trying every way to cut the text, ties as stated: at each place the longest last word."""
     best = {0: (0, [])}
