@@ -140,6 +140,15 @@ def _linked(x: bytes, y: bytes, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
+def _with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """a, b and a column of each of the two, x and y. Of the table only the rows of pairs' ends are dealt; there are far fewer b than a, as those are stars' centers."""
+
+    def of(end: str, name: str) -> DataFrame:
+        return table.select(F.col("id").alias(end), F.col(column).alias(name)).join(pairs.select(end).distinct(), end, "left_semi")
+
+    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y")
+
+
 def _probable(pairs: DataFrame, sigs: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that sequential verification of their signatures doesn't prune."""
 
@@ -148,8 +157,7 @@ def _probable(pairs: DataFrame, sigs: DataFrame, num: int, den: int) -> DataFram
             alive, _ = survivors(_sigs(b.column("x")), _sigs(b.column("y")), num, den) if b.num_rows else (np.zeros(0, int), None)
             yield pa.RecordBatch.from_arrays([b.column("a").take(pa.array(alive)), b.column("b").take(pa.array(alive))], names=["a", "b"])
 
-    one = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a")
-    return one.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
+    return _with_both(pairs, sigs, "sig").mapInArrow(tidy(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -160,8 +168,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             ok = [_linked(x, y, num, den) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
 
-    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a")
-    return one.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long, linked boolean")
+    return _with_both(pairs, sets, "hashes").mapInArrow(tidy(run), "a long, b long, linked boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -281,7 +288,8 @@ def _block_pairs(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, list
     """The members of buckets that hold several labels, in pairs of blocks of about BLOCK members.
 
     A label with half a block of a bucket or more has blocks of its own, which needn't meet each other; the bucket's
-    other members share blocks by label. Every pair of different labels meets in one block pair. Also returns the tables written on the way."""
+    other members share blocks by label. Every pair of different labels meets in one block pair. Buckets of the same members, as near
+    copies share several bands, count once: they are told by their members' number and hash sums. Also returns the tables written on the way."""
     used: list[DataFrame] = []
 
     def kept(df: DataFrame, name: str) -> DataFrame:
@@ -289,7 +297,9 @@ def _block_pairs(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, list
         return used[-1]
 
     m = kept(members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")), "members")
-    mixed = kept(m.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"), "mixed")
+    whole = F.count("*").alias("c"), *(F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(38,0)")).alias(f"d{k}") for k in range(2))
+    several = m.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *whole).where("lo <> hi")
+    mixed = kept(several.groupBy("c", "d0", "d1").agg(F.min("key").alias("key")).select("key"), "mixed")
     m = kept(m.join(mixed, "key"), "members")
     of_label = kept(m.groupBy("key", "label").agg(F.count("*").alias("c")), "sizes")
     rest = kept(of_label.groupBy("key").agg(F.sum(F.when(F.col("c") * 2 < BLOCK, F.col("c")).otherwise(0)).alias("rest")), "sizes")
@@ -358,26 +368,26 @@ def near_duplicates(df: DataFrame, n_words: int = 5, num: int = 4, den: int = 5,
     src = df.select(df[id_col].cast("long").alias("doc_id"), df[text].cast("string").alias("text"))
     base = persist(_described(src, n_words), "near-base")
     reps = persist(base.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "near-reps")
-    sigs = reps.select("id", "sig")
     keys = F.array(*(F.xxhash64(F.lit(k), F.substring("sig", 4 * ROWS * k + 1, 4 * ROWS)) for k in range(BANDS)))
-    bands = sigs.select("id", F.explode(keys).alias("key"))
+    bands = reps.select("id", F.explode(keys).alias("key"))
     buckets = persist(bands.groupBy("key").agg(F.min("id").alias("center"), F.count("*").alias("c")).where("c > 1").select("key", "center"), "near-buckets")
     members = persist(bands.join(buckets, "key"), "near-members")
     stars = persist(members.where("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct(), "near-stars")
     ids = persist(members.select("id").distinct(), "near-ids")
+    sigs = persist(reps.select("id", "n", "sig").join(ids, "id", "left_semi"), "near-sigs")  # what shares a bucket with another
     sets = persist(_full_sets(src, ids, n_words), "near-sets")
     probable = persist(_probable(stars, sigs, num, den), "near-probable")
     links = persist(_verified(probable, sets, num, den).where("linked").select("a", "b"), "near-links")
     labels = components(links)
     met, used = _block_pairs(members.where("id <> center").select("key", "id"), labels)
-    hope = persist(_promising(met, reps.select("id", "n", "sig"), num, den), "near-hope")
+    hope = persist(_promising(met, sigs, num, den), "near-hope")
     more = persist(_within(hope, sets, num, den), "near-links")
     if not more.isEmpty():
         used.append(labels)
         labels = components(links.union(more))
     # several sets of one id, if ids repeat, are one document
     of_set = persist(reps.select("h1", "h2", "id").join(labels, "id", "left").select("h1", "h2", F.coalesce("label", "id").alias("label")), "near-classes")
-    discard(*used, reps, buckets, members, stars, ids, sets, probable, links, hope, more, labels)
+    discard(*used, reps, buckets, members, stars, ids, sigs, sets, probable, links, hope, more, labels)
     out = base.select("doc_id", "n", "h1", "h2").join(of_set, ["h1", "h2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

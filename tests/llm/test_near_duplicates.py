@@ -86,6 +86,22 @@ def test_every_two_labels_of_a_bucket_meet(spark, monkeypatch):
     module.discard(*used)
 
 
+def test_buckets_of_the_same_members_meet_once(spark):
+    members = [(k, i) for k in range(5) for i in (1, 2, 3)] + [(9, 2), (9, 3), (10, 2), (10, 4)]  # near copies share several bands
+    met, used = module._block_pairs(spark.createDataFrame(members, "key long, id long"), spark.createDataFrame([(2, 1), (1, 1), (3, 3)], "id long, label long"))
+    groups = {}
+    for r in met.collect():
+        groups.setdefault((r.g1, r.g2), set()).add(r.id)
+    assert sorted(map(sorted, groups.values())) == [[1, 2, 3], [2, 3], [2, 4]]
+    module.discard(*used)
+
+
+def test_pairs_get_both_columns(spark):
+    pairs, table = spark.createDataFrame([(2, 1), (3, 1)], "a long, b long"), spark.createDataFrame([(i, f"s{i}") for i in range(6)], "id long, sig string")
+    out = module._with_both(pairs, table, "sig")
+    assert sorted(map(tuple, out.collect())) == [(2, 1, "s2", "s1"), (3, 1, "s3", "s1")]
+
+
 def test_hopeful_members_are_those_with_a_survivor(docs):
     rng = np.random.default_rng(9)
     base = [np.unique(rng.integers(0, 1 << 63, 150).astype(np.uint64)) for _ in range(5)]
