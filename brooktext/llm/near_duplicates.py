@@ -8,17 +8,19 @@ Two documents are linked if their sets' Jaccard similarity is `num`/`den` or mor
 2. `BANDS` x `ROWS` MinHash bands put classes into buckets. With 32 x 4, a pair at 0.8 shares none with a probability
    of 5e-8.
 3. Each bucket's classes are paired with its least (a star, linear in its size).
-4. Verification compares the signatures in batches of `BATCH` hashes and drops a pair as soon as the posterior
-   probability of a similarity at the threshold, under a uniform prior, is below `MISS`; survivors are compared on
-   their full sets.
-5. A bucket that still holds several components may hide links between members other than its least. These are compared
-   in blocks of about `BLOCK`, first by their signatures: pairs of different components are pruned by the posterior as
-   above, and of each pair of blocks only members with a surviving partner go on. Their full sets are then brought and
-   compared there; only links that join components leave the block.
-
-No step lists all pairs of a group, and no group is gathered in one task: stars and joins grow with the rows, blocks
-are bounded. What step 5 compares grows with the square of a bucket's members outside its least's component, 512 bytes
-each; with the full sets, with the survivors. Defined results: texts of any length are taken whole; a null text is empty; a row with a null id has a null component and is kept; rows that
+4. Sequential verification compares the signatures in batches of `BATCH` hashes and drops a pair as soon as the posterior
+   probability of a similarity at the threshold, under a uniform prior, is below `MISS`. Survivors' components are the
+   first groups.
+5. A bucket that still holds several groups may hide survivors between members other than its least. These are compared
+   in blocks of about `BLOCK` by their signatures, and of the survivors as many are kept as connect the groups. No
+   surviving pair of any bucket lies outside a group then.
+6. A group's texts are dealt once, whatever the number of buckets that its members share, and its full sets compared: links come from there only.
+7. Groups beyond `GROUP` aren't gathered: their kept pairs are verified on full sets, and members that this leaves in different
+   components are compared in blocks again, by signatures first, on full sets where a partner survives.
+
+No step lists all pairs of a group, and blocks and gathered groups are bounded: stars and joins grow with the rows. What step 5 compares grows with
+the square of a bucket's members outside its least's group, 512 bytes each, and step 7 with that of a large group's members that its stars
+don't link. Defined results: texts of any length are taken whole; a null text is empty; a row with a null id has a null component and is kept; rows that
 share an id count as one document; extra columns don't matter; an empty table gives an empty result.
 """
 
@@ -34,7 +36,8 @@ from pyspark.sql import functions as F
 
 from .shared import chunks, discard, persist, small_batches, texts, tidy
 
-BANDS, ROWS, BATCH, MISS, BLOCK = 32, 4, 16, 1e-7, 256
+BANDS, ROWS, BATCH, MISS, BLOCK, FEW = 32, 4, 16, 1e-7, 256, 8
+GROUP = 2 * BLOCK, 1 << 20  # members and shingles of a group that is compared in one piece
 HASHES = BANDS * ROWS
 _MULTIPLIERS = np.random.default_rng(20_240_310).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LANE = np.uint64(0x9E3779B97F4A7C15)
@@ -178,6 +181,7 @@ def components(edges: DataFrame) -> DataFrame:
     and split in the join."""
     e = persist(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "cc")
     digest = F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+    told = e.agg(*digest).first()
     while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         first = persist(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "cc")
@@ -185,7 +189,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = persist(large.groupBy("a").agg(F.min("b").alias("m")), "cc")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b")))
         new = persist(small.distinct(), "cc")
-        same = new.agg(*digest).first() == e.agg(*digest).first()
+        before, told = told, new.agg(*digest).first()
+        same = told == before
         discard(e, first, large, least)
         e = new
         if same:
@@ -199,8 +204,8 @@ def joining_links(side: np.ndarray, ids: np.ndarray, label: np.ndarray, sets: li
     """Links that join the components of a block pair's members.
 
     side: 0 is compared with all, 1 with side 2 only. Members already of one component, by label or by a link found
-    here, aren't compared."""
-    sig = np.frombuffer(b"".join(signatures(sets)), np.uint32).reshape(-1, HASHES)
+    here, aren't compared. A few members are compared without signatures."""
+    sig = np.frombuffer(b"".join(signatures(sets)), np.uint32).reshape(-1, HASHES) if len(sets) > FEW else None
     size = np.array([len(s) for s in sets])
     start = np.concatenate([[0], np.cumsum(size)])
     codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
@@ -209,9 +214,8 @@ def joining_links(side: np.ndarray, ids: np.ndarray, label: np.ndarray, sets: li
     for i in np.flatnonzero(side < 2).tolist():
         ok = (root != root[i]) & (np.minimum(size, size[i]) * den >= num * np.maximum(size, size[i]))
         at = np.flatnonzero(ok & ((side == 2) if side[i] else (np.arange(len(ids)) > i)))
-        if not len(at):
-            continue
-        at = at[survivors(np.broadcast_to(sig[i], (len(at), HASHES)), sig[at], num, den)[0]]
+        if len(at) and sig is not None:
+            at = at[survivors(np.broadcast_to(sig[i], (len(at), HASHES)), sig[at], num, den)[0]]
         if not len(at):
             continue
         own = codes[start[i] : start[i + 1]]
@@ -241,6 +245,19 @@ def hopeful(side: np.ndarray, label: np.ndarray, size: np.ndarray, sig: np.ndarr
     return out
 
 
+def bridges(side: np.ndarray, ids: np.ndarray, label: np.ndarray, size: np.ndarray, sig: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Of a block pair's members, pairs that sequential verification doesn't prune: enough of them that the ends of every such pair are connected."""
+    root, out = label.copy(), []
+    for i in np.flatnonzero(side < 2).tolist():
+        ok = (root != root[i]) & (np.minimum(size, size[i]) * den >= num * np.maximum(size, size[i]))
+        at = np.flatnonzero(ok & ((side == 2) if side[i] else (np.arange(len(side)) > i)))
+        for j in at[survivors(np.broadcast_to(sig[i], (len(at), HASHES)), sig[at], num, den)[0]].tolist() if len(at) else ():
+            if root[j] != root[i]:
+                out.append((max(int(ids[i]), int(ids[j])), min(int(ids[i]), int(ids[j]))))
+                root[root == root[j]] = root[i]
+    return out
+
+
 def _in_block_pairs(rows: DataFrame, columns: tuple[str, ...], act, schema: str) -> DataFrame:
     """act(a block pair's key, its members' columns) -> output rows, over every block pair of two members or more. Only one block pair is held at a time."""
     names = [x.split()[0] for x in schema.split(", ")]
@@ -263,6 +280,16 @@ def _in_block_pairs(rows: DataFrame, columns: tuple[str, ...], act, schema: str)
     return rows.select("g1", "g2", *columns).repartition("g1", "g2").sortWithinPartitions("g1", "g2").mapInArrow(tidy(run), schema)
 
 
+def _bridges(met: DataFrame, sigs: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: the bridges of every block pair. sigs: id, n, sig."""
+
+    def act(key, columns):
+        side, ids, label, size, sig = columns
+        return bridges(np.array(side), np.array(ids), np.array(label), np.array(size), np.frombuffer(b"".join(sig), np.uint32).reshape(-1, HASHES), num, den)
+
+    return _in_block_pairs(met.join(sigs, "id"), ("side", "id", "label", "n", "sig"), act, "a long, b long")
+
+
 def _promising(met: DataFrame, sigs: DataFrame, num: int, den: int) -> DataFrame:
     """met's members that are hopeful in their block pair, by size and signature alone. sigs: id, n, sig."""
 
@@ -362,6 +389,37 @@ def _full_sets(src: DataFrame, ids: DataFrame, n_words: int) -> DataFrame:
     return src.withColumnRenamed("doc_id", "id").join(ids, "id").select("id", "text").mapInArrow(tidy(run), "id long, hashes binary")
 
 
+def _of_groups(src: DataFrame, groups: DataFrame, n_words: int, num: int, den: int) -> DataFrame:
+    """id and label of whole groups (id, g), by the links within each. A group's texts come to one task once and are compared there on their full sets."""
+
+    def labels(group: dict[tuple[int, int], np.ndarray]) -> list[tuple[int, int]]:
+        ids = np.array([i for i, _ in group], np.int64)
+        label = ids.copy()
+        for a, b in joining_links(np.zeros(len(ids), int), ids, ids, list(group.values()), num, den) if len(ids) > 1 else ():
+            x, y = label[ids == a][0], label[ids == b][0]
+            label[(label == x) | (label == y)] = min(x, y)
+        return sorted(set(zip(ids.tolist(), label.tolist(), strict=True)))
+
+    def run(batches):
+        key, group = None, {}
+        for b in batches:
+            g, ids, t, out, at = b.column("g").to_pylist(), b.column("id").to_pylist(), texts(b), [], 0
+            for part in chunks(t, 4 << 20):
+                for s in shingle_sets(part, n_words):
+                    if g[at] != key:
+                        out += labels(group)
+                        key, group = g[at], {}
+                    if len(s):
+                        group.setdefault((ids[at], hash(s.tobytes())), s)  # ids may repeat
+                    at += 1
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(2)], names=["id", "label"])
+        out = labels(group)
+        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(2)], names=["id", "label"])
+
+    rows = src.withColumnRenamed("doc_id", "id").join(groups, "id").select("g", "id", "text")
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(tidy(run), "id long, label long")
+
+
 def near_duplicates(df: DataFrame, n_words: int = 5, num: int = 4, den: int = 5, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept. Linked: den * |A & B| >= num * |A | B|."""
     small_batches(df.sparkSession)
@@ -375,19 +433,33 @@ def near_duplicates(df: DataFrame, n_words: int = 5, num: int = 4, den: int = 5,
     stars = persist(members.where("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct(), "near-stars")
     ids = persist(members.select("id").distinct(), "near-ids")
     sigs = persist(reps.select("id", "n", "sig").join(ids, "id", "left_semi"), "near-sigs")  # what shares a bucket with another
-    sets = persist(_full_sets(src, ids, n_words), "near-sets")
     probable = persist(_probable(stars, sigs, num, den), "near-probable")
-    links = persist(_verified(probable, sets, num, den).where("linked").select("a", "b"), "near-links")
-    labels = components(links)
-    met, used = _block_pairs(members.where("id <> center").select("key", "id"), labels)
-    hope = persist(_promising(met, sigs, num, den), "near-hope")
-    more = persist(_within(hope, sets, num, den), "near-links")
-    if not more.isEmpty():
-        used.append(labels)
-        labels = components(links.union(more))
+    center = persist(probable.groupBy("a").agg(F.min("b").alias("b")), "near-centers")
+    own = center.join(center.select(F.col("a").alias("b"), F.col("b").alias("c")), "b", "left").select(F.col("a").alias("id"), F.coalesce("c", "b").alias("label"))
+    met, used = _block_pairs(members.where("id <> center").select("key", "id"), own)
+    near = persist(probable.union(_bridges(met, sigs, num, den)), "near-pairs")
+    discard(*used, probable, center)
+    alike = components(near)
+    whole = alike.join(sigs.select("id", "n"), "id").groupBy("label").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    groups = persist(alike.join(whole.select("label", (F.col("c") > GROUP[0]) | (F.col("n") > GROUP[1]) & (F.col("c") > 2)).toDF("label", "large"), "label").select("id", F.col("label").alias("g"), "large"), "near-groups")
+    labels = persist(_of_groups(src, groups.where("not large").select("id", "g"), n_words, num, den), "near-labels")
+    used = [reps, buckets, members, stars, ids, sigs, near, alike, groups, labels]
+    large = groups.where("large").select("id", "g")
+    if not large.isEmpty():
+        sets = persist(_full_sets(src, large.select("id"), n_words), "near-sets")
+        found = persist(_verified(near.join(large.select(F.col("id").alias("a")), "a", "left_semi"), sets, num, den).where("linked").select("a", "b"), "near-links")
+        of_large = components(found)
+        met, more = _block_pairs(large.select(F.col("g").alias("key"), "id"), of_large)
+        hope = persist(_promising(met, sigs, num, den), "near-hope")
+        within = persist(_within(hope, sets, num, den), "near-links")
+        used += [sets, found, *more, hope, within, of_large]
+        if not within.isEmpty():
+            of_large = components(found.union(within))
+            used.append(of_large)
+        labels = labels.union(of_large)
     # several sets of one id, if ids repeat, are one document
     of_set = persist(reps.select("h1", "h2", "id").join(labels, "id", "left").select("h1", "h2", F.coalesce("label", "id").alias("label")), "near-classes")
-    discard(*used, reps, buckets, members, stars, ids, sigs, sets, probable, links, hope, more, labels)
+    discard(*used)
     out = base.select("doc_id", "n", "h1", "h2").join(of_set, ["h1", "h2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

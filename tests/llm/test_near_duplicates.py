@@ -117,6 +117,51 @@ def test_hopeful_members_are_those_with_a_survivor(docs):
         assert (hopeful(side, label, size, sig, 4, 5) == want).all() and 5 < want.sum() < len(sets)
 
 
+def test_a_group_is_dealt_once(spark, monkeypatch):
+    """Near copies share many buckets; nothing of theirs is dealt for each of these."""
+    rng, dealt, whole = random.Random(3), [], module._in_block_pairs
+    base = [f"w{k}" for k in range(150)]
+    rows = [(i, " ".join(rng.choice("xyz") + str(i) if rng.random() < 0.05 else w for w in base)) for i in range(120)]
+    monkeypatch.setattr(module, "_in_block_pairs", lambda rows, *rest: dealt.append(rows.count()) or whole(rows, *rest))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    want = brute(rows, 2)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and 10 < len({c for _, c in want.values()})
+    assert sum(dealt) <= 2 * len(rows)
+
+
+@pytest.mark.parametrize("group", [(4, 1 << 20), (1 << 20, 200)])
+def test_large_groups_like_brute_force(spark, monkeypatch, group):
+    monkeypatch.setattr(module, "GROUP", group)
+    monkeypatch.setattr(module, "BLOCK", 4)
+    rows = planted(9)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 2)
+
+
+def test_repeated_ids_with_an_empty_text(spark):
+    a = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, a), (2, a + " x"), (2, None), (2, a + " x"), (3, a + " y"), (3, "quite different")]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got == {(1, 39, 1), (2, 40, 1), (2, 0, 2), (3, 40, 1), (3, 1, 1)}
+
+
+def test_bridges_connect_what_survives():
+    rng = np.random.default_rng(9)
+    base = [np.unique(rng.integers(0, 1 << 63, 150).astype(np.uint64)) for _ in range(5)]
+    sets = [np.sort(np.concatenate([b[: 150 - k * 6], rng.integers(0, 1 << 63, k * 6).astype(np.uint64)])) for b in base for k in range(8)]
+    size, sig, ids = np.array([len(s) for s in sets]), np.frombuffer(b"".join(signatures(sets)), np.uint32).reshape(-1, HASHES), np.arange(40)
+    for side in (np.zeros(40, int), np.arange(40) % 2 + 1):
+        found = module.bridges(side, ids, ids, size, sig, 4, 5)
+        root = ids.copy()
+        for x, y in found:
+            assert root[x] != root[y]  # none is superfluous
+            root[root == root[x]] = root[y]
+        for i in range(40):
+            for j in range(i):
+                if {side[i], side[j]} in ({0}, {1, 2}) and 5 * min(size[i], size[j]) >= 4 * max(size[i], size[j]) and len(module.survivors(sig[i : i + 1], sig[j : j + 1], 4, 5)[0]):
+                    assert root[i] == root[j]
+
+
 def test_odd_rows(odd, empty):
     assert near_duplicates(empty, 2).count() == 0
     got = near_duplicates(odd, 2).collect()
