@@ -11,7 +11,8 @@ characters, after A-Z are lower-cased and white space is made plain.
 Items are sorted into classes by length, each with a plan of its own (`CLASSES`). A window is no longer than the shortest
 item allows when windows begin at every `step` bytes of the texts: every copy of an item then holds a whole window at a
 known offset, and most hold several, of which some have few edits. On the benchmark's side windows at all offsets are indexed, so that no alignment is lost. Texts are embedded
-where they lie, without a shuffle. A window's cost doesn't depend on the number of items.
+where they lie, without a shuffle. A window's cost doesn't depend on the number of items. Walks go two steps at a time, by tables of
+pairs of letters; windows that share several samplings of a walk are compared once, in parts of bounded size.
 
 The index is made by each worker from the items' texts, which are sent along up to `BLOCK_BYTES`; a larger benchmark is
 dealt into blocks of that size, and each block takes a pass of its own over the texts.
@@ -27,7 +28,6 @@ gives no matches; extra columns don't matter.
 from __future__ import annotations
 
 import functools
-import re
 from typing import NamedTuple
 
 import numpy as np
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .shared import small_batches, texts, tidy
 
 SIMILARITY = 0.8
-SHORTEST, BLOCK_BYTES, WINDOWS = 20, 1 << 20, 1 << 14
+SHORTEST, BLOCK_BYTES, WINDOWS, PAIRS = 20, 1 << 20, 1 << 14, 1 << 19
 
 
 class _Plan(NamedTuple):
@@ -57,13 +57,34 @@ _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
 _PLAIN[[9, 10, 11, 12, 13]] = 32
 #: By the recall wanted where a fifth of the characters are edited: short items hold few windows, so theirs are shorter and denser.
-CLASSES = (_Plan(150, 16, 50, 4, 4, 11, 0.55), _Plan(80, 12, 30, 4, 3, 12, 0.6), _Plan(20, 3, 14, 6, 4, 8, 0.6))
-_WHITE = re.compile(r"\s")
+CLASSES = (_Plan(150, 16, 50, 4, 4, 11, 0.55), _Plan(80, 10, 30, 4, 4, 12, 0.6), _Plan(20, 3, 14, 6, 4, 8, 0.6))
+#: Walks tell letters by the low five bits of their bytes: what is equal stays so, and texts seem nearer by it, never farther.
+LETTERS = 32
+#: How many of two pairs' letters are equal, by the exclusive or of the pairs.
+_ALIKE = np.add(*(x == 0 for x in np.divmod(np.arange(LETTERS * LETTERS), LETTERS)), dtype=np.int64)
 
 
 def plain(text: str) -> str:
     """The text as it is compared: of the same length in characters and bytes."""
-    return text.encode("ascii").translate(_PLAIN.tobytes()).decode("ascii") if text.isascii() else text.translate({c: int(_PLAIN[c]) for c in range(128)})
+    return text.encode("utf-8", "surrogatepass").translate(_PLAIN.tobytes()).decode("utf-8", "surrogatepass")
+
+
+_ONE = np.uint64(1)
+
+
+class _Step(NamedTuple):
+    """Two steps of a walk at once, by the pair of letters that begins under the cursor."""
+
+    move: np.ndarray  # how far the cursor goes
+    written: np.ndarray  # the two letters written, as a pair
+    keys: np.ndarray  # what each sampling adds to its hash, if it has a place here
+
+
+def _pairs(data: np.ndarray) -> np.ndarray:
+    """Each byte's letter with the next one's, as walks read them."""
+    letters = (data % LETTERS).astype(np.uint16)
+    letters[:-1] += letters[1:] * np.uint16(LETTERS)
+    return letters
 
 
 class _Class:
@@ -71,71 +92,101 @@ class _Class:
 
     def __init__(self, items: list[tuple[int, bytes]], plan: _Plan, seed: int = 20_240_401):
         rng = np.random.default_rng(seed + plan.least)
-        self.step, self.walks, self.samplings, places = plan.step, plan.walks, plan.samplings, plan.places
-        self.width = max(8, min(plan.width, min(len(t) for _, t in items) - plan.step + 1))
+        self.step, self.walks, self.samplings = plan.step, plan.walks, plan.samplings
+        self.width = max(8, min(plan.width, min(len(t) for _, t in items) - plan.step + 1)) // 2 * 2
         self.agree = plan.agree * self.width
-        self.moves = rng.integers(0, 2, (self.walks, self.width, 256), dtype=np.int64)
-        chosen = [[rng.choice(self.width, places, replace=self.width < places) for _ in range(self.samplings)] for _ in range(self.walks)]
-        self.at = [[[s for s in range(self.samplings) for _ in range(int((p[s] == j).sum()))] for j in range(self.width)] for p in chosen]
-        self.table = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.steps = [self.walk(rng, plan.places) for _ in range(self.walks)]
         data = np.frombuffer(b"".join(t for _, t in items) + bytes(self.width + 8), np.uint8)
         base = np.concatenate([[0], np.cumsum([len(t) for _, t in items])])
         starts = [np.arange(base[k], base[k + 1] - self.width + 1) for k in range(len(items))]
         self.item = np.repeat([i for i, _ in items], [len(s) for s in starts])
         self.offset = np.concatenate([s - base[k] for k, s in enumerate(starts)])
         every = np.concatenate(starts)
-        self.data, self.start = data, every
+        self.pairs, self.start = _pairs(data), every
         self.tables = []
-        parts = [list(self.hashes(data, every[lo : lo + WINDOWS])) for lo in range(0, len(every), WINDOWS)]
+        parts = [[h for walk in self.hashes(self.pairs, every[lo : lo + WINDOWS]) for h in walk] for lo in range(0, len(every), WINDOWS)]
         for k in range(self.walks * self.samplings):
             h = np.concatenate([p[k] for p in parts])
             by = np.argsort(h, kind="stable")
             marks = np.zeros(1 << 20, bool)
-            marks[(h >> np.uint64(44)).astype(np.int64)] = True
+            marks[h >> 12] = True
             self.tables.append((marks, h[by], by))
 
-    def hashes(self, data: np.ndarray, starts: np.ndarray):
+    def walk(self, rng: np.random.Generator, places: int) -> list[_Step]:
+        moves = rng.integers(0, 2, (self.width, LETTERS), dtype=np.int64)
+        keys = rng.integers(0, 1 << 32, (self.width, LETTERS), dtype=np.uint32)
+        chosen = [rng.choice(self.width, places, replace=self.width < places) for _ in range(self.samplings)]
+        second, first = np.divmod(np.arange(LETTERS * LETTERS), LETTERS)
+        out = []
+        for j in range(0, self.width, 2):
+            then = np.where(moves[j, first] == 1, second, first)
+            adds = np.zeros((LETTERS * LETTERS, -(-self.samplings // 4) * 4), np.uint32)  # rows of 16 bytes are taken as fast as numbers
+            for s, places_of in enumerate(chosen):
+                for k, letter in ((j, first), (j + 1, then)):
+                    if k in places_of:
+                        adds[:, s] += keys[k, letter]
+            out.append(_Step(moves[j, first] + moves[j + 1, then], first + LETTERS * then, adds))
+        return out
+
+    def hashes(self, pairs: np.ndarray, starts: np.ndarray):
         """The samplings of the windows at `starts`, walk by walk."""
-        byte, move = np.empty(len(starts), np.uint8), np.empty(len(starts), np.int64)
-        for w in range(self.walks):
-            at = starts.astype(np.int64)
-            h = np.zeros((self.samplings, len(starts)), np.uint64)
-            for j in range(self.width):
-                np.take(data, at, out=byte, mode="clip")
-                for s in self.at[w][j]:
-                    h[s] += self.table[byte]
-                    h[s] *= np.uint64(0x9E3779B97F4A7C15)
-                np.take(self.moves[w, j], byte, out=move, mode="clip")
+        pair, code, move = (np.empty(len(starts), t) for t in (np.uint16, np.int64, np.int64))
+        for steps in self.steps:
+            at, h = starts.astype(np.int64), np.zeros((len(starts), steps[0].keys.shape[1]), np.uint32)
+            key = np.empty_like(h)
+            for step in steps:
+                pairs.take(at, out=pair, mode="clip")
+                np.copyto(code, pair)
+                step.keys.take(code, 0, out=key, mode="clip")
+                h += key
+                step.move.take(code, out=move, mode="clip")
                 at += move
-            yield from h
+            yield [np.ascontiguousarray(h[:, s]) for s in range(self.samplings)]
 
-    def agreement(self, walk: int, data: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    def agreement(self, walk: int, pairs: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """In how many places the embedded strings of windows of the data and of the items' windows agree."""
         out = np.zeros(len(at), np.int64)
         for lo in range(0, len(at), WINDOWS):
             a, b = at[lo : lo + WINDOWS].astype(np.int64), self.start[rows[lo : lo + WINDOWS]].astype(np.int64)
-            for move in self.moves[walk]:
-                x, y = data[a], self.data[b]
-                out[lo : lo + WINDOWS] += x == y
-                a += move[x]
-                b += move[y]
+            for step in self.steps[walk]:
+                x, y = pairs.take(a).astype(np.int64), self.pairs.take(b).astype(np.int64)
+                out[lo : lo + WINDOWS] += _ALIKE.take(step.written.take(x) ^ step.written.take(y))
+                a += step.move.take(x)
+                b += step.move.take(y)
         return out
 
-    def candidates(self, data: np.ndarray, size: int):
-        """(position, item, offset) of windows of data[:size] that share a sampling with an item's window."""
+    def candidates(self, pairs: np.ndarray, size: int):
+        """(position, item, offset) of windows of the first `size` bytes that share a sampling with an item's window."""
         for lo in range(0, max(0, size - self.width + 1), self.step * WINDOWS):
             starts = np.arange(lo, min(size - self.width + 1, lo + self.step * WINDOWS), self.step)
-            for w, ((marks, keys, by), h) in enumerate(zip(self.tables, self.hashes(data, starts), strict=True)):
-                some = np.flatnonzero(marks[(h >> np.uint64(44)).astype(np.int64)])
-                if not len(some):
-                    continue
-                a, b = np.searchsorted(keys, h[some], "left"), np.searchsorted(keys, h[some], "right")
-                n = b - a
-                if n.any():
-                    rows = by[np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-                    at = np.repeat(starts[some], n)
-                    alike = self.agreement(w // self.samplings, data, at, rows) >= self.agree
-                    yield at[alike], self.item[rows[alike]], self.offset[rows[alike]]
+            for w, walk in enumerate(self.hashes(pairs, starts)):
+                for at, row in self.shared(w, walk, starts):
+                    alike = self.agreement(w, pairs, at, row) >= self.agree
+                    yield at[alike], self.item[row[alike]], self.offset[row[alike]]
+
+    def shared(self, walk: int, samplings: list[np.ndarray], starts: np.ndarray):
+        """(position, row) of windows that share a sampling of a walk with an item's window: each pair once, in parts of about `PAIRS`."""
+        tables, hits = self.tables[walk * self.samplings : (walk + 1) * self.samplings], []
+        for s, ((marks, keys, _), h) in enumerate(zip(tables, samplings, strict=True)):
+            some = np.flatnonzero(marks.take(h >> 12))
+            a, b = np.searchsorted(keys, h[some], "left"), np.searchsorted(keys, h[some], "right")
+            held = b > a
+            hits.append((some[held], np.full(held.sum(), s), a[held], b[held] - a[held]))
+        window, table, first, n = (np.concatenate(x) for x in zip(*hits, strict=True))
+        if not len(window):
+            return
+        by = np.argsort(window, kind="stable")
+        window, table, first, n = window[by], table[by], first[by], n[by]
+        begins = np.flatnonzero(np.diff(window, prepend=-1))  # a window's hits stay together
+        part = (np.cumsum(n) - n)[begins] // PAIRS
+        for hit in np.split(np.arange(len(window)), begins[np.flatnonzero(np.diff(part)) + 1]):
+            size = n[hit]
+            place = np.repeat(first[hit] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            of, row = np.repeat(table[hit], size), np.empty(len(place), np.int64)
+            for s, (_, _, rows) in enumerate(tables):
+                row[of == s] = rows[place[of == s]]
+            at, row = np.divmod(np.unique(np.repeat(starts[window[hit]], size) * len(self.start) + row), len(self.start))
+            yield at, row
 
 
 def nearest(pattern: str, text: str, most: int) -> tuple[int, int, int] | None:
@@ -202,43 +253,72 @@ class _Bound:
 
     def __init__(self, items: list[str]):
         self.size = np.array([len(t) for t in items], np.int64)
-        self.first = np.concatenate([[0], np.cumsum((self.size + 63) // 64)])
+        self.pieces = (self.size + 63) // 64
+        self.first = np.concatenate([[0], np.cumsum(self.pieces)])
+        # A piece's last character has the highest bit; bits below its first one match everything and cost nothing.
         self.masks = np.zeros((max(1, int(self.first[-1])), 256), np.uint64)
-        for t, f in zip(items, self.first, strict=False):
-            for i, c in enumerate(_letters(t).tolist()):
-                self.masks[f + i // 64, c] |= np.uint64(1 << i % 64)
+        self.held = np.zeros(len(self.masks), np.uint64)
+        for k, t in enumerate(items):
+            letters = _letters(t).tolist()
+            for p in range(int(self.pieces[k])):
+                own, row = letters[self.cut(k, p) : self.cut(k, p + 1)], int(self.first[k]) + p
+                self.held[row] = (1 << 64) - (1 << 64 - len(own))
+                self.masks[row] = ~self.held[row]
+                for i, c in enumerate(own, 64 - len(own)):
+                    self.masks[row, c] |= np.uint64(1 << i)
         self.masks = self.masks.ravel()
 
-    def near(self, data: np.ndarray, lo: np.ndarray, hi: np.ndarray, about: np.ndarray, item: np.ndarray, similarity: float) -> np.ndarray:
-        """Which of the items may lie at `about` of the texts data[lo:hi]."""
+    def cut(self, item, piece):
+        """Where a piece of an item begins; pieces of an item are about equally long."""
+        return self.size[item] * piece // self.pieces[item]
+
+    def near(self, data: np.ndarray, lo: np.ndarray, hi: np.ndarray, about: np.ndarray, item: np.ndarray, similarity: float, back: np.ndarray | bool = False) -> np.ndarray:
+        """Which of the items may lie at `about` of the texts data[lo:hi]. back: those whose last piece is to be tried first."""
         most = (self.size[item] * (1 - similarity) + 1e-9).astype(np.int64)
-        total, left, piece = np.zeros(len(item), np.int64), np.arange(len(item)), 0
-        while len(left := left[(total[left] <= most[left]) & (64 * piece < self.size[item[left]])]):
-            for part in np.split(left, range(4096, len(left), 4096)):
-                k, slack = item[part], most[part] + 16
-                a = np.clip(about[part] + 64 * piece - slack, lo[part], hi[part])
-                long = np.minimum(64, self.size[k] - 64 * piece)
-                b = np.clip(about[part] + 64 * piece + long + slack, lo[part], hi[part])
-                total[part] += self.least(data, a, b, (self.first[k] + piece) * 256, long)
-            piece += 1
+        total, left, tried = np.zeros(len(item), np.int64), np.arange(len(item)), 0
+        back = np.broadcast_to(back, len(item))
+        while len(left := left[(total[left] <= most[left]) & (tried < self.pieces[item[left]])]):
+            k, slack = item[left], most[left] + 16
+            piece = np.where(back[left], self.pieces[k] - 1 - tried, tried)
+            a = np.clip(about[left] + self.cut(k, piece) - slack, lo[left], hi[left])
+            b = np.clip(about[left] + self.cut(k, piece + 1) + slack, lo[left], hi[left])
+            by = np.argsort(b - a, kind="stable")  # stretches of one length together
+            for part in np.split(by, range(2048, len(by), 2048)):
+                total[left[part]] += self.least(data, a[part], b[part], self.first[k[part]] + piece[part], self.cut(k[part], piece[part] + 1) - self.cut(k[part], piece[part]))
+            tried += 1
         return total <= most
 
-    def least(self, data: np.ndarray, a: np.ndarray, b: np.ndarray, masks: np.ndarray, long: np.ndarray) -> np.ndarray:
+    def least(self, data: np.ndarray, a: np.ndarray, b: np.ndarray, row: np.ndarray, long: np.ndarray) -> np.ndarray:
         """The least edit distance of each piece to a stretch of data[a:b], by columns of bits as in `nearest`."""
-        one, top = np.uint64(1), (long - 1).astype(np.uint64)
-        pv, mv = np.full(len(a), (1 << 64) - 1, np.uint64), np.zeros(len(a), np.uint64)
-        score = long.copy()
-        best = long.copy()
+        pv, mv, masks, at = self.held[row], np.zeros(len(a), np.uint64), row * 256, a.copy()
+        letter, code, top = np.empty(len(a), np.uint8), np.empty(len(a), np.int64), np.empty(len(a), bool)
+        eq, xv, xh, ph, mh = (np.empty(len(a), np.uint64) for _ in range(5))
+        score, best = long.astype(np.int8), long.astype(np.int8)
+        whole = int((b - a).min())
         for j in range(int((b - a).max())):
-            at = a + j
-            eq = self.masks[masks + data[np.minimum(at, len(data) - 1)]]
-            xv = eq | mv
-            xh = (((eq & pv) + pv) ^ pv) | eq
-            ph, mh = mv | ~(xh | pv), pv & xh
-            score += (ph >> top & one).astype(np.int64) - (mh >> top & one).astype(np.int64)
-            np.minimum(best, np.where(at < b, score, long), out=best)
-            ph, mh = ph << one, mh << one
-            pv, mv = mh | ~(xv | ph), ph & xv
+            data.take(at, out=letter, mode="clip")
+            np.copyto(code, letter)
+            code += masks
+            self.masks.take(code, out=eq, mode="clip")
+            np.bitwise_or(eq, mv, out=xv)
+            np.bitwise_and(eq, pv, out=xh)
+            xh += pv
+            xh ^= pv
+            xh |= eq
+            np.bitwise_or(xh, pv, out=ph)
+            np.invert(ph, out=ph)
+            ph |= mv
+            np.bitwise_and(pv, xh, out=mh)
+            score += np.less(ph.view(np.int64), 0, out=top).view(np.int8)
+            score -= np.less(mh.view(np.int64), 0, out=top).view(np.int8)
+            np.minimum(best, score if j < whole else np.where(at < b, score, best), out=best)
+            ph <<= _ONE
+            mh <<= _ONE
+            np.bitwise_or(xv, ph, out=pv)
+            np.invert(pv, out=pv)
+            pv |= mh
+            np.bitwise_and(ph, xv, out=mv)
+            at += 1
         return best
 
 
@@ -248,6 +328,7 @@ class Index:
     def __init__(self, items: tuple[tuple[int, str], ...]):
         self.texts = [(i, plain(t)) for i, t in items if t]
         self.bytes = [t.encode("utf-8", "surrogatepass") for _, t in self.texts]
+        self.long = np.array([len(t) for t in self.bytes], np.int64)
         self.short = [k for k, t in enumerate(self.bytes) if len(t) < SHORTEST]
         self.classes = []
         for plan, above in zip(CLASSES, (1 << 62, *(c.least for c in CLASSES)), strict=False):
@@ -274,26 +355,38 @@ class Index:
         cuts = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
         data = _PLAIN[np.frombuffer(b"".join(raw) + bytes(512), np.uint8)]
         begun = np.concatenate([[0], np.cumsum(data & 0xC0 != 0x80)])  # code points before each byte
-        likely: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for c in self.classes:
-            for at, item, offset in c.candidates(data, int(cuts[-1])):
-                doc = np.searchsorted(cuts, at, "right") - 1
-                likely.append((doc, item, begun[np.maximum(at - offset, cuts[doc])] - begun[cuts[doc]]))
+        pairs, letters = _pairs(data), _letters(data[: cuts[-1]].tobytes().decode("utf-8", "surrogatepass"))
         out: list[list[tuple[int, int, int, int]]] = [[] for _ in docs]
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        if likely:
-            d, k, about = (np.concatenate(x) for x in zip(*likely, strict=True))
+        near: list[tuple[int, int, int]] = []
+        likely: list[tuple[np.ndarray, ...]] = []
+
+        def bounded() -> None:
+            d, k, about, offset = (np.concatenate(x) for x in zip(*likely, strict=True))
             # Verification looks 8 characters further than the edits reach, so a start holds those of its eight as well.
             one = np.unique(((d * len(self.texts) + k) << 32) + (about >> 3), return_index=True)[1]
-            d, k, about = d[one], k[one], about[one]
-            own, at = np.unique(d, return_inverse=True)
-            flat = {x: plain(docs[x]) for x in own.tolist()}
-            hi = np.cumsum([len(t) for t in flat.values()])
-            lo = hi - [len(t) for t in flat.values()]
-            near = self.bound.near(_letters("".join(flat.values())), lo[at], hi[at], lo[at] + about, k, similarity)
-            for x, y, b in zip(d[near].tolist(), k[near].tolist(), about[near].tolist(), strict=True):
-                if (got := self.verified(y, flat[x], b, similarity)) and got < best.get((x, y), (1 << 30, 0, 0)):
-                    best[x, y] = got
+            d, k, about, offset = d[one], k[one], about[one], offset[one]
+            # What lies far from the window that agreed is tried first: texts that hold no more than that drop out sooner.
+            some = self.bound.near(letters, begun[cuts[d]], begun[cuts[d + 1]], begun[cuts[d]] + about, k, similarity, 2 * offset < self.long[k])
+            near.extend(zip(d[some].tolist(), k[some].tolist(), about[some].tolist(), strict=True))
+            likely.clear()
+
+        for c in self.classes:
+            for at, item, offset in c.candidates(pairs, int(cuts[-1])):
+                doc = np.searchsorted(cuts, at, "right") - 1
+                likely.append((doc, item, begun[np.maximum(at - offset, cuts[doc])] - begun[cuts[doc]], offset))
+                if sum(len(x[0]) for x in likely) > 4 * PAIRS:
+                    bounded()
+        if likely:
+            bounded()
+        held, flat = -1, ""
+        for x, y, b in sorted(near):
+            if best.get((x, y), (1,))[0] == 0:
+                continue  # an unchanged copy that begins before this start; none nearer can follow
+            if x != held:
+                held, flat = x, plain(docs[x])
+            if (got := self.verified(y, flat, b, similarity)) and got < best.get((x, y), (1 << 30, 0, 0)):
+                best[x, y] = got
         for (d, k), got in best.items():
             out[d].append((k, *got))
         for d, t in enumerate(docs) if self.short else ():

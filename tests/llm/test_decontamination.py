@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from brooktext.llm import decontamination
 from brooktext.llm.decontamination import Index, _letters, benchmark_matches, blocks_of, drop_contaminated, nearest, plain
 
 
@@ -111,6 +112,50 @@ def test_bound_drops_nothing_near():
                 assert index.bound.near(_letters(text), *(np.array([x]) for x in (0, len(text), about, k)), 0.8)[0]
 
 
+def test_bound_is_the_pieces_distance():
+    """Pieces of any length, at stretches of unequal length, cost what brute force says."""
+    rng = random.Random(13)
+    items = tuple((n, "".join(rng.choice("abc ") for _ in range(n))) for n in (20, 63, 64, 65, 129, 300))
+    bound, text = Index(items).bound, "".join(rng.choice("abc ") for _ in range(400))
+    k, piece = (np.array(x) for x in zip(*((k, p) for k in range(len(items)) for p in range(bound.pieces[k])), strict=True))
+    assert all("".join(t[bound.cut(k, p) : bound.cut(k, p + 1)] for p in range(bound.pieces[k])) == t for k, (_, t) in enumerate(items))
+    a = np.array([rng.randint(0, 200) for _ in k])
+    b = a + np.array([rng.randint(0, 150) for _ in k])
+    got = bound.least(_letters(text), a, b, bound.first[k] + piece, bound.cut(k, piece + 1) - bound.cut(k, piece))
+    assert got.tolist() == [brute(items[i][1][bound.cut(i, p) : bound.cut(i, p + 1)], text[x:y]) for i, p, x, y in zip(k, piece, a, b, strict=True)]
+
+
+def test_work_of_a_text(spark, docs, monkeypatch):
+    """A window and an item's window are compared once in each walk, whatever samplings they share, and the bound takes few columns."""
+    seen, columns = [], [0]
+    agreement, least = decontamination._Class.agreement, decontamination._Bound.least
+
+    def compared(self, walk, data, at, rows):
+        seen.extend(zip([self.step] * len(at), [walk] * len(at), at.tolist(), rows.tolist(), strict=True))
+        return agreement(self, walk, data, at, rows)
+
+    def bounded(self, data, a, b, *rest):
+        columns[0] += int((b - a).max()) * len(a)
+        return least(self, data, a, b, *rest)
+
+    monkeypatch.setattr(decontamination._Class, "agreement", compared)
+    monkeypatch.setattr(decontamination._Bound, "least", bounded)
+    texts = [r.text for r in docs.collect() if r.text]
+    Index(items_of(spark)).matches(texts)
+    assert seen and len(set(seen)) == len(seen)
+    assert 0 < columns[0] < 5 * sum(map(len, texts))
+
+
+def test_recall_of_middle_items(docs):
+    """Items of 80 to 149 bytes, the class that finds least: 0.98 up to the threshold."""
+    rng, words = random.Random(14), " ".join(r.text for r in docs.collect() if r.text).split()
+    items = tuple((k, " ".join(words[at : at + 60])[: rng.randint(82, 145)].strip()) for k, at in enumerate(rng.sample(range(len(words) - 60), 200)))
+    index = Index(tuple((k, t) for k, t in items if 80 <= len(t.encode()) < 150))
+    cases = [(k, new) for k, (_, t) in enumerate(index.texts) for _ in range(4) if nearest(t, new := edited(rng, t, 0.2), len(t) // 5)]
+    got = index.matches(["qz " * 9 + t + " zq" * 9 for _, t in cases])
+    assert len(cases) > 300 and sum(any(f[0] == k for f in m) for (k, _), m in zip(cases, got, strict=True)) >= 0.98 * len(cases)
+
+
 def test_spans_and_no_others(spark, docs):
     items = items_of(spark)
     index = Index(items)
